@@ -52,6 +52,10 @@ def candidate_labels(targets=None, excluding=None) -> list[str]:
     return targets + [OTHER_LABEL] + excluding
 
 
+def _member_of(words: list[str]):
+    return lambda t: t.isin(words)
+
+
 def cue_top_label(sentence: Column, labels: list[str], cues: dict | None = None) -> Column:
     """Top label of one sentence under the cue table: most cue tokens wins,
     ties go to the earlier label, no cue -> 'other'."""
@@ -60,7 +64,7 @@ def cue_top_label(sentence: Column, labels: list[str], cues: dict | None = None)
     scored = []
     for i, label in enumerate(labels):
         words = cues.get(label, [])
-        score = F.size(F.filter(toks, lambda t, w=words: t.isin(w))) if words else F.lit(0)
+        score = F.size(F.filter(toks, _member_of(words))) if words else F.lit(0)
         scored.append(F.struct(score.alias("s"), F.lit(-i).alias("i"), F.lit(label).alias("label")))
     best = F.greatest(*scored) if len(scored) > 1 else scored[0]
     return F.when(best.getField("s") > 0, best.getField("label")).otherwise(F.lit(OTHER_LABEL))

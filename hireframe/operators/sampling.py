@@ -46,7 +46,8 @@ def shuffle_order(df: DataFrame, key_col: str, seed: int) -> DataFrame:
     return rank_by_hash(df.withColumn("_o", det(seed, key_col)), "_o", key_col, out="pos").drop("_o")
 
 
-def sample_with_replacement(df: DataFrame, n: int, key_col: str, seed: int = 1) -> DataFrame:
+def sample_with_replacement(df: DataFrame, n: int, key_col: str, seed: int = 1,
+                            copy_col: str | None = None) -> DataFrame:
     """Exactly ``n`` rows drawn uniformly with replacement.
 
     Rows get a global index 1..N in seeded order (two-level rank); draw i picks
@@ -59,14 +60,19 @@ def sample_with_replacement(df: DataFrame, n: int, key_col: str, seed: int = 1)
     spark = df.sparkSession
     total = df.count()
     if total == 0 or n == 0:
-        return df.limit(0)
+        empty = df.limit(0)
+        return empty.withColumn(copy_col, F.lit(0)) if copy_col else empty
     indexed = shuffle_order(df, key_col, seed).withColumnRenamed("pos", "_idx")
     draws = (spark.range(n)
              .select((hashed_index(f"{seed}:draw", F.col("id"), total) + 1).alias("_idx"))
              .groupBy("_idx").agg(F.count(F.lit(1)).alias("_k")))
     picked = indexed.join(draws, "_idx", "inner")
-    return (picked.withColumn("_rep", F.explode(F.array_repeat(F.lit(1), F.col("_k").cast("int"))))
-            .drop("_idx", "_k", "_rep"))
+    out = (picked.select("*", F.posexplode(F.array_repeat(F.lit(1), F.col("_k").cast("int")))
+                         .alias("_copy", "_rep"))
+           .drop("_idx", "_k", "_rep"))
+    if copy_col:
+        return out.withColumnRenamed("_copy", copy_col)
+    return out.drop("_copy")
 
 
 def other_rows_needed(n_target: int, target_share: float) -> int:
@@ -75,7 +81,7 @@ def other_rows_needed(n_target: int, target_share: float) -> int:
 
 
 def rebalance(df: DataFrame, label_col: str, key_col: str, target: str = "en",
-              target_share: float = 0.25, seed: int = 10032023) -> DataFrame:
+              target_share: float = 0.25, seed: int = 10032023, copy_col: str | None = None) -> DataFrame:
     """Keep all target rows and draw others with replacement so that the
     target makes up ``target_share`` of the result."""
     if not 0 < target_share <= 1:
@@ -84,7 +90,10 @@ def rebalance(df: DataFrame, label_col: str, key_col: str, target: str = "en",
     targets = df.filter(is_target)
     others = df.filter(~is_target | F.col(label_col).isNull())
     n_other = other_rows_needed(targets.count(), target_share)
-    return targets.unionByName(sample_with_replacement(others, n_other, key_col, seed))
+    drawn = sample_with_replacement(others, n_other, key_col, seed, copy_col)
+    if copy_col:
+        targets = targets.withColumn(copy_col, F.lit(0))
+    return targets.unionByName(drawn)
 
 
 def ceil_share(n: int, share: float) -> int:

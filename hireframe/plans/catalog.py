@@ -179,3 +179,367 @@ select company_name, language from (
   group by company_name, text_language) x where rn = 1""", "unique_postings"))
 def q_majority_vote(spark, d):
     return voting.majority_vote(unique_postings(spark, d), "company_name", "text_language", out="language")
+
+
+# ================================================================ part 2
+
+from ..functions import predicates as P  # noqa: E402
+from ..functions import text as T  # noqa: E402
+from ..operators import classify, evaluate, splitting  # noqa: E402
+from ..operators.extraction import (extract_employer_description, residual_sentences,  # noqa: E402
+                                    sentences_by_cues)
+from ..operators.vocabulary import build_vocabulary, encode_tokens, longest_sequence  # noqa: E402
+from ..sources.labels import level_mapping, MESO_MAPPING, MACRO_MAPPING, PHARMA_MAPPING  # noqa: E402
+from . import flows  # noqa: E402
+
+
+def labelled_only(spark, d) -> DataFrame:
+    return labelled_postings(spark, d).filter(F.col("industry").isNotNull())
+
+
+def corpus(spark, d) -> DataFrame:
+    return fx.language_corpus(spark, d)
+
+
+# ---------------------------------------------------------------- text
+
+@register("sentences", S.with_views(f"""
+select uniq_id, cast(pos - 1 as bigint) as pos, sentence from (
+  select uniq_id, unnest(ss) as sentence, generate_subscripts(ss, 1) as pos
+  from (select uniq_id, {S.sentences("replace(job_description, chr(10), ' ')")} as ss from unique_postings))""",
+                                    "unique_postings"))
+def q_sentences(spark, d):
+    u = unique_postings(spark, d)
+    return u.select("uniq_id", F.posexplode(T.split_sentences(T.newline_to_space("job_description")))
+                    .alias("pos", "sentence")).withColumn("pos", F.col("pos").cast("bigint"))
+
+
+@register("conversation_sentences", f"""
+select conv_id, turn, cast(pos - 1 as bigint) as pos, sentence from (
+  select conv_id, turn, unnest(ss) as sentence, generate_subscripts(ss, 1) as pos
+  from (select conv_id, turn, {S.sentences('text')} as ss from conversations))""")
+def q_conversation_sentences(spark, d):
+    c = fx.table(spark, d, "conversations")
+    return c.select("conv_id", "turn", F.posexplode(T.split_sentences("text")).alias("pos", "sentence")) \
+        .withColumn("pos", F.col("pos").cast("bigint"))
+
+
+@register("residual_text", S.with_views(f"""
+with_d1 as (select uniq_id, {S.sentences('job_description')} as _sents,
+  array_to_string(list_filter({S.sentences('job_description')}, lambda x: length(company_name) > 0
+     and contains(lower(x), lower(company_name))), ' ') as _d1 from unique_postings),
+with_f as (select *, {S.sentences('_d1')} as _found from with_d1)
+select uniq_id, array_to_string({S.sentences("array_to_string(list_filter(_sents, lambda x: not list_contains(_found, x)), chr(32))")}, ' ') as residual
+from with_f""".replace("with_d1 as", ", with_d1 as", 1).replace("\nselect uniq_id, cast", "\nselect uniq_id, cast"),
+                                        "unique_postings").replace(")\n, with_d1", "),\nwith_d1"))
+def q_residual_text(spark, d):
+    u = unique_postings(spark, d).withColumn("_s", T.split_sentences("job_description"))
+    d1 = sentences_by_name(F.col("_s"), F.col("company_name"))
+    return u.select("uniq_id", T.join_sentences(residual_sentences(F.col("_s"), d1)).alias("residual"))
+
+
+@register("description_by_cues", S.with_views(f"""
+select uniq_id, array_to_string(list_filter({S.sentences('job_description')},
+   lambda x: list_contains({S.target_list()}, {S.cue_top_label('x')})), ' ') as desc_cues
+from unique_postings""", "unique_postings"))
+def q_description_by_cues(spark, d):
+    u = unique_postings(spark, d)
+    return u.select("uniq_id", sentences_by_cues(T.split_sentences("job_description")).alias("desc_cues"))
+
+
+def _employer_description_sql() -> str:
+    body = S.with_views("select 1", "unique_postings")[:-len("select 1")].rstrip()
+    return (body + ",\n" + S.extraction("unique_postings", "ed") +
+            "\nselect uniq_id, employer_description, retrieved_by from ed")
+
+
+@register("employer_description", _employer_description_sql())
+def q_employer_description(spark, d):
+    out = extract_employer_description(unique_postings(spark, d))
+    return out.select("uniq_id", "employer_description", F.array_join("retrieved_by", ",").alias("retrieved_by"))
+
+
+@register("dropna_postings", S.with_views("""
+select uniq_id, company_name from unique_postings
+where uniq_id is not null and text_language is not null and job_description is not null
+  and company_name is not null""", "unique_postings"))
+def q_dropna_postings(spark, d):
+    return unique_postings(spark, d).na.drop("any").select("uniq_id", "company_name")
+
+
+@register("null_if_empty", S.with_views("""
+select uniq_id, nullif(d, '') as description, coalesce(nullif(d, ''), 'no relevant information') as model_text
+from (select uniq_id, array_to_string(list_filter({s}, lambda x: length(company_name) > 0
+        and contains(lower(x), lower(company_name))), ' ') as d from unique_postings)"""
+                                        .replace("{s}", S.sentences("job_description")), "unique_postings"))
+def q_null_if_empty(spark, d):
+    u = unique_postings(spark, d)
+    desc = sentences_by_name(T.split_sentences("job_description"), F.col("company_name"))
+    return u.select("uniq_id", P.null_if_empty(desc).alias("description"), P.default_text(desc).alias("model_text"))
+
+
+@register("blind_names", S.with_views(f"""
+select uniq_id, {S.blind('job_description', 'company_name')} as blinded from unique_postings""",
+                                      "unique_postings"))
+def q_blind_names(spark, d):
+    u = unique_postings(spark, d)
+    return u.select("uniq_id", T.blind_names("job_description", "company_name", "this company").alias("blinded"))
+
+
+# ---------------------------------------------------------------- relabel
+
+def _mapping_values() -> str:
+    rows = [(lvl, k, v) for lvl, m in (("meso", MESO_MAPPING), ("macro", MACRO_MAPPING),
+                                       ("pharma", PHARMA_MAPPING)) for k, v in m.items()]
+    return ("(select * from (values " + ", ".join(f"({S.q(a)},{S.q(b)},{S.q(c)})" for a, b, c in rows)
+            + ") t(level, industry, target))")
+
+
+@register("relabel_level", S.with_views(f"""
+select l.uniq_id, lv.level, coalesce(m.target, l.industry) as industry
+from labelled l cross join (values ('meso'), ('macro'), ('pharma')) lv(level)
+left join {_mapping_values()} m on m.level = lv.level and m.industry = l.industry
+where l.industry is not null""", "labelled"))
+def q_relabel_level(spark, d):
+    base = labelled_only(spark, d).select("uniq_id", "industry")
+    mp = level_mapping(spark)
+    outs = [labelling.relabel(base, mp, lvl).select("uniq_id", F.lit(lvl).alias("level"), "industry")
+            for lvl in ("meso", "macro", "pharma")]
+    return outs[0].unionByName(outs[1]).unionByName(outs[2])
+
+
+# ---------------------------------------------------------------- splits
+
+def _employer_split_sql(test_size: float, validation: bool, val_size: float = 0.25, seed: int = 8082023,
+                        src: str = "labelled where industry is not null", cols: str = "uniq_id, company_name") -> str:
+    second = (f"""case when p = 'rest' then (case when cs - base < t2 then 'validation'
+          when cs - base > t2 then 'train' else 'dropped' end) else p end""" if validation
+              else "case when p = 'rest' then 'train' else p end")
+    return f""",
+sp_base as (select {cols} from {src}),
+sp_cc as (select company_name, count(*) as n from sp_base where company_name is not null group by 1),
+sp_cs as (select company_name, n, sum(n) over (order by md5(concat('{seed}:', company_name)), company_name
+          rows between unbounded preceding and current row) as cs from sp_cc),
+sp_t as (select cast(floor((select count(*) from sp_base) * cast({test_size} as double)) as bigint) as t),
+sp_p1 as (select company_name, n, cs, case when cs < t then 'test' when cs > t then 'rest' else 'dropped' end as p
+          from sp_cs, sp_t),
+sp_b as (select coalesce(sum(case when p <> 'rest' then n end), 0) as base, sum(n) as total from sp_p1),
+sp_t2 as (select base, cast(floor((total - base) * cast({val_size} as double)) as bigint) as t2 from sp_b),
+sp_part as (select company_name, {second} as partition from sp_p1, sp_t2),
+split as (select b.*, coalesce(sp_part.partition, 'dropped') as partition
+          from sp_base b left join sp_part on b.company_name = sp_part.company_name)"""
+
+
+def _views_plus(extra: str, body: str, *views: str) -> str:
+    head = S.with_views("select 1", *views)[:-len("select 1")].rstrip()
+    return head + extra + "\n" + body
+
+
+@register("split_by_employers", _views_plus(_employer_split_sql(0.15, True),
+                                            "select uniq_id, company_name, partition from split", "labelled"))
+def q_split_by_employers(spark, d):
+    df = labelled_only(spark, d).select("uniq_id", "company_name")
+    return splitting.split_by_employers(df, validation_set=True, test_size=0.15, val_size=0.25)
+
+
+@register("split_by_employers_2way", _views_plus(_employer_split_sql(0.2, False),
+                                                 "select uniq_id, company_name, partition from split", "labelled"))
+def q_split_by_employers_2way(spark, d):
+    df = labelled_only(spark, d).select("uniq_id", "company_name")
+    return splitting.split_by_employers(df, validation_set=False, test_size=0.2)
+
+
+@register("partition_leakage", _views_plus(_employer_split_sql(0.15, True), """
+select company_name, count(distinct partition) as n_partitions from split
+where partition <> 'dropped' and company_name is not null group by 1 having count(distinct partition) > 1""",
+                                           "labelled"))
+def q_partition_leakage(spark, d):
+    return splitting.partition_leakage(q_split_by_employers(spark, d))
+
+
+@register("partition_counts", _views_plus(_employer_split_sql(0.15, True),
+                                          "select partition, count(*) as n from split group by 1", "labelled"))
+def q_partition_counts(spark, d):
+    return splitting.partition_counts(q_split_by_employers(spark, d))
+
+
+def _quota_sql(name: str, counts: str, ncol: str, total: str, draw: str, out: str) -> str:
+    return f"""{name} as (select * exclude (_b, _r, _rk, _short), _b + case when _rk <= _short then 1 else 0 end as {out}
+  from (select *, row_number() over (order by _r desc, industry) as _rk,
+               {draw} - sum(_b) over () as _short
+        from (select *, ({ncol} * {draw}) // {total} as _b, ({ncol} * {draw}) % {total} as _r from {counts})))"""
+
+
+@register("split_random_stratified", _views_plus(f""",
+rs_base as (select uniq_id, industry from labelled where industry is not null),
+rs_cnt as (select industry, count(*) as n from rs_base group by 1),
+rs_n as (select sum(n) as n, cast(ceil(sum(n) * cast(0.15 as double)) as bigint) as nt from rs_cnt),
+{_quota_sql('rs_q1', 'rs_cnt', 'n', '(select n from rs_n)', '(select nt from rs_n)', 'qt')},
+rs_rest as (select *, n - qt as nr from rs_q1),
+rs_nv as (select cast(ceil(((select n from rs_n) - (select nt from rs_n)) * cast(0.25 as double)) as bigint) as nv),
+{_quota_sql('rs_q2', 'rs_rest', 'nr', '((select n from rs_n) - (select nt from rs_n))', '(select nv from rs_nv)', 'qv')},
+rs_rank as (select b.*, row_number() over (partition by industry order by md5(concat('10082023:', uniq_id)), uniq_id) as r
+            from rs_base b)""", """
+select r.uniq_id, r.industry, case when r <= qt then 'test' when r <= qt + qv then 'validation' else 'train' end
+  as partition from rs_rank r join rs_q2 q using (industry)""", "labelled"))
+def q_split_random_stratified(spark, d):
+    df = labelled_only(spark, d).select("uniq_id", "industry")
+    return splitting.random_stratified_split(df, "industry", "uniq_id", True, 0.15, 0.25, seed=10082023)
+
+
+@register("split_three_way", """
+with b as (select doc_id from documents),
+n as (select cast(round_even(count(*) * cast(0.15 as double), 0) as bigint) as nt from b),
+r as (select doc_id, row_number() over (order by md5(concat('10032023:', cast(doc_id as varchar))),
+      cast(doc_id as varchar)) as rk from b)
+select doc_id, case when rk <= nt then 'test' when rk <= 2 * nt then 'validation' else 'train' end as partition
+from r, n""")
+def q_split_three_way(spark, d):
+    df = fx.table(spark, d, "documents").select("doc_id")
+    return splitting.three_way_split(df, "doc_id", 0.15, seed=10032023)
+
+
+# ---------------------------------------------------------------- class-level aggregates
+
+@register("label_index", S.with_views("""
+select industry as label, cast(row_number() over (order by industry) - 1 as integer) as idx
+from (select distinct industry from labelled where industry is not null)""", "labelled"))
+def q_label_index(spark, d):
+    return evaluate.label_index(labelled_only(spark, d))
+
+
+@register("class_distribution", S.with_views("""
+select industry, count(*) as n from labelled where industry is not null group by 1""", "labelled"))
+def q_class_distribution(spark, d):
+    return evaluate.class_distribution(labelled_only(spark, d))
+
+
+@register("baseline_accuracy", S.with_views("""
+select round(max(n) / sum(n), 6) as zero_r, round(sum(n * n) / (sum(n) * sum(n)), 6) as random_guess
+from (select industry, count(*) as n from labelled where industry is not null group by 1)""", "labelled"))
+def q_baseline_accuracy(spark, d):
+    b = evaluate.baseline_accuracy(labelled_only(spark, d))
+    return b.select(F.round("zero_r", 6).alias("zero_r"), F.round("random_guess", 6).alias("random_guess"))
+
+
+@register("distinct_employers", S.with_views("""
+select company_name, uniq_id from (
+  select company_name, uniq_id, row_number() over (partition by company_name
+         order by md5(concat('4082023:', uniq_id)), uniq_id) as rn
+  from unique_postings where company_name is not null) x where rn = 1""", "unique_postings"))
+def q_distinct_employers(spark, d):
+    return voting.one_per_employer(unique_postings(spark, d), "uniq_id").select("company_name", "uniq_id")
+
+
+@register("rows_and_employers", S.with_views("""
+select count(*) as n_rows, count(distinct company_name) as n_employers from unique_postings""",
+                                             "unique_postings"))
+def q_rows_and_employers(spark, d):
+    return voting.rows_and_employers(unique_postings(spark, d))
+
+
+# ---------------------------------------------------------------- with-replacement draws
+
+def _draw_sql(src: str, key: str, seed, n_expr: str, out: str) -> str:
+    return f"""{out}_ix as (select *, row_number() over (order by md5(concat('{seed}:', cast({key} as varchar))),
+      cast({key} as varchar)) as _idx from {src}),
+{out}_n as (select count(*) as nn from {src}),
+{out}_dr as (select (cast(('0x' || substr(md5(concat('{seed}:draw:', cast(i as varchar))), 1, 8)) as bigint)
+      % (select nn from {out}_n)) + 1 as _idx from range(cast({n_expr} as bigint)) t(i)),
+{out} as (select x.* exclude (_idx), cast(row_number() over (partition by x._idx) - 1 as integer) as copy
+      from {out}_ix x join {out}_dr d on x._idx = d._idx)"""
+
+
+@register("sample_with_replacement", _views_plus(",\n" + _draw_sql(
+    "(select uniq_id, text_language from unique_postings)", "uniq_id", 1,
+    "(select count(*) from unique_postings)", "boot"),
+    "select uniq_id, text_language, copy from boot", "unique_postings"))
+def q_sample_with_replacement(spark, d):
+    u = unique_postings(spark, d).select("uniq_id", "text_language")
+    n = u.count()
+    return sampling.sample_with_replacement(u, n, "uniq_id", seed=1, copy_col="copy")
+
+
+def _rebalance_sql(seed=10032023, share=0.25) -> str:
+    return f"""rb_src as (select doc_id, text, lang as labels from documents),
+rb_t as (select * from rb_src where labels = 'en'),
+rb_o as (select * from rb_src where labels <> 'en' or labels is null),
+rb_k as (select cast(round_even((1 - cast({share} as double)) * ((select count(*) from rb_t) / cast({share} as double)), 0)
+         as bigint) as k),
+{_draw_sql('rb_o', 'doc_id', seed, '(select k from rb_k)', 'rb_d')},
+rebalanced as (select *, 0 as copy from rb_t union all select * from rb_d)"""
+
+
+@register("rebalance_target_share", "with " + _rebalance_sql() + """
+select doc_id, labels, cast(copy as integer) as copy from rebalanced""")
+def q_rebalance_target_share(spark, d):
+    out = sampling.rebalance(corpus(spark, d), "labels", "doc_id", "en", 0.25, 10032023, copy_col="copy")
+    return out.select("doc_id", "labels", F.col("copy").cast("int").alias("copy"))
+
+
+# ---------------------------------------------------------------- vocabulary and sequences
+
+def _vocab_sql(max_tokens: int, out: str = "vocab", src: str = "documents") -> str:
+    return f"""{out}_t as (select doc_id, unnest(tk) as token, generate_subscripts(tk, 1) as pos
+   from (select doc_id, {S.tokens('text')} as tk from {src})),
+{out}_a as (select token, count(*) as n from {out}_t group by 1),
+{out}_f as (select token, doc_id as fd, pos as fp from (select token, doc_id, pos,
+   row_number() over (partition by token order by doc_id, pos) as rn from {out}_t) z where rn = 1),
+{out}_r as (select token, cast(row_number() over (order by n desc, fd, fp) + 1 as integer) as id
+   from {out}_a join {out}_f using (token)),
+{out} as (select token, id from {out}_r where id <= {max_tokens - 1}
+   union all select '<pad>', 0 union all select '<unk>', 1)"""
+
+
+@register("token_counts", f"""
+select token, count(*) as n from (select unnest({S.tokens('text')}) as token from documents) group by 1""")
+def q_token_counts(spark, d):
+    from ..operators.vocabulary import token_counts
+    return token_counts(fx.table(spark, d, "documents"), "doc_id", "text").select("token", "n")
+
+
+@register("vocabulary", "with " + _vocab_sql(50000) + "\nselect token, id from vocab")
+def q_vocabulary(spark, d):
+    return build_vocabulary(fx.table(spark, d, "documents"), "doc_id", "text", 50000)
+
+
+@register("vocabulary_top", "with " + _vocab_sql(500) + "\nselect token, id from vocab")
+def q_vocabulary_top(spark, d):
+    return build_vocabulary(fx.table(spark, d, "documents"), "doc_id", "text", 500)
+
+
+def _encode_sql(src: str, key: str, vocab: str, seq: int | None, out: str) -> str:
+    trunc = f"list_slice({S.tokens('text')}, 1, {seq})" if seq else S.tokens("text")
+    ids = f"list(coalesce(v.id, 1) order by e.pos)"
+    pad = (f"list_concat(list_slice(ids, 1, {seq}), list_resize([0], greatest({seq} - len(ids), 0), 0))"
+           if seq else "ids")
+    return f"""{out}_e as (select {key} as _k, unnest(tk) as token, generate_subscripts(tk, 1) as pos
+   from (select {key}, {trunc} as tk from {src})),
+{out}_g as (select s.{key} as _k, coalesce((select {ids} from {out}_e e left join {vocab} v on v.token = e.token
+   where e._k = s.{key}), []) as ids from {src} s),
+{out} as (select _k, {pad} as ids from {out}_g)"""
+
+
+@register("encode_tokens", "with " + _vocab_sql(500) + ",\n" + _encode_sql("documents", "doc_id", "vocab", None, "enc")
+          + "\nselect _k as doc_id, array_to_string(ids, ' ') as ids from enc")
+def q_encode_tokens(spark, d):
+    docs = fx.table(spark, d, "documents")
+    vocab = build_vocabulary(docs, "doc_id", "text", 500)
+    enc = encode_tokens(docs, "doc_id", "text", vocab)
+    return enc.select("doc_id", F.array_join("ids", " ").alias("ids"))
+
+
+@register("pad_sequences", "with " + _vocab_sql(500) + ",\n" + _encode_sql("documents", "doc_id", "vocab", 30, "enc")
+          + "\nselect _k as doc_id, array_to_string(ids, ' ') as ids from enc")
+def q_pad_sequences(spark, d):
+    docs = fx.table(spark, d, "documents")
+    vocab = build_vocabulary(docs, "doc_id", "text", 500)
+    enc = encode_tokens(docs, "doc_id", "text", vocab, sequence_length=30)
+    return enc.select("doc_id", F.array_join("ids", " ").alias("ids"))
+
+
+@register("longest_sequence", f"""
+select cast(max(len({S.tokens('text')})) as bigint) as max_len from documents""")
+def q_longest_sequence(spark, d):
+    docs = fx.table(spark, d, "documents").select("doc_id", T.word_tokens("text").alias("ids"))
+    return docs.agg(F.max(F.size("ids")).cast("bigint").alias("max_len"))

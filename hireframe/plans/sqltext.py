@@ -103,3 +103,71 @@ def cue_top_label(sent: str, var: str = "t") -> str:
 
 def target_list() -> str:
     return "[" + ", ".join(q(x) for x in DESC_TARGETS) + "]"
+
+
+def extraction(src: str, out: str, text: str = "job_description", name: str = "company_name",
+               use_cues: bool = True) -> str:
+    """CTEs turning ``src`` into ``out`` with d1 (name pass), d2 (cue pass),
+    employer_description (NULL if empty) and retrieved_by (comma-joined)."""
+    name_pass = (f"array_to_string(list_filter(_sents, lambda x: length({name}) > 0 "
+                 f"and contains(lower(x), lower({name}))), ' ')")
+    resid = (f"{sentences(f'array_to_string(list_filter(_sents, lambda x: not list_contains(_found, x)), chr(32))')}")
+    cue = (f"array_to_string(list_filter(_resid, lambda x: list_contains({target_list()}, "
+           f"{cue_top_label('x')})), ' ')") if use_cues else "''"
+    return f"""{out}_a as (select *, {sentences(text)} as _sents from {src}),
+{out}_b as (select *, {name_pass} as _d1 from {out}_a),
+{out}_c as (select *, {sentences('_d1')} as _found from {out}_b),
+{out}_d as (select *, {resid} as _resid from {out}_c),
+{out}_e as (select *, {cue} as _d2 from {out}_d),
+{out} as (select * exclude (_sents, _found, _resid, _d1, _d2),
+  nullif(case when length(_d1) > 0 and length(_d2) > 0 then _d1 || ' ' || _d2
+              when length(_d1) > 0 then _d1 else _d2 end, '') as employer_description,
+  concat_ws(',', case when length(_d1) > 0 then 'name' end, case when length(_d2) > 0 then 'zsc' end) as retrieved_by
+  from {out}_e)"""
+
+
+def industry_train(out: str = "industry_train", cap: int = 500) -> str:
+    """E1 as CTEs over the ``labelled`` view."""
+    return f"""{out}_cap as (select * exclude (rn) from (
+  select uniq_id, text_language, job_description, company_name, industry,
+    row_number() over (partition by industry order by md5(concat('4082023:', uniq_id)), uniq_id) as rn
+  from labelled where industry is not null and text_language is not null and job_description is not null
+    and company_name is not null) x where rn <= {cap}),
+{extraction(f'{out}_cap', f'{out}_x')},
+{out} as (select uniq_id, employer_description, company_name, industry from {out}_x
+  where employer_description is not null)"""
+
+
+def blind(desc: str, name: str, rep: str = "this company") -> str:
+    return f"case when {name} is null or {name} = '' then {desc} else replace({desc}, {name}, {q(rep)}) end"
+
+
+def naive_bayes(prefix: str, train: str, label: str, toks: str, test: str, key: str, test_toks: str) -> str:
+    """CTEs for multinomial NB (alpha 1): ``{prefix}_full(key, label, score)``
+    and ``{prefix}_pred(key, prediction)``."""
+    p = prefix
+    return f"""{p}_tr as (select {label} as label, {toks} as toks from {train} where {label} is not null),
+{p}_pairs as (select label, token, count(*) as c from (select label, unnest(toks) as token from {p}_tr) group by 1, 2),
+{p}_docs as (select label, count(*) as d from {p}_tr group by 1),
+{p}_ntok as (select label, sum(c) as n from {p}_pairs group by 1),
+{p}_v as (select count(distinct token) as v from {p}_pairs),
+{p}_cls as (select k.label, ln(k.d / (select sum(d) from {p}_docs)) as prior, coalesce(t.n, 0) as n,
+   (select v from {p}_v) as v from {p}_docs k left join {p}_ntok t using (label)),
+{p}_w as (select t.token, k.label, ln((coalesce(pr.c, 0) + 1.0) / (k.n + k.v)) as w
+   from (select distinct token from {p}_pairs) t cross join {p}_cls k
+   left join {p}_pairs pr on pr.token = t.token and pr.label = k.label),
+{p}_te as (select {key} as _k, {test_toks} as toks from {test}),
+{p}_tt as (select _k, unnest(toks) as token from {p}_te),
+{p}_sum as (select tt._k, w.label, sum(w.w) as s from {p}_tt tt join {p}_w w using (token) group by 1, 2),
+{p}_full as (select x._k, k.label, k.prior + coalesce(s.s, 0) as score
+   from (select distinct _k from {p}_te) x cross join {p}_cls k
+   left join {p}_sum s on s._k = x._k and s.label = k.label),
+{p}_pred as (select _k, label as prediction from (
+   select _k, label, row_number() over (partition by _k order by round(score, 6) desc, label) as rn
+   from {p}_full) z where rn = 1),
+{p}_prob as (select f._k, f.label, exp(f.score - m.mx) / sum(exp(f.score - m.mx)) over (partition by f._k) as prob,
+   f.score from {p}_full f join (select _k, max(score) as mx from {p}_full group by 1) m using (_k))"""
+
+
+def trunc_tokens(expr: str, n: int = 128) -> str:
+    return f"list_slice({tokens(expr)}, 1, {n})"
