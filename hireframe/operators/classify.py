@@ -48,28 +48,39 @@ def _token_col(df: DataFrame, text_col: str | None, tokens_col: str | None) -> C
     return word_tokens(F.col(text_col))
 
 
+# Sentinel token: never produced by tokenisation (empty tokens are dropped).
+# In training it is added once per document, so its count per class is the
+# number of documents; in the token table its vector holds the class priors,
+# so every scored document picks up its priors through the same join.
+DOC_TOKEN = ""
+
+
 def train_naive_bayes(df: DataFrame, label_col: str, text_col: str | None = None,
                       tokens_col: str | None = None, alpha: float = 1.0,
                       checkpoint: bool = True) -> NaiveBayesModel:
     """M4: fit multinomial naive Bayes with Laplace smoothing ``alpha``.
 
-    Only class-level numbers (labels, priors, V) reach the driver; the token
-    table stays distributed and is checkpointed to the shared folder so that
-    scoring never recomputes the training scan.
+    One pass over the input: ``(label, token) -> count`` with a per-document
+    sentinel token (documents per class).  Only class-level numbers (labels,
+    priors, V) reach the driver; the token table stays distributed and is
+    checkpointed to the shared folder so scoring never recomputes training.
     """
     from ..session import shared_dir
 
+    spark = df.sparkSession
+    toks = F.filter(_token_col(df, text_col, tokens_col), lambda t: t != F.lit(DOC_TOKEN))
     base = df.filter(F.col(label_col).isNotNull()).select(
-        F.col(label_col).alias("label"), _token_col(df, text_col, tokens_col).alias("toks"))
-    docs = base.groupBy("label").agg(F.count(F.lit(1)).alias("docs"))
-    pairs = (base.select("label", F.explode("toks").alias("token"))
-             .groupBy("label", "token").agg(F.count(F.lit(1)).alias("c")))
+        F.col(label_col).alias("label"),
+        F.explode(F.concat(toks, F.array(F.lit(DOC_TOKEN)))).alias("token"))
+    counts = base.groupBy("label", "token").agg(F.count(F.lit(1)).alias("c"))
     if checkpoint:
-        shared_dir(df.sparkSession)
-        pairs = pairs.checkpoint(eager=True)
-    ntok = pairs.groupBy("label").agg(F.sum("c").alias("n_tokens"))
-    cls = docs.join(ntok, "label", "left").fillna(0, ["n_tokens"]).orderBy("label") \
-        .limit(MAX_CLASSES + 1).collect()
+        shared_dir(spark)
+        counts = counts.checkpoint(eager=True)
+    pairs = counts.filter(F.col("token") != F.lit(DOC_TOKEN))
+    cls = (counts.groupBy("label").agg(
+        F.sum(F.when(F.col("token") == F.lit(DOC_TOKEN), F.col("c"))).alias("docs"),
+        F.coalesce(F.sum(F.when(F.col("token") != F.lit(DOC_TOKEN), F.col("c"))), F.lit(0)).alias("n_tokens"))
+        .orderBy("label").limit(MAX_CLASSES + 1).collect())
     if len(cls) > MAX_CLASSES:
         raise ValueError(f"more than {MAX_CLASSES} classes")
     labels = [r["label"] for r in cls]
@@ -77,39 +88,41 @@ def train_naive_bayes(df: DataFrame, label_col: str, text_col: str | None = None
     priors = [math.log(r["docs"] / total_docs) for r in cls]
     ntoks = [int(r["n_tokens"]) for r in cls]
     V = pairs.select("token").distinct().count()
-    pivot = pairs.groupBy("token").pivot("label", labels).agg(F.first("c"))
+    pivot = pairs.groupBy("token").pivot("label", labels).agg(F.sum("c"))
     w = F.array(*[F.log((F.coalesce(F.col(f"`{lab}`"), F.lit(0)).cast("double") + F.lit(alpha))
                         / F.lit(float(ntoks[i] + alpha * V))) for i, lab in enumerate(labels)])
-    tokens = pivot.select("token", w.alias("w"))
+    prior_row = spark.createDataFrame([(DOC_TOKEN, [float(p) for p in priors])], "token string, w array<double>")
+    tokens = pivot.select("token", w.alias("w")).unionByName(prior_row)
     if checkpoint:
         tokens = tokens.checkpoint(eager=True)
-    classes = df.sparkSession.createDataFrame(
+    classes = spark.createDataFrame(
         [(i, lab, priors[i], ntoks[i], int(cls[i]["docs"])) for i, lab in enumerate(labels)],
         "idx int, label string, prior double, n_tokens bigint, docs bigint")
-    return NaiveBayesModel(tokens, classes, labels, priors, V, V)
+    return NaiveBayesModel(tokens, classes, labels, priors, V, V + 1)
 
 
 def class_scores(model: NaiveBayesModel, df: DataFrame, key_col: str, text_col: str | None = None,
                  tokens_col: str | None = None, max_tokens: int | None = None) -> DataFrame:
     """(key, raw ARRAY<DOUBLE>) log-scores per class for every row of ``df``.
 
-    ``max_tokens`` keeps only the first tokens (F11).  When the token table
-    cannot be broadcast, (key, token) counts are pre-aggregated before the
-    shuffle join so frequent tokens do not multiply rows.
+    One pass over ``df``: its tokens plus the sentinel are exploded, joined to
+    the token table and summed per row.  ``max_tokens`` keeps only the first
+    tokens (F11).  When the token table cannot be broadcast, (key, token)
+    counts are pre-aggregated before the shuffle join (AQE splits the hot
+    sentinel key, whose build side is a single row).
     """
     K = len(model.labels)
-    toks = _token_col(df, text_col, tokens_col)
+    toks = F.filter(_token_col(df, text_col, tokens_col), lambda t: t != F.lit(DOC_TOKEN))
     if max_tokens is not None:
         toks = truncate_tokens(toks, max_tokens)
-    exploded = df.select(F.col(key_col).alias("_k"), F.explode(toks).alias("token"))
+    exploded = df.select(F.col(key_col).alias("_k"),
+                         F.explode(F.concat(toks, F.array(F.lit(DOC_TOKEN)))).alias("token"))
     if model.token_rows <= MAX_BROADCAST_ROWS:
         counted = exploded.withColumn("q", F.lit(1.0))
     else:
         counted = exploded.groupBy("_k", "token").agg(F.count(F.lit(1)).cast("double").alias("q"))
     joined = counted.join(model.token_table(), "token", "inner")
-    parts = joined.select("_k", *[(F.col("q") * F.col("w")[i]).alias(f"s{i}") for i in range(K)])
-    base = df.select(F.col(key_col).alias("_k"), *[F.lit(p).alias(f"s{i}") for i, p in enumerate(model.priors)])
-    summed = parts.unionByName(base).groupBy("_k").agg(*[F.sum(f"s{i}").alias(f"s{i}") for i in range(K)])
+    summed = joined.groupBy("_k").agg(*[F.sum(F.col("q") * F.col("w")[i]).alias(f"s{i}") for i in range(K)])
     return summed.select(F.col("_k").alias(key_col), F.array(*[F.col(f"s{i}") for i in range(K)]).alias("raw"))
 
 
@@ -175,4 +188,4 @@ def load_model(spark, path: str, level: str = "nace") -> NaiveBayesModel:
     rows = classes.orderBy("idx").collect()
     V = int(rows[0]["vocab_size"]) if rows else 0
     return NaiveBayesModel(tokens, classes.drop("vocab_size"), [r["label"] for r in rows],
-                           [float(r["prior"]) for r in rows], V, V)
+                           [float(r["prior"]) for r in rows], V, V + 1)

@@ -140,9 +140,12 @@ def extract_employer_description(df: DataFrame, text_col: str = "job_description
     desc = _append(F.coalesce(F.col("_d1"), F.lit("")), F.col("_d2"), compat)
     by = F.array_compact(F.array(F.when(F.length("_d1") > 0, F.lit("name")),
                                  F.when(F.length("_d2") > 0, F.lit("zsc"))))
-    return (work.withColumn(out, F.nullif(desc, F.lit("")))
-            .withColumn("retrieved_by", by)
-            .drop("_sents", "_d1", "_d2"))
+    # The outputs leave through a one-row ``inline`` (a Generate node): a later
+    # filter on them (e.g. dropping NULL descriptions) cannot be pushed below
+    # it, so Catalyst never copies the sentence passes into that filter.
+    keep = [c for c in work.columns if c not in ("_sents", "_d1", "_d2")]
+    row = F.struct(F.nullif(desc, F.lit("")).alias(out), by.alias("retrieved_by"))
+    return work.select(*keep, F.inline(F.array(row)))
 
 
 def cue_scorer(targets=None, excluding=None, cues=None) -> Callable[[DataFrame], DataFrame]:
@@ -169,3 +172,23 @@ def pandas_scorer(predict: Callable[[list[str], list[str]], list[str]], targets=
     def score(long: DataFrame) -> DataFrame:
         return long.withColumn("top_label", top_label(F.col("sentence")))
     return score
+
+
+_PY_DROP = str.maketrans("", "", __import__("string").punctuation + __import__("string").digits)
+
+
+def python_cue_predict(sentences: list[str], labels: list[str]) -> list[str]:
+    """The cue classifier as plain Python (a stand-in for an external model in
+    :func:`pandas_scorer`); same tokens and tie rules as :func:`cue_top_label`."""
+    import re
+    cue_sets = {lab: set(CUE_WORDS.get(lab, [])) for lab in labels}
+    out = []
+    for s in sentences:
+        toks = [t for t in re.split(r"[ \t\r\n\f\x0b]+", s.translate(_PY_DROP).lower()) if t]
+        best, best_score = OTHER_LABEL, 0
+        for lab in labels:
+            sc = sum(1 for t in toks if t in cue_sets[lab])
+            if sc > best_score:
+                best, best_score = lab, sc
+        out.append(best)
+    return out

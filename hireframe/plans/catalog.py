@@ -543,3 +543,289 @@ select cast(max(len({S.tokens('text')})) as bigint) as max_len from documents"""
 def q_longest_sequence(spark, d):
     docs = fx.table(spark, d, "documents").select("doc_id", T.word_tokens("text").alias("ids"))
     return docs.agg(F.max(F.size("ids")).cast("bigint").alias("max_len"))
+
+
+# ---------------------------------------------------------------- models and flows
+
+def industry_train(spark, d) -> DataFrame:
+    """E1 over the fixtures."""
+    return flows.build_training_data(_jp(spark, d), _pc(spark, d), fx.label_companies(spark),
+                                     fx.label_patterns(spark))
+
+
+def industry_model(spark, d) -> classify.NaiveBayesModel:
+    """M4/M9: NB on all of E1 (names blinded, first 128 tokens)."""
+    tr = flows.blinded(industry_train(spark, d)).withColumn("_toks", flows.model_tokens())
+    return classify.train_naive_bayes(tr, "industry", tokens_col="_toks")
+
+
+def _e1_sql_head(*views: str) -> str:
+    head = S.with_views("select 1", "labelled", *views)[:-len("select 1")].rstrip()
+    return head + ",\n" + S.industry_train()
+
+
+_TRUNC_DESC = S.trunc_tokens("employer_description")
+_MODEL_TRAIN = f""",
+m_train as (select industry, {S.blind('employer_description', 'company_name')} as employer_description
+  from industry_train)"""
+
+
+@register("build_training_data", _e1_sql_head() + """
+select uniq_id, employer_description, company_name, industry from industry_train""")
+def q_build_training_data(spark, d):
+    return industry_train(spark, d)
+
+
+@register("train_industry_nb", _e1_sql_head() + _MODEL_TRAIN + ",\n" + S.naive_bayes(
+    "nb", "m_train", "industry", S.trunc_tokens("employer_description"), "m_train", "industry",
+    S.trunc_tokens("employer_description")) + """
+select k.label, cast(d.d as bigint) as docs, cast(k.n as bigint) as n_tokens, round(k.prior, 6) as prior,
+  cast(k.v as bigint) as vocab_size from nb_cls k join nb_docs d using (label)""")
+def q_train_industry_nb(spark, d):
+    m = industry_model(spark, d)
+    return m.classes.select("label", "docs", "n_tokens", F.round("prior", 6).alias("prior"),
+                            F.lit(m.vocab_size).cast("bigint").alias("vocab_size"))
+
+
+def _predict_sql(select: str) -> str:
+    head = _e1_sql_head("unique_postings") + _MODEL_TRAIN + ",\n" + S.extraction("unique_postings", "ed")
+    test = f""",
+p_in as (select uniq_id, list_slice({S.tokens("coalesce(nullif(employer_description, ''), 'no relevant information')")},
+  1, 128) as toks from ed),
+"""
+    nb = S.naive_bayes("nb", "m_train", "industry", S.trunc_tokens("employer_description"), "p_in", "uniq_id", "toks")
+    return head + test + nb + "\n" + select
+
+
+@register("predict_industry", _predict_sql("select _k as uniq_id, prediction from nb_pred"))
+def q_predict_industry(spark, d):
+    out = flows.classify_postings(industry_model(spark, d), unique_postings(spark, d))
+    return out.select("uniq_id", "prediction")
+
+
+@register("predict_scores", _predict_sql("""
+select p._k as uniq_id, p.prediction, round(s.score, 6) as score, round(s.raw_top, 4) as raw_top
+from nb_pred p join (select _k, max(prob) as score, max(score) as raw_top from nb_prob group by 1) s using (_k)"""))
+def q_predict_scores(spark, d):
+    out = flows.classify_postings(industry_model(spark, d), unique_postings(spark, d), return_probas=True)
+    return out.select("uniq_id", "prediction", F.round("score", 6).alias("score"),
+                      F.round(F.array_max("raw_scores"), 4).alias("raw_top"))
+
+
+@register("detect_language", "with " + S.naive_bayes(
+    "nb", "documents", "lang", S.tokens("text"), "documents", "doc_id", S.tokens("text")) + """
+select _k as doc_id, case when max(prob) > 0.75 then arg_max(label, prob) end as language
+from nb_prob group by 1""")
+def q_detect_language(spark, d):
+    docs = fx.table(spark, d, "documents")
+    model = classify.train_naive_bayes(docs, "lang", text_col="text")
+    return classify.detect_language(model, docs, "doc_id", "text", 0.75).select("doc_id", "language")
+
+
+def _e2_sql(level: str | None, select: str) -> str:
+    if level in (None, "nace"):
+        mapped = "industry"
+        join = ""
+    else:
+        mapped = "coalesce(mp.target, it.industry)"
+        join = f"left join {_mapping_values()} mp on mp.level = {S.q(level)} and mp.industry = it.industry"
+    head = _e1_sql_head()
+    body = f""",
+e2_rl as (select it.uniq_id, it.employer_description, it.company_name, {mapped} as industry
+  from industry_train it {join}),
+e2_cap as (select * exclude (rn) from (select *, row_number() over (partition by industry
+  order by md5(concat('4082023:', uniq_id)), uniq_id) as rn from e2_rl where industry is not null) z where rn <= 500),
+e2_b as (select uniq_id, {S.blind('employer_description', 'company_name')} as employer_description, company_name,
+  industry from e2_cap)"""
+    split = _employer_split_sql(0.2, False, src="e2_b", cols="uniq_id, employer_description, company_name, industry")
+    rest = f""",
+e2_tr as (select * from split where partition = 'train'),
+e2_te as (select * from split where partition = 'test'),
+{S.naive_bayes('nb', 'e2_tr', 'industry', _TRUNC_DESC, 'e2_te', 'uniq_id', _TRUNC_DESC)},
+pairs as (select te.industry as t, p.prediction as p from e2_te te left join nb_pred p on p._k = te.uniq_id),
+classes as (select distinct industry as class from e2_b),
+{S.report('pairs', 'classes')}
+"""
+    return head + body + split + rest + select
+
+
+def _e2(spark, d, level):
+    return flows.train_eval_level(industry_train(spark, d), level_mapping(spark), level)
+
+
+@register("classification_report", _e2_sql("nace", "select * from rep"))
+def q_classification_report(spark, d):
+    return _e2(spark, d, "nace").report
+
+
+@register("train_eval_macro", _e2_sql("macro", "select * from rep"))
+def q_train_eval_macro(spark, d):
+    return _e2(spark, d, "macro").report
+
+
+@register("train_eval_pharma", _e2_sql("pharma", "select * from rep"))
+def q_train_eval_pharma(spark, d):
+    return _e2(spark, d, "pharma").report
+
+
+def _e3_targets(spark, d) -> DataFrame:
+    """Employers no rule labels: the ones a user would classify."""
+    return (labelled_postings(spark, d).filter(F.col("industry").isNull() & F.col("company_name").isNotNull())
+            .select("company_name").distinct())
+
+
+_E3_SQL = (_e1_sql_head("job_postings", "position_characteristics") + _MODEL_TRAIN + """,
+e3_targets as (select distinct company_name from labelled where industry is null and company_name is not null),
+e3_posts as (select jp.uniq_id, jp.text_language, jp.job_description, pc.company_name
+  from (select * from job_postings where unique_posting_text = 'yes' and uniq_id in (
+    select uniq_id from position_characteristics where company_name in (select company_name from e3_targets))) jp
+  left join position_characteristics pc on jp.uniq_id = pc.uniq_id),
+e3_cap as (select * exclude (rn) from (select *, row_number() over (partition by company_name
+  order by md5(concat('4082023:', uniq_id)), uniq_id) as rn from e3_posts where company_name is not null) z
+  where rn <= 3),
+""" + S.extraction("e3_cap", "e3_x") + f""",
+e3_in as (select uniq_id, company_name, list_slice({S.tokens("coalesce(nullif(employer_description, ''), 'no relevant information')")},
+  1, 128) as toks from e3_x),
+""" + S.naive_bayes("nb", "m_train", "industry", _TRUNC_DESC, "e3_in", "uniq_id", "toks") + """
+select company_name, industry from (
+  select i.company_name, p.prediction as industry,
+    row_number() over (partition by i.company_name order by count(*) desc, p.prediction) as rn
+  from e3_in i join nb_pred p on p._k = i.uniq_id group by i.company_name, p.prediction) z where rn = 1""")
+
+
+@register("classify_employers", _E3_SQL)
+def q_classify_employers(spark, d):
+    return flows.classify_employers(_jp(spark, d), _pc(spark, d), _e3_targets(spark, d), industry_model(spark, d))
+
+
+# ---------------------------------------------------------------- English detector
+
+def _e4_sql(select: str, first_token: bool = False) -> str:
+    feats = "list_transform(list_filter(ids, lambda x: x <> 0), lambda x: cast(x as varchar))"
+    if first_token:
+        feats = f"list_slice({feats}, 1, 1)"
+    return ("with " + _vocab_sql(50000) + ",\n" + _rebalance_sql() + f""",
+e4_k as (select doc_id, text, labels, concat_ws(':', cast(doc_id as varchar), cast(copy as varchar)) as row_key
+  from rebalanced),
+e4_n as (select cast(round_even(count(*) * cast(0.15 as double), 0) as bigint) as nt from e4_k),
+e4_s as (select e4_k.*, case when rk <= nt then 'test' when rk <= 2 * nt then 'validation' else 'train' end as partition
+  from (select *, row_number() over (order by md5(concat('10032023:', row_key)), row_key) as rk from e4_k) e4_k, e4_n),
+""" + _encode_sql("e4_s", "row_key", "vocab", 30, "enc").replace("{key}", "row_key") + f""",
+e4_d as (select s.row_key, s.labels, s.partition, e.ids, case when s.labels = 'en' then 1 else 0 end as y,
+  cast(case when s.labels = 'en' then 1 else 0 end as varchar) as ys, {feats} as f
+  from e4_s s join enc e on e._k = s.row_key),
+e4_tr as (select * from e4_d where partition = 'train'),
+e4_te as (select * from e4_d where partition <> 'train'),
+""" + S.naive_bayes("nb", "e4_tr", "ys", "f", "e4_te", "row_key", "f") + """,
+e4_p as (select t.row_key, t.partition, t.y, coalesce(p.prob, 0.0) as p from e4_te t
+  left join (select _k, prob from nb_prob where label = '1') p on p._k = t.row_key),
+e4_l as (select *, -(y * (case when p <= 0 then -100 else greatest(ln(p), -100) end)
+  + (1 - y) * (case when 1 - p <= 0 then -100 else greatest(ln(1 - p), -100) end)) as loss,
+  case when (case when p >= 0.5 then 1 else 0 end) = y then 1.0 else 0.0 end as hit from e4_p)
+""" + select)
+
+
+def _e4(spark, d, features="all"):
+    return flows.english_detection(corpus(spark, d), features=features)
+
+
+@register("english_eval", _e4_sql("""
+select partition, round(avg(loss), 3) as loss, round(avg(hit), 3) as accuracy, count(*) as n
+from e4_l group by 1"""))
+def q_english_eval(spark, d):
+    return _e4(spark, d).evaluation
+
+
+@register("english_eval_first_token", _e4_sql("""
+select partition, round(avg(loss), 3) as loss, round(avg(hit), 3) as accuracy, count(*) as n
+from e4_l group by 1""", first_token=True))
+def q_english_eval_first_token(spark, d):
+    return _e4(spark, d, "first_token").evaluation
+
+
+@register("detect_english", _e4_sql("""
+select row_key, partition, y, case when p >= 0.5 then 1 else 0 end as is_english from e4_l"""))
+def q_detect_english(spark, d):
+    sc = _e4(spark, d).scored
+    return sc.select("row_key", "partition", "y", P.decide("p").alias("is_english"))
+
+
+@register("labelled_features", _e4_sql("""
+select row_key, y, array_to_string(ids, ' ') as ids from e4_d where partition = 'train'"""))
+def q_labelled_features(spark, d):
+    data = _e4(spark, d).data
+    return data.filter(F.col("partition") == "train").select("row_key", "y", F.array_join("ids", " ").alias("ids"))
+
+
+# ---------------------------------------------------------------- sources and sinks
+
+from ..sources import files  # noqa: E402
+
+
+@register("csv_roundtrip", ORACLE["build_training_data"])
+def q_csv_roundtrip(spark, d):
+    path = files.scratch_table_path(spark, "industry_train_csv")
+    files.write_table(industry_train(spark, d), path, fmt="csv")
+    return files.read_csv(spark, path, files.INDUSTRY_TRAIN_SCHEMA)
+
+
+@register("model_roundtrip", ORACLE["predict_industry"])
+def q_model_roundtrip(spark, d):
+    path = files.scratch_table_path(spark, "nb_model")
+    classify.save_model(industry_model(spark, d), path, level="nace")
+    model = classify.load_model(spark, path, level="nace")
+    return flows.classify_postings(model, unique_postings(spark, d)).select("uniq_id", "prediction")
+
+
+@register("vocabulary_roundtrip", ORACLE["encode_tokens"])
+def q_vocabulary_roundtrip(spark, d):
+    docs = fx.table(spark, d, "documents")
+    path = files.scratch_table_path(spark, "vocabulary")
+    files.save_vocabulary(build_vocabulary(docs, "doc_id", "text", 500), path)
+    enc = encode_tokens(docs, "doc_id", "text", files.load_vocabulary(spark, path))
+    return enc.select("doc_id", F.array_join("ids", " ").alias("ids"))
+
+
+@register("split_roundtrip", S.with_views("""
+select uniq_id, industry from labelled where industry is not null""", "labelled"))
+def q_split_roundtrip(spark, d):
+    """Write each partition of a split to its own folder, read them back stacked."""
+    parts = splitting.three_way_split(labelled_only(spark, d).select("uniq_id", "industry"), "uniq_id", 0.15)
+    base = files.scratch_table_path(spark, "splits")
+    parts.write.mode("overwrite").partitionBy("partition").parquet(base)
+    paths = {p: f"{base}/partition={p}" for p in ("train", "validation", "test")}
+    return files.read_splits(spark, paths, schema="uniq_id string, industry string").select("uniq_id", "industry")
+
+
+# ---------------------------------------------------------------- Spark ML variant and scorer hook
+
+@register("industry_logreg")
+def q_industry_logreg(spark, d):
+    """M4 alternative: HashingTF -> LogisticRegression on the employer split (rows only)."""
+    from ..operators.mlmodels import fit_logreg, predict_logreg
+    res = _e2_inputs(spark, d)
+    model = fit_logreg(res.filter(F.col("partition") == "train"), "industry", "_toks")
+    return predict_logreg(model, res.filter(F.col("partition") == "test"), "uniq_id", "_toks")
+
+
+@register("logreg_history")
+def q_logreg_history(spark, d):
+    """Per-iteration objective of the logistic regression (rows only)."""
+    from ..operators.mlmodels import fit_logreg, objective_history
+    res = _e2_inputs(spark, d)
+    return objective_history(spark, fit_logreg(res.filter(F.col("partition") == "train"), "industry", "_toks"))
+
+
+def _e2_inputs(spark, d) -> DataFrame:
+    df = flows.blinded(industry_train(spark, d))
+    parts = splitting.split_by_employers(df, validation_set=False, test_size=0.2)
+    return parts.withColumn("_toks", flows.model_tokens())
+
+
+@register("scorer_hook", _employer_description_sql())
+def q_scorer_hook(spark, d):
+    """The residual pass through an Arrow-batched Python scorer."""
+    from ..operators.extraction import pandas_scorer, python_cue_predict
+    out = extract_employer_description(unique_postings(spark, d), scorer=pandas_scorer(python_cue_predict),
+                                       key_col="uniq_id")
+    return out.select("uniq_id", "employer_description", F.array_join("retrieved_by", ",").alias("retrieved_by"))

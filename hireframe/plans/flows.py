@@ -19,6 +19,7 @@ from ..functions.text import blind_names, truncate_tokens, word_tokens
 from ..operators import classify, evaluate, labelling, sampling, splitting, voting
 from ..operators.extraction import extract_employer_description
 from ..operators.vocabulary import build_vocabulary, encode_tokens
+from ..session import shared_dir
 from ..sources import postings
 
 MODEL_MAX_TOKENS = 128   # F11: model input truncated to 128 word tokens
@@ -69,6 +70,8 @@ def train_eval_level(train: DataFrame, mapping: DataFrame, level: str | None = "
     df = sampling.subsample(df, "industry", "uniq_id", max_n_per_group=max_n_per_group)   # W1
     dist = evaluate.class_distribution(df)                                          # A2
     df = blinded(df)                                                                # F3
+    shared_dir(df.sparkSession)
+    df = df.checkpoint(eager=True)   # reused by split, index and report: cut lineage once
     parts = splitting.partition_data(df, "industry", "uniq_id", split_by=split_by, validation_set=False,
                                      test_size=test_size, seed=seed)                # L10
     parts = parts.withColumn("_toks", model_tokens()).cache()

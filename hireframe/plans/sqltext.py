@@ -171,3 +171,32 @@ def naive_bayes(prefix: str, train: str, label: str, toks: str, test: str, key:
 
 def trunc_tokens(expr: str, n: int = 128) -> str:
     return f"list_slice({tokens(expr)}, 1, {n})"
+
+
+def report(pairs: str, classes: str, out: str = "rep") -> str:
+    """CTEs for the per-class report over ``pairs(t, p)`` and ``classes(class)``;
+    final CTE ``{out}`` has class, precision, recall, f1, support."""
+    o = out
+    return f"""{o}_sup as (select t as class, count(*) as support from {pairs} group by 1),
+{o}_prd as (select p as class, count(*) as predicted from {pairs} group by 1),
+{o}_tp as (select t as class, count(*) as tp from {pairs} where t = p group by 1),
+{o}_per as (select c.class, coalesce(support, 0) as support, coalesce(predicted, 0) as predicted, coalesce(tp, 0) as tp
+  from {classes} c left join {o}_sup using (class) left join {o}_prd using (class) left join {o}_tp using (class)),
+{o}_cls as (select class,
+  case when predicted = 0 then 1.0 else tp / predicted end as precision,
+  case when support = 0 then 1.0 else tp / support end as recall,
+  case when 2 * tp + (predicted - tp) + (support - tp) = 0 then 1.0
+       else 2 * tp / (2 * tp + (predicted - tp) + (support - tp)) end as f1, support from {o}_per),
+{o}_obs as (select t as c from {pairs} where t is not null union select p from {pairs} where p is not null),
+{o}_diff as (select (select count(*) from (select c from {o}_obs except select class from {classes}))
+  + (select count(*) from (select class from {classes} except select c from {o}_obs)) as nd),
+{o}_tot as (select count(*) as n, sum(case when t = p then 1 else 0 end) as hits from {pairs}),
+{o}_all as (
+  select class, precision, recall, f1, support from {o}_cls
+  union all select case when (select nd from {o}_diff) = 0 then 'accuracy' else 'micro avg' end,
+    hits / n, hits / n, hits / n, n from {o}_tot
+  union all select 'macro avg', avg(precision), avg(recall), avg(f1), sum(support) from {o}_cls
+  union all select 'weighted avg', sum(precision * support) / sum(support), sum(recall * support) / sum(support),
+    sum(f1 * support) / sum(support), sum(support) from {o}_cls),
+{o} as (select class, round(precision, 6) as precision, round(recall, 6) as recall, round(f1, 6) as f1,
+  cast(support as bigint) as support from {o}_all)"""

@@ -1,0 +1,8 @@
+"""Streaming: nothing to build.
+
+The analysed system has no streaming, watermark, window or state code; every
+input is a batch scan.  The batch operators are plain DataFrame functions, so
+the stateless ones (labelling, sentence extraction, blinding, encoding with a
+fixed vocabulary) apply unchanged to a ``readStream`` DataFrame; aggregations
+(votes, training) stay batch jobs.
+"""
