@@ -1,0 +1,37 @@
+"""DuckDB oracle check for registered queries (subset by default; HIREFRAME_ALL_ORACLES=1 for all)."""
+
+import os
+
+import pytest
+
+import __spark_entry__ as E
+from tests.conftest import SF_SMALL
+from tests.oracle_check import check, duck
+
+FAST = ["postings_scan", "company_postings", "label_employers", "label_employers_compat", "subsample_per_group",
+        "description_by_name", "employer_description", "split_by_employers", "split_random_stratified",
+        "sample_with_replacement", "vocabulary_top", "pad_sequences", "detect_language", "majority_vote",
+        "classification_report", "english_eval"]
+NAMES = list(E.oracle_sql()) if os.environ.get("HIREFRAME_ALL_ORACLES") else FAST
+
+
+@pytest.fixture(scope="module")
+def con():
+    return duck(SF_SMALL)
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_query_matches_oracle(spark, con, name):
+    _, msg, n_spark, n_oracle, _ = check(spark, con, SF_SMALL, name)
+    assert msg == "OK", (name, n_spark, n_oracle)
+
+
+def test_every_query_has_callable():
+    qs = E.queries()
+    assert set(E.oracle_sql()) <= set(qs)
+    assert len(qs) >= 60
+
+
+def test_entry_runs(spark):
+    df = E.entry(spark)
+    assert df.count() >= 0 and df.columns == ["company_name", "industry"]

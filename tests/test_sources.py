@@ -1,0 +1,35 @@
+from hireframe.sources import files
+from hireframe.sources.postings import flatten_companies, get_company_postings, get_postings
+
+
+def test_limit_before_join_fans_out(spark):
+    jp = spark.createDataFrame([("p1", "de", "t1", "yes"), ("p2", "de", "t2", "yes"), ("p3", "de", "t3", "no")],
+                               "uniq_id string, text_language string, job_description string, unique_posting_text string")
+    pc = spark.createDataFrame([("p1", "x"), ("p1", "y"), ("p2", "z")], "uniq_id string, company_name string")
+    out = get_postings(jp, pc, institution_name=True, sample_size=1)
+    ids = {r.uniq_id for r in out.collect()}
+    assert len(ids) == 1
+    assert out.count() == (2 if ids == {"p1"} else 1)
+    assert get_postings(jp).count() == 2
+
+
+def test_company_postings_flatten(spark):
+    assert flatten_companies([["a", "b"], "c", ["d"]]) == ["c", "a", "b", "d"]
+    jp = spark.createDataFrame([("p1", "de", "t1", "yes"), ("p2", "de", "t2", "yes")],
+                               "uniq_id string, text_language string, job_description string, unique_posting_text string")
+    pc = spark.createDataFrame([("p1", "o'brien"), ("p2", "z")], "uniq_id string, company_name string")
+    out = get_company_postings(jp, pc, [["o'brien"]], institution_name=True).collect()
+    assert [(r.uniq_id, r.company_name) for r in out] == [("p1", "o'brien")]
+
+
+def test_text_files_and_csv_roundtrip(spark, tmp_path):
+    d = tmp_path / "posts"
+    d.mkdir()
+    (d / "saanen_bank.txt").write_text("Line one.\nLine two.", encoding="utf-8")
+    got = files.read_text_postings(spark, str(d)).first()
+    assert got.company_name == "saanen bank" and got.job_description == "Line one. Line two."
+    df = spark.createDataFrame([("u1", 'a "quoted"\nmulti-line text', "c, d", "x")], files.INDUSTRY_TRAIN_SCHEMA)
+    path = str(tmp_path / "csv")
+    files.write_table(df, path, fmt="csv")
+    back = files.read_csv(spark, path, files.INDUSTRY_TRAIN_SCHEMA).collect()
+    assert [tuple(r) for r in back] == [tuple(r) for r in df.collect()]
