@@ -28,7 +28,7 @@ def _c(col: str | Column) -> Column:
 
 def strip_ws(col: str | Column) -> Column:
     """Trim spaces, tabs and newlines at both ends."""
-    return F.regexp_replace(_c(col), r"^[ \t\r\n]+|[ \t\r\n]+$", "")
+    return F.trim(_c(col), F.lit(" \t\r\n"))
 
 
 def split_sentences(col: str | Column) -> Column:

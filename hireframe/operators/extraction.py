@@ -56,11 +56,13 @@ def _member_of(words: list[str]):
     return lambda t: t.isin(words)
 
 
-def cue_top_label(sentence: Column, labels: list[str], cues: dict | None = None) -> Column:
+def cue_top_label(sentence: Column, labels: list[str], cues: dict | None = None,
+                  tokens: Column | None = None) -> Column:
     """Top label of one sentence under the cue table: most cue tokens wins,
-    ties go to the earlier label, no cue -> 'other'."""
+    ties go to the earlier label, no cue -> 'other'.  ``tokens`` may pass the
+    sentence's tokens when they are already computed."""
     cues = CUE_WORDS if cues is None else cues
-    toks = word_tokens(sentence)
+    toks = word_tokens(sentence) if tokens is None else tokens
     scored = []
     for i, label in enumerate(labels):
         words = cues.get(label, [])
@@ -75,18 +77,26 @@ def sentences_by_name(sentences: Column, name: Column, compat: bool = False) ->
     return join_sentences(F.filter(sentences, lambda s: contains_name(s, name, compat)))
 
 
-def residual_sentences(sentences: Column, extracted: Column) -> Column:
-    """Sentences not in the (re-split) extracted text, joined and re-split."""
-    found = split_sentences(extracted)
+def residual_sentences(sentences: Column, extracted: Column | None = None,
+                       found: Column | None = None) -> Column:
+    """Sentences not in the (re-split) extracted text, joined and re-split.
+
+    Pass ``found`` (the extracted text already split, as a column) so the split
+    is not repeated for every sentence inside the lambda.
+    """
+    found = split_sentences(extracted) if found is None else found
     kept = F.filter(sentences, lambda s: ~F.array_contains(found, s))
     return split_sentences(join_sentences(kept))
 
 
 def sentences_by_cues(sentences: Column, targets=None, excluding=None, cues=None) -> Column:
-    """M2 (default scorer): sentences whose top label is a target, joined."""
+    """M2 (default scorer): sentences whose top label is a target, joined.
+    Each sentence is tokenised once; the label scores read those tokens."""
     labels = candidate_labels(targets, excluding)
     tset = list(DESC_TARGETS if targets is None else targets)
-    return join_sentences(F.filter(sentences, lambda s: cue_top_label(s, labels, cues).isin(tset)))
+    with_toks = F.transform(sentences, lambda s: F.struct(s.alias("s"), word_tokens(s).alias("t")))
+    kept = F.filter(with_toks, lambda x: cue_top_label(x.getField("s"), labels, cues, x.getField("t")).isin(tset))
+    return join_sentences(F.transform(kept, lambda x: x.getField("s")))
 
 
 def _append(d1: Column, d2: Column, compat: bool) -> Column:
@@ -122,7 +132,8 @@ def extract_employer_description(df: DataFrame, text_col: str = "job_description
     work = df.withColumn("_sents", split_sentences(F.col(text_col)))
     if name_col is not None:
         work = work.withColumn("_d1", sentences_by_name(F.col("_sents"), F.col(name_col), compat))
-        resid = residual_sentences(F.col("_sents"), F.col("_d1"))
+        work = work.withColumn("_found", split_sentences(F.col("_d1")))
+        resid = residual_sentences(F.col("_sents"), found=F.col("_found"))
     else:
         work = work.withColumn("_d1", F.lit(""))
         resid = F.col("_sents")
@@ -143,7 +154,7 @@ def extract_employer_description(df: DataFrame, text_col: str = "job_description
     # The outputs leave through a one-row ``inline`` (a Generate node): a later
     # filter on them (e.g. dropping NULL descriptions) cannot be pushed below
     # it, so Catalyst never copies the sentence passes into that filter.
-    keep = [c for c in work.columns if c not in ("_sents", "_d1", "_d2")]
+    keep = [c for c in work.columns if c not in ("_sents", "_d1", "_d2", "_found")]
     row = F.struct(F.nullif(desc, F.lit("")).alias(out), by.alias("retrieved_by"))
     return work.select(*keep, F.inline(F.array(row)))
 

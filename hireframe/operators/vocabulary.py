@@ -8,11 +8,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from ..functions.sizing import broadcast_if_small
 from ..functions.text import pad_ids, word_tokens
 
 PAD, UNK = "<pad>", "<unk>"
+POS_RADIX = 10 ** 12   # positions below 10^12 pack exactly next to any 64-bit key
 
 
 def exploded_tokens(df: DataFrame, key_col: str, text_col: str) -> DataFrame:
@@ -20,11 +22,24 @@ def exploded_tokens(df: DataFrame, key_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(key_col), F.posexplode(word_tokens(F.col(text_col))).alias("pos", "token"))
 
 
+def _first_key(df: DataFrame, key_col: str):
+    """Order key of a token occurrence: (row key, position).
+
+    For integral keys it is packed into one exact DECIMAL(38,0)
+    (key * 10^12 + pos), which hash aggregation can minimise in place; other
+    keys fall back to a struct (sort-based aggregation).
+    """
+    if isinstance(df.schema[key_col].dataType, IntegralType):
+        return (F.col(key_col).cast("decimal(38,0)") * F.lit(POS_RADIX).cast("decimal(38,0)")
+                + F.col("pos").cast("decimal(38,0)")).cast("decimal(38,0)")
+    return F.struct(F.col(key_col).alias("k"), F.col("pos"))
+
+
 def token_counts(df: DataFrame, key_col: str, text_col: str) -> DataFrame:
-    """A5: (token, n, first) with ``first`` = struct(key, pos) of the first occurrence.
-    Partial aggregation combines hot tokens map-side."""
-    return (exploded_tokens(df, key_col, text_col).groupBy("token")
-            .agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.col(key_col).alias("k"), "pos")).alias("first")))
+    """A5: (token, n, first) with ``first`` ordering the first occurrence
+    (row key, then position).  Partial aggregation combines hot tokens map-side."""
+    ex = exploded_tokens(df, key_col, text_col)
+    return ex.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min(_first_key(df, key_col)).alias("first"))
 
 
 def build_vocabulary(df: DataFrame, key_col: str, text_col: str, max_tokens: int | None = 50000) -> DataFrame:
@@ -38,7 +53,7 @@ def build_vocabulary(df: DataFrame, key_col: str, text_col: str, max_tokens: int
     """
     spark = df.sparkSession
     counts = token_counts(df, key_col, text_col)
-    order = [F.col("n").desc(), F.col("first.k"), F.col("first.pos")]
+    order = [F.col("n").desc(), F.col("first")]
     specials = spark.createDataFrame([(PAD, 0), (UNK, 1)], "token string, id int")
     if max_tokens:
         top = counts.orderBy(*order).limit(max(max_tokens - 2, 0))
