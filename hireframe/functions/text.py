@@ -79,15 +79,21 @@ def blind_names(desc: str | Column, name: str | Column, replacement: str = "blin
     return F.when(n.isNull() | (n == F.lit("")), d).otherwise(replaced)
 
 
+# The same characters as one regex class: ASCII 0x21-0x40 (punctuation and
+# digits), 0x5B-0x60 and 0x7B-0x7E.
+_PUNCT_DIGITS_CLASS = r"[\x21-\x40\x5B-\x60\x7B-\x7E]"
+
+
 def strip_punct_digits(col: str | Column) -> Column:
-    """remove ASCII punctuation and digits."""
-    return F.translate(_c(col), PUNCTUATION + DIGITS, "")
+    """remove ASCII punctuation and digits (one regex pass, faster than a
+    per-character translate map)."""
+    return F.regexp_replace(_c(col), _PUNCT_DIGITS_CLASS, "")
 
 
 def word_tokens(col: str | Column) -> Column:
     """F4 + F5: strip punctuation/digits, lower-case, split on whitespace."""
     cleaned = F.lower(strip_punct_digits(F.coalesce(_c(col), F.lit(""))))
-    return F.filter(F.split(cleaned, _WS), lambda t: t != F.lit(""))
+    return F.array_remove(F.split(cleaned, _WS), F.lit(""))
 
 
 def truncate_tokens(arr: str | Column, n: int = 128) -> Column:

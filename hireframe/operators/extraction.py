@@ -56,22 +56,59 @@ def _member_of(words: list[str]):
     return lambda t: t.isin(words)
 
 
-def cue_top_label(sentence: Column, labels: list[str], cues: dict | None = None,
-                  tokens: Column | None = None) -> Column:
-    """Top label of one sentence under the cue table: most cue tokens wins,
-    ties go to the earlier label, no cue -> 'other'.  ``tokens`` may pass the
-    sentence's tokens when they are already computed."""
+def _disjoint(cues: dict, labels: list[str]) -> bool:
+    seen: set[str] = set()
+    for lab in labels:
+        words = set(cues.get(lab, []))
+        if words & seen:
+            return False
+        seen |= words
+    return True
+
+
+def cue_codes(tokens: Column, labels: list[str], cues: dict | None = None) -> Column | None:
+    """ARRAY<INT>: the label index of every cue token (-1 for other tokens),
+    one lambda per token; None when cue lists overlap."""
     cues = CUE_WORDS if cues is None else cues
-    toks = word_tokens(sentence) if tokens is None else tokens
-    scored = []
-    for i, label in enumerate(labels):
-        words = cues.get(label, [])
-        score = F.size(F.filter(toks, _member_of(words))) if words else F.lit(0)
-        scored.append(F.struct(score.alias("s"), F.lit(-i).alias("i"), F.lit(label).alias("label")))
-    best = F.greatest(*scored) if len(scored) > 1 else scored[0]
+    cued = [(i, cues[lab]) for i, lab in enumerate(labels) if cues.get(lab)]
+    if not cued or not _disjoint(cues, labels):
+        return None
+
+    def code(t):
+        expr = F.when(t.isin(cued[0][1]), F.lit(cued[0][0]))
+        for i, words in cued[1:]:
+            expr = expr.when(t.isin(words), F.lit(i))
+        return expr.otherwise(F.lit(-1))
+    return F.transform(tokens, code)
+
+
+def _best(counts: list[Column], labels: list[str]) -> Column:
+    scored = [F.struct(c.alias("s"), F.lit(-i).alias("i"), F.lit(lab).alias("label"))
+              for i, (c, lab) in enumerate(zip(counts, labels))]
+    return F.greatest(*scored) if len(scored) > 1 else scored[0]
+
+
+def _counts_from_codes(codes: Column, K: int) -> list[Column]:
+    # occurrences of code i = size - size after removing every i (built-ins only)
+    return [F.size(codes) - F.size(F.array_remove(codes, F.lit(i))) for i in range(K)]
+
+
+def _counts_from_tokens(toks: Column, labels: list[str], cues: dict) -> list[Column]:
+    return [F.size(F.filter(toks, _member_of(cues[lab]))) if cues.get(lab) else F.lit(0) for lab in labels]
+
+
+def _top(best: Column) -> Column:
     return F.when(best.getField("s") > 0, best.getField("label")).otherwise(F.lit(OTHER_LABEL))
 
 
+def cue_top_label(sentence: Column, labels: list[str], cues: dict | None = None) -> Column:
+    """Top label of one sentence under the cue table: most cue tokens wins,
+    ties go to the earlier label, no cue -> 'other'.  (Row-level form; the
+    array form used by the extractor is :func:`sentences_by_cues`.)"""
+    cues = CUE_WORDS if cues is None else cues
+    return _top(_best(_counts_from_tokens(word_tokens(sentence), labels, cues), labels))
+
+
 def sentences_by_name(sentences: Column, name: Column, compat: bool = False) -> Column:
     """M1: the sentences that mention the employer, joined with spaces."""
     return join_sentences(F.filter(sentences, lambda s: contains_name(s, name, compat)))
@@ -91,11 +128,23 @@ def residual_sentences(sentences: Column, extracted: Column | None = None,
 
 def sentences_by_cues(sentences: Column, targets=None, excluding=None, cues=None) -> Column:
     """M2 (default scorer): sentences whose top label is a target, joined.
-    Each sentence is tokenised once; the label scores read those tokens."""
+
+    Layered ``transform``s so every per-sentence value is computed once:
+    (sentence, cue codes) -> (sentence, best label struct) -> filter.
+    """
+    cues = CUE_WORDS if cues is None else cues
     labels = candidate_labels(targets, excluding)
     tset = list(DESC_TARGETS if targets is None else targets)
-    with_toks = F.transform(sentences, lambda s: F.struct(s.alias("s"), word_tokens(s).alias("t")))
-    kept = F.filter(with_toks, lambda x: cue_top_label(x.getField("s"), labels, cues, x.getField("t")).isin(tset))
+    first = F.transform(sentences, lambda s: F.struct(
+        s.alias("s"), (cue_codes(word_tokens(s), labels, cues) if _disjoint(cues, labels)
+                       else word_tokens(s)).alias("c")))
+    if _disjoint(cues, labels):
+        second = F.transform(first, lambda x: F.struct(
+            x.getField("s").alias("s"), _best(_counts_from_codes(x.getField("c"), len(labels)), labels).alias("b")))
+    else:
+        second = F.transform(first, lambda x: F.struct(
+            x.getField("s").alias("s"), _best(_counts_from_tokens(x.getField("c"), labels, cues), labels).alias("b")))
+    kept = F.filter(second, lambda x: _top(x.getField("b")).isin(tset))
     return join_sentences(F.transform(kept, lambda x: x.getField("s")))
 
 
