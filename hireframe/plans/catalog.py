@@ -817,7 +817,9 @@ def q_logreg_history(spark, d):
 
 
 def _e2_inputs(spark, d) -> DataFrame:
-    df = flows.blinded(industry_train(spark, d))
+    from ..session import shared_dir
+    shared_dir(spark)
+    df = flows.blinded(industry_train(spark, d)).checkpoint(eager=True)
     parts = splitting.split_by_employers(df, validation_set=False, test_size=0.2)
     return parts.withColumn("_toks", flows.model_tokens())
 
