@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def fit_logreg(df: DataFrame, label_col: str, tokens_col: str, num_features: int = 1 << 18,
-               max_iter: int = 50, reg: float = 0.01) -> PipelineModel:
+def fit_logreg(df: DataFrame, label_col: str, tokens_col: str, num_features: int = 1 << 16,
+               max_iter: int = 30, reg: float = 0.01) -> PipelineModel:
     """Fit StringIndexer (alphabetical, A4) -> HashingTF -> LogisticRegression."""
     idx = StringIndexer(inputCol=label_col, outputCol="_label", stringOrderType="alphabetAsc",
                         handleInvalid="error")

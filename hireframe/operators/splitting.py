@@ -13,6 +13,9 @@ from ..functions.ordering import det, rank_by_hash, running_total_by_hash
 from ..functions.sizing import broadcast_if_small
 from .sampling import ceil_share
 
+# Class-level tables are broadcast only up to this many classes.
+MAX_BROADCAST_CLASSES = 1000
+
 
 def split_by_employers(df: DataFrame, company_col: str = "company_name", validation_set: bool = True,
                        test_size: float = 0.15, val_size: float = 0.25, seed: int = 8082023,
@@ -83,8 +86,11 @@ def random_stratified_split(df: DataFrame, y: str, key_col: str, validation_set:
         quotas = _largest_remainder(rest, y, "_nr", max(n_rest, 1), n_val, "_qv").drop("_nr")
     else:
         quotas = quotas.withColumn("_qv", F.lit(0).cast("bigint"))
-    ranked = rank_by_hash(base.withColumn("_o", det(seed, key_col)), "_o", key_col, by=y, out="_r")
-    out = ranked.join(F.broadcast(quotas.select(y, "_qt", "_qv")), y, "inner")
+    few = counts.count() <= MAX_BROADCAST_CLASSES   # offsets have up to classes x 4096 rows
+    ranked = rank_by_hash(base.withColumn("_o", det(seed, key_col)), "_o", key_col, by=y, out="_r",
+                          broadcast_offsets=few)
+    q = quotas.select(y, "_qt", "_qv")
+    out = ranked.join(F.broadcast(q) if few else q, y, "inner")
     part = (F.when(F.col("_r") <= F.col("_qt"), F.lit("test"))
             .when(F.col("_r") <= F.col("_qt") + F.col("_qv"), F.lit("validation"))
             .otherwise(F.lit("train")))

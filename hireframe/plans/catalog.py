@@ -831,3 +831,17 @@ def q_scorer_hook(spark, d):
     out = extract_employer_description(unique_postings(spark, d), scorer=pandas_scorer(python_cue_predict),
                                        key_col="uniq_id")
     return out.select("uniq_id", "employer_description", F.array_join("retrieved_by", ",").alias("retrieved_by"))
+
+
+@register("retrain_full_report", _e2_sql("nace", "select * from rep").replace(
+    "e2_tr as (select * from split where partition = 'train')", "e2_tr as (select * from split)"))
+def q_retrain_full_report(spark, d):
+    """M9: the model refit on every partition, reported on the test partition."""
+    return flows.train_eval_level(industry_train(spark, d), level_mapping(spark), "nace", retrain_full=True).report
+
+
+@register("peek_training_data", _e1_sql_head() + """
+select uniq_id, employer_description, company_name, industry from industry_train order by uniq_id limit 5""")
+def q_peek_training_data(spark, d):
+    """The first rows of the training data (ordered, so the peek repeats)."""
+    return files.peek(industry_train(spark, d).orderBy("uniq_id"), 5)
