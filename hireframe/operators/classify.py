@@ -87,14 +87,16 @@ def train_naive_bayes(df: DataFrame, label_col: str, text_col: str | None = None
     total_docs = sum(r["docs"] for r in cls)
     priors = [math.log(r["docs"] / total_docs) for r in cls]
     ntoks = [int(r["n_tokens"]) for r in cls]
-    V = pairs.select("token").distinct().count()
-    pivot = pairs.groupBy("token").pivot("label", labels).agg(F.sum("c"))
-    w = F.array(*[F.log((F.coalesce(F.col(f"`{lab}`"), F.lit(0)).cast("double") + F.lit(alpha))
-                        / F.lit(float(ntoks[i] + alpha * V))) for i, lab in enumerate(labels)])
-    prior_row = spark.createDataFrame([(DOC_TOKEN, [float(p) for p in priors])], "token string, w array<double>")
-    tokens = pivot.select("token", w.alias("w")).unionByName(prior_row)
+    # raw counts per token (one row per vocabulary token), checkpointed; V is its row count
+    raw = pairs.groupBy("token").pivot("label", labels).agg(F.sum("c"))
+    raw = raw.select("token", F.array(*[F.coalesce(F.col(f"`{lab}`"), F.lit(0)) for lab in labels]).alias("c"))
     if checkpoint:
-        tokens = tokens.checkpoint(eager=True)
+        raw = raw.checkpoint(eager=True)
+    V = raw.count()
+    w = F.array(*[F.log((F.col("c")[i].cast("double") + F.lit(alpha)) / F.lit(float(ntoks[i] + alpha * V)))
+                  for i in range(len(labels))])
+    prior_row = spark.createDataFrame([(DOC_TOKEN, [float(p) for p in priors])], "token string, w array<double>")
+    tokens = raw.select("token", w.alias("w")).unionByName(prior_row)
     classes = spark.createDataFrame(
         [(i, lab, priors[i], ntoks[i], int(cls[i]["docs"])) for i, lab in enumerate(labels)],
         "idx int, label string, prior double, n_tokens bigint, docs bigint")
