@@ -71,11 +71,12 @@ def encode_tokens(df: DataFrame, key_col: str, text_col: str, vocabulary: DataFr
 
     Tokens are exploded, joined to the (bounded, size-checked) vocabulary by
     broadcast hash join and regrouped per row in position order.  With a
-    sequence length, positions past it are dropped before the join.
+    sequence length, positions past it are dropped before the explode.
     """
-    toks = df.select(F.col(key_col), F.posexplode_outer(word_tokens(F.col(text_col))).alias("pos", "token"))
+    words = word_tokens(F.col(text_col))
     if sequence_length is not None:
-        toks = toks.filter(F.col("pos").isNull() | (F.col("pos") < sequence_length))
+        words = F.slice(words, 1, sequence_length)   # truncate before exploding: at most L rows per text
+    toks = df.select(F.col(key_col), F.posexplode_outer(words).alias("pos", "token"))
     vocab = broadcast_if_small(vocabulary.select("token", F.col("id").alias("_id")))
     j = toks.join(vocab, "token", "left")
     item = F.when(F.col("token").isNotNull(), F.struct("pos", F.coalesce(F.col("_id"), F.lit(1)).alias("id")))
