@@ -80,16 +80,43 @@ def running_total_by_hash(df: DataFrame, value_col: str, order_col: str, tie_col
     return joined.withColumn(out, F.sum(value_col).over(wb) + F.col("_off")).drop("_bkt", "_off")
 
 
-def first_n(df: DataFrame, n: int, order_col: str, tie_col: str,
-            small_limit: int = 100_000) -> DataFrame:
+def first_n(df: DataFrame, n: int, order_col: str, tie_col: str) -> DataFrame:
     """The first ``n`` rows in (order_col, tie_col) order.
 
-    Small ``n`` plans as TakeOrderedAndProject (a per-partition top-k); large
-    ``n`` uses the two-level rank so no single task holds ``n`` rows.
+    Small ``n`` plans as TakeOrderedAndProject (a per-partition top-k whose
+    merge is checked to stay small); large ``n`` uses the two-level rank so no
+    single task holds ``n`` rows per partition.
     """
     if not isinstance(n, int) or isinstance(n, bool):
         raise TypeError("n must be an int")
-    if n <= small_limit:
+    if top_k_is_small(df, n):
         return df.orderBy(F.col(order_col), F.col(tie_col)).limit(n)
     return rank_by_hash(df, order_col, tie_col, out="_first_n_rank").filter(
         F.col("_first_n_rank") <= n).drop("_first_n_rank")
+
+
+# A top-k merges (partitions x k) rows in one task; above this we rank by sort.
+TOP_K_MERGE_ROWS = 20_000_000
+
+
+def top_k_is_small(df: DataFrame, k: int) -> bool:
+    """Is a per-partition top-k of ``k`` rows cheap to merge in one task?"""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return k * max(parts, 1) <= TOP_K_MERGE_ROWS
+
+
+def rank_by_sort(df: DataFrame, order: list, out: str = "rank", partitions: int | None = None) -> DataFrame:
+    """Exact global ``row_number()`` for any sort order, without a single-task window.
+
+    Rows are range-partitioned by the order (a distributed sort); the sizes of
+    the range partitions (one small row each) give running offsets; each
+    partition then numbers its own rows.
+    """
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(n, *order).withColumn("_pid", F.spark_partition_id())
+    sizes = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
+    w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_pid", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
+    within = Window.partitionBy("_pid").orderBy(*order)
+    return (ranged.join(F.broadcast(offsets), "_pid")
+            .withColumn(out, F.row_number().over(within) + F.col("_off")).drop("_pid", "_off"))

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
+from ..functions.ordering import rank_by_sort, top_k_is_small
 from ..functions.sizing import broadcast_if_small
 from ..functions.text import pad_ids, word_tokens
 
@@ -45,23 +46,24 @@ def token_counts(df: DataFrame, key_col: str, text_col: str) -> DataFrame:
 def build_vocabulary(df: DataFrame, key_col: str, text_col: str, max_tokens: int | None = 50000) -> DataFrame:
     """(token STRING, id INT) with the two special tokens first.
 
-    With ``max_tokens`` the top ``max_tokens - 2`` tokens are taken by a
-    per-partition top-k (TakeOrderedAndProject), so only that many rows ever
-    meet in one task.  Without a cap the order is a distributed sort and ids
-    come from ``zipWithIndex`` (per-partition counts + offsets), never from a
-    single-task window.
+    When the top ``max_tokens - 2`` tokens times the partition count is small,
+    a per-partition top-k (TakeOrderedAndProject) picks them; otherwise (and
+    without a cap) ids come from a distributed range sort with per-partition
+    offsets (:func:`rank_by_sort`), never from a single-task merge or window.
     """
     spark = df.sparkSession
     counts = token_counts(df, key_col, text_col)
     order = [F.col("n").desc(), F.col("first")]
     specials = spark.createDataFrame([(PAD, 0), (UNK, 1)], "token string, id int")
-    if max_tokens:
-        top = counts.orderBy(*order).limit(max(max_tokens - 2, 0))
+    k = max(max_tokens - 2, 0) if max_tokens else None
+    if k is not None and top_k_is_small(counts, k):
+        top = counts.orderBy(*order).limit(k)
         ranked = top.select("token", (F.row_number().over(Window.orderBy(*order)) + 1).cast("int").alias("id"))
     else:
-        ordered = counts.orderBy(*order).select("token")
-        ranked = spark.createDataFrame(
-            ordered.rdd.zipWithIndex().map(lambda r: (r[0][0], int(r[1]) + 2)), "token string, id int")
+        ranked = rank_by_sort(counts, order, out="_r")
+        if k is not None:
+            ranked = ranked.filter(F.col("_r") <= k)
+        ranked = ranked.select("token", (F.col("_r") + 1).cast("int").alias("id"))
     return specials.unionByName(ranked)
 
 

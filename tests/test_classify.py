@@ -45,3 +45,15 @@ def test_vocabulary_ranks_and_unknowns(spark):
     assert enc == {1: [3, 2, 2, 0, 0], 2: [1, 3, 2, 1, 0]}
     full = {r.token: r.id for r in build_vocabulary(docs, "doc_id", "text", None).collect()}
     assert full == {"<pad>": 0, "<unk>": 1, "a": 2, "b": 3, "c": 4, "d": 5}
+
+
+def test_vocabulary_sort_path_equals_top_k(spark, monkeypatch):
+    from hireframe.functions import ordering
+    def word(x):
+        return chr(97 + x % 26) * (1 + x // 26)
+    docs = spark.createDataFrame([(i, " ".join(word((i * j) % 37) for j in range(1, 30))) for i in range(60)],
+                                 "doc_id long, text string")
+    a = {r.token: r.id for r in build_vocabulary(docs, "doc_id", "text", 20).collect()}
+    monkeypatch.setattr(ordering, "TOP_K_MERGE_ROWS", 0)
+    b = {r.token: r.id for r in build_vocabulary(docs, "doc_id", "text", 20).collect()}
+    assert a == b and len(a) == 20

@@ -106,3 +106,11 @@ def test_three_way_sizes(spark):
     assert c == {"test": 15, "validation": 15, "train": 71}
     c2 = {r.partition: r["count"] for r in three_way_split(df, "k", 10).groupBy("partition").count().collect()}
     assert c2 == {"test": 10, "validation": 10, "train": 81}
+
+
+def test_rank_by_sort_equals_row_number(spark):
+    from hireframe.functions.ordering import rank_by_sort
+    df = spark.range(3000).select((F.col("id") % 17).alias("a"), (F.col("id") * 7919 % 3001).alias("b"))
+    mine = rank_by_sort(df, [F.col("a").desc(), F.col("b")], out="r", partitions=5)
+    ref = df.select("a", "b", F.row_number().over(Window.orderBy(F.col("a").desc(), "b")).alias("r"))
+    assert mine.select("a", "b", "r").exceptAll(ref).count() == 0
