@@ -32,8 +32,20 @@ def like_pattern(p: str) -> str:
     return "% " + p + "%"
 
 
+def name_match(c: Column, p: str, escape: str = LIKE_ESCAPE, anchor: str = "space") -> Column:
+    """One pattern against a name.  ``anchor='space'`` (observed behaviour, Q3):
+    a space must precede the pattern; ``anchor='word'`` also accepts the
+    pattern at the very start of the name."""
+    hit = F.ilike(c, F.lit(like_pattern(p)), F.lit(escape))
+    if anchor == "word":
+        return hit | F.ilike(c, F.lit(p + "%"), F.lit(escape))
+    if anchor != "space":
+        raise ValueError("anchor must be 'space' or 'word'")
+    return hit
+
+
 def like_any(col: str | Column, patterns, escape: str = LIKE_ESCAPE,
-             compat: bool = False) -> Column:
+             compat: bool = False, anchor: str = "space") -> Column:
     """P5: OR of case-insensitive LIKEs of ``col`` against ``'% p%'`` patterns.
 
     Returns a Column (values never travel as SQL text).  ``compat=True`` keeps
@@ -48,7 +60,7 @@ def like_any(col: str | Column, patterns, escape: str = LIKE_ESCAPE,
     plist = [patterns] if isinstance(patterns, str) else list(patterns)
     if not plist:
         return F.lit(False)
-    return reduce(lambda a, b: a | b, [F.ilike(c, F.lit(like_pattern(p)), F.lit(escape)) for p in plist])
+    return reduce(lambda a, b: a | b, [name_match(c, p, escape, anchor) for p in plist])
 
 
 def null_if_empty(col: str | Column) -> Column:

@@ -175,6 +175,13 @@ def detect_language(model: NaiveBayesModel, df: DataFrame, key_col: str, text_co
                     "score")
 
 
+def texts_frame(spark, texts, key_col: str = "id", text_col: str = "text") -> DataFrame:
+    """M6 convenience: a bare string or a list of strings as a (id, text) DataFrame."""
+    if isinstance(texts, str):
+        texts = [texts]
+    return spark.createDataFrame([(i, t) for i, t in enumerate(texts)], f"{key_col} long, {text_col} string")
+
+
 def save_model(model: NaiveBayesModel, path: str, level: str = "nace", mode: str = "overwrite") -> None:
     """Token and class tables as parquet, partitioned by level."""
     model.tokens.withColumn("level", F.lit(level)).write.mode(mode).partitionBy("level") \

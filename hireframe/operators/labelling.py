@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.predicates import LIKE_ESCAPE, like_pattern
+from ..functions.predicates import name_match
 from ..functions.sizing import broadcast_if_small
 
 # A pattern dictionary is configuration; refuse to compile absurdly large ones.
@@ -32,9 +32,9 @@ def _pattern_rows(patterns: DataFrame, companies: DataFrame | None, compat: bool
     return sorted(rows, key=lambda r: (r[1], r[0], r[2]))
 
 
-def pattern_match(company: Column, rows: list) -> Column:
+def pattern_match(company: Column, rows: list, anchor: str = "space") -> Column:
     """First (rank, industry) struct whose pattern matches ``company``, else NULL."""
-    hits = [F.when(F.ilike(company, F.lit(like_pattern(p)), F.lit(LIKE_ESCAPE)),
+    hits = [F.when(name_match(company, p, anchor=anchor),
                    F.struct(F.lit(rank).alias("industry_rank"), F.lit(ind).alias("industry")))
             for ind, rank, p in rows]
     if not hits:
@@ -42,24 +42,25 @@ def pattern_match(company: Column, rows: list) -> Column:
     return hits[0] if len(hits) == 1 else F.least(*hits)
 
 
-def pattern_industries(company: Column, rows: list) -> Column:
+def pattern_industries(company: Column, rows: list, anchor: str = "space") -> Column:
     """ARRAY<STRING> of every industry whose patterns match ``company`` (rank order)."""
     by_ind: dict[tuple, list[str]] = {}
     for ind, rank, p in rows:
         by_ind.setdefault((rank, ind), []).append(p)
     hits = [F.when(reduce(lambda a, b: a | b,
-                          [F.ilike(company, F.lit(like_pattern(p)), F.lit(LIKE_ESCAPE)) for p in ps]), F.lit(ind))
+                          [name_match(company, p, anchor=anchor) for p in ps]), F.lit(ind))
             for (rank, ind), ps in sorted(by_ind.items())]
     if not hits:
         return F.array().cast("array<string>")
     return F.array_compact(F.array(*hits))
 
 
-def pattern_employers(position_characteristics: DataFrame, patterns: DataFrame) -> DataFrame:
+def pattern_employers(position_characteristics: DataFrame, patterns: DataFrame,
+                      anchor: str = "space") -> DataFrame:
     """Distinct (industry, company_name) pairs whose name matches an industry's patterns."""
     rows = _pattern_rows(patterns, None, False)
     names = position_characteristics.select("company_name").where(F.col("company_name").isNotNull()).distinct()
-    return names.select(F.explode(pattern_industries(F.col("company_name"), rows)).alias("industry"),
+    return names.select(F.explode(pattern_industries(F.col("company_name"), rows, anchor)).alias("industry"),
                         "company_name")
 
 
@@ -70,7 +71,8 @@ def _first_listed(companies: DataFrame) -> DataFrame:
 
 
 def label_employers(postings: DataFrame, companies: DataFrame, patterns: DataFrame,
-                    company_col: str = "company_name", compat: bool = False) -> DataFrame:
+                    company_col: str = "company_name", compat: bool = False,
+                    anchor: str = "space") -> DataFrame:
     """Add ``industry`` = the first-ranked industry from the list or the patterns.
 
     Exact, case-sensitive equality for listed names (so 'abbott ' only matches
@@ -80,7 +82,7 @@ def label_employers(postings: DataFrame, companies: DataFrame, patterns: DataFra
     rows = _pattern_rows(patterns, companies, compat)
     listed = broadcast_if_small(_first_listed(companies).withColumnRenamed("company_name", "_lname"))
     joined = postings.join(listed, F.col(company_col) == F.col("_lname"), "left")
-    best = F.least(F.col("_listed"), pattern_match(F.col(company_col), rows))
+    best = F.least(F.col("_listed"), pattern_match(F.col(company_col), rows, anchor))
     return joined.withColumn("industry", best.getField("industry")).drop("_lname", "_listed")
 
 

@@ -121,16 +121,23 @@ class EnglishResult:
 def english_detection(corpus: DataFrame, key_col: str = "doc_id", text_col: str = "text",
                       label_col: str = "labels", target: str = "en", target_share: float = 0.25,
                       max_tokens: int = 50000, max_len: int = 30, test_size: float = 0.15,
-                      seed: int = 10032023, features: str = "all") -> EnglishResult:
+                      seed: int = 10032023, features: str = "all", fit_on: str = "all") -> EnglishResult:
     """Binary detector of the target language on padded id sequences.
 
     ``features='first_token'`` reproduces the original network, which only
-    looks at the first position (Q14).
+    looks at the first position (Q14).  The vocabulary is built on the whole
+    corpus before rebalancing and splitting (observed, Q20); ``fit_on='train'``
+    builds it on the training partition only.
     """
-    vocab = build_vocabulary(corpus, key_col, text_col, max_tokens)                 # W3 (Q20: whole corpus)
+    if fit_on not in ("all", "train"):
+        raise ValueError("fit_on must be 'all' or 'train'")
     reb = sampling.rebalance(corpus, label_col, key_col, target, target_share, seed, copy_col="_copy")  # L6
     reb = reb.withColumn("row_key", F.concat_ws(":", F.col(key_col).cast("string"), F.col("_copy").cast("string")))
     split = splitting.three_way_split(reb, "row_key", test_size, seed)              # L11
+    if fit_on == "all":
+        vocab = build_vocabulary(corpus, key_col, text_col, max_tokens)             # W3 on the whole corpus
+    else:
+        vocab = build_vocabulary(split.filter(F.col("partition") == "train"), "row_key", text_col, max_tokens)
     enc = encode_tokens(split, "row_key", text_col, vocab, sequence_length=max_len)  # F9/F10
     data = split.select("row_key", label_col, "partition").join(enc, "row_key", "inner") \
         .withColumn("y", one_vs_rest(label_col, target))                            # P14

@@ -57,3 +57,23 @@ def test_vocabulary_sort_path_equals_top_k(spark, monkeypatch):
     monkeypatch.setattr(ordering, "TOP_K_MERGE_ROWS", 0)
     b = {r.token: r.id for r in build_vocabulary(docs, "doc_id", "text", 20).collect()}
     assert a == b and len(a) == 20
+
+
+def test_detect_language_on_bare_strings(spark):
+    tr = spark.createDataFrame([("en", "the cat and the dog"), ("de", "der hund und die katze")],
+                               "lang string, text string")
+    m = classify.train_naive_bayes(tr, "lang", text_col="text")
+    out = classify.detect_language(m, classify.texts_frame(spark, "the dog"), "id", "text", min_score=0.5).first()
+    assert out.language == "en"
+    low = classify.detect_language(m, classify.texts_frame(spark, ["zzz"]), "id", "text", min_score=0.75).first()
+    assert low.language is None
+
+
+def test_english_vocabulary_fit_on_train(spark):
+    from hireframe.plans.flows import english_detection
+    rows = [(i, ("the cat sat on the mat" if i % 3 else "le chat est sur le tapis"), "en" if i % 3 else "fr")
+            for i in range(60)]
+    corpus = spark.createDataFrame(rows, "doc_id long, text string, labels string")
+    res = english_detection(corpus, fit_on="train", test_size=0.2)
+    ev = {r.partition: r for r in res.evaluation.collect()}
+    assert set(ev) == {"test", "validation"} and ev["test"].accuracy == 1.0

@@ -59,3 +59,11 @@ def test_load_labels_keeps_file_order(spark, tmp_path):
         ("zeta", 1, "b co"), ("zeta", 1, "a co"), ("alpha", 2, "c co")]
     with pytest.raises(ValueError):
         load_labels(spark, str(tmp_path), "names")
+
+
+def test_word_anchor_option(spark):
+    _, patterns = dims(spark)
+    posts = spark.createDataFrame([("1", "university of basel"), ("2", "basel university")],
+                                  "uniq_id string, company_name string")
+    got = {r.uniq_id: r.industry for r in label_employers(posts, _, patterns, anchor="word").collect()}
+    assert got == {"1": "research and academia", "2": "research and academia"}
