@@ -46,18 +46,20 @@ def _cols(cols: str | Sequence[str] | None) -> list[str]:
 
 def rank_by_hash(df: DataFrame, order_col: str, tie_col: str, by=None,
                  out: str = "rank", digits: int = DEFAULT_BUCKET_DIGITS,
-                 broadcast_offsets: bool = True) -> DataFrame:
+                 broadcast_offsets: bool = True, total: str | None = None) -> DataFrame:
     """Exact ``row_number() over (partition by <by> order by <order_col>, <tie_col>)``.
 
     ``order_col`` must be an md5 hex string (see :func:`det`).  Rows of one
     ``by`` group are spread over ``16**digits`` buckets, so a group holding a
-    third of all rows is ranked by thousands of tasks, not one.
+    third of all rows is ranked by thousands of tasks, not one.  ``total``
+    names an optional column carrying the group's row count.
     """
     by = _cols(by)
     b = df.withColumn("_bkt", F.substring(F.col(order_col), 1, digits))
     counts = b.groupBy(*by, "_bkt").agg(F.count(F.lit(1)).alias("_bn"))
     w = Window.partitionBy(*by).orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*by, "_bkt", F.coalesce(F.sum("_bn").over(w), F.lit(0)).alias("_off"))
+    extra = [F.sum("_bn").over(Window.partitionBy(*by)).alias(total)] if total else []
+    offsets = counts.select(*by, "_bkt", F.coalesce(F.sum("_bn").over(w), F.lit(0)).alias("_off"), *extra)
     if broadcast_offsets:
         offsets = F.broadcast(offsets)
     joined = b.join(offsets, [*by, "_bkt"], "inner")

@@ -31,11 +31,11 @@ def split_by_employers(df: DataFrame, company_col: str = "company_name", validat
     sit in one task; the employer table joins back by broadcast when it is
     small and by a skew-aware shuffle join otherwise.
     """
-    n_rows = df.count()
+    # one aggregation gives the employer counts and (with the NULL group) the row total
+    all_counts = df.groupBy(company_col).agg(F.count(F.lit(1)).alias("_n")).cache()
+    n_rows = int(all_counts.agg(F.sum("_n")).first()[0] or 0)
     t = int(n_rows * test_size)
-    counts = (df.filter(F.col(company_col).isNotNull()).groupBy(company_col)
-              .agg(F.count(F.lit(1)).alias("_n"))
-              .withColumn("_o", det(seed, company_col)))
+    counts = all_counts.filter(F.col(company_col).isNotNull()).withColumn("_o", det(seed, company_col))
     ranked = running_total_by_hash(counts, "_n", "_o", company_col, out="_cs").cache()
     first = F.when(F.col("_cs") < t, F.lit("test")).when(F.col("_cs") > t, F.lit("rest")) \
         .otherwise(F.lit(boundary))
@@ -100,16 +100,17 @@ def random_stratified_split(df: DataFrame, y: str, key_col: str, validation_set:
 def three_way_split(df: DataFrame, key_col: str, test_size=0.15, seed: int = 10032023) -> DataFrame:
     """Shuffle (seeded), then the first n rows are test, the next n
     validation, the rest train; a float ``test_size`` means round(N*share)."""
+    ranked = rank_by_hash(df.withColumn("_o", det(seed, key_col)), "_o", key_col, out="_r", total="_N")
     if isinstance(test_size, float):
-        n_test = int(round(df.count() * test_size))
+        # round(N * share), half to even like Python; N rides on the bucket-offset table
+        n_test = F.bround(F.col("_N").cast("double") * F.lit(test_size), 0)
     elif isinstance(test_size, int) and not isinstance(test_size, bool):
-        n_test = test_size
+        n_test = F.lit(test_size)
     else:
         raise TypeError("test_size must be an int or a float")
-    ranked = rank_by_hash(df.withColumn("_o", det(seed, key_col)), "_o", key_col, out="_r")
     part = (F.when(F.col("_r") <= n_test, F.lit("test"))
             .when(F.col("_r") <= 2 * n_test, F.lit("validation")).otherwise(F.lit("train")))
-    return ranked.withColumn("partition", part).drop("_o", "_r")
+    return ranked.withColumn("partition", part).drop("_o", "_r", "_N")
 
 
 def partition_data(df: DataFrame, y: str, key_col: str, split_by: str = "random",
