@@ -43,13 +43,16 @@ def token_counts(df: DataFrame, key_col: str, text_col: str) -> DataFrame:
     return ex.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min(_first_key(df, key_col)).alias("first"))
 
 
-def build_vocabulary(df: DataFrame, key_col: str, text_col: str, max_tokens: int | None = 50000) -> DataFrame:
+def build_vocabulary(df: DataFrame, key_col: str, text_col: str, max_tokens: int | None = 50000,
+                     checkpoint: bool = True) -> DataFrame:
     """(token STRING, id INT) with the two special tokens first.
 
     When the top ``max_tokens - 2`` tokens times the partition count is small,
     a per-partition top-k (TakeOrderedAndProject) picks them; otherwise (and
     without a cap) ids come from a distributed range sort with per-partition
     offsets (:func:`rank_by_sort`), never from a single-task merge or window.
+    The result is checkpointed to the shared folder (it is reused by every
+    encoding and its size check).
     """
     spark = df.sparkSession
     counts = token_counts(df, key_col, text_col)
@@ -64,7 +67,13 @@ def build_vocabulary(df: DataFrame, key_col: str, text_col: str, max_tokens: int
         if k is not None:
             ranked = ranked.filter(F.col("_r") <= k)
         ranked = ranked.select("token", (F.col("_r") + 1).cast("int").alias("id"))
-    return specials.unionByName(ranked)
+    vocab = specials.unionByName(ranked)
+    if checkpoint:
+        # built once, then size-checked and joined by every encoding: cut lineage here
+        from ..session import shared_dir
+        shared_dir(spark)
+        vocab = vocab.checkpoint(eager=True)
+    return vocab
 
 
 def encode_tokens(df: DataFrame, key_col: str, text_col: str, vocabulary: DataFrame,
