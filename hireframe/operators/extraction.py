@@ -180,9 +180,14 @@ def extract_employer_description(df: DataFrame, text_col: str = "job_description
     targets = list(DESC_TARGETS if targets is None else targets)
     work = df.withColumn("_sents", split_sentences(F.col(text_col)))
     if name_col is not None:
-        work = work.withColumn("_d1", sentences_by_name(F.col("_sents"), F.col(name_col), compat))
-        work = work.withColumn("_found", split_sentences(F.col("_d1")))
-        resid = residual_sentences(F.col("_sents"), found=F.col("_found"))
+        name = F.col(name_col)
+        work = work.withColumn("_d1", sentences_by_name(F.col("_sents"), name, compat))
+        # J9 for this pass: the extracted text is a sub-list of the sentences
+        # chosen by a test on the sentence text, and re-splitting joined
+        # sentences gives them back, so "not among the extracted sentences"
+        # is exactly "fails the name test" (no re-split, no membership scan).
+        resid = F.filter(F.col("_sents"),
+                         lambda x: ~F.coalesce(contains_name(x, name, compat), F.lit(False)))
     else:
         work = work.withColumn("_d1", F.lit(""))
         resid = F.col("_sents")
@@ -203,7 +208,7 @@ def extract_employer_description(df: DataFrame, text_col: str = "job_description
     # The outputs leave through a one-row ``inline`` (a Generate node): a later
     # filter on them (e.g. dropping NULL descriptions) cannot be pushed below
     # it, so Catalyst never copies the sentence passes into that filter.
-    keep = [c for c in work.columns if c not in ("_sents", "_d1", "_d2", "_found")]
+    keep = [c for c in work.columns if c not in ("_sents", "_d1", "_d2")]
     row = F.struct(F.nullif(desc, F.lit("")).alias(out), by.alias("retrieved_by"))
     return work.select(*keep, F.inline(F.array(row)))
 
