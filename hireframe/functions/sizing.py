@@ -10,11 +10,13 @@ from pyspark.sql import functions as F
 MAX_BROADCAST_ROWS = 2_000_000
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+def broadcast_if_small(df: DataFrame, max_rows: int | None = None) -> DataFrame:
     """Return ``broadcast(df)`` if ``df`` has at most ``max_rows`` rows, else ``df``.
 
     Counting runs one job over ``df``; call it on dimension-sized inputs
     (dictionaries, vocabularies, model tables), ideally already checkpointed.
     """
+    if max_rows is None:
+        max_rows = MAX_BROADCAST_ROWS
     n = df.limit(max_rows + 1).count()
     return F.broadcast(df) if n <= max_rows else df

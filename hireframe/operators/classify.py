@@ -19,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.sizing import MAX_BROADCAST_ROWS
+from ..functions import sizing
 from ..functions.text import truncate_tokens, word_tokens
 
 # Report-sized: more classes than this is not a classification task we serve.
@@ -37,7 +37,7 @@ class NaiveBayesModel:
     token_rows: int
 
     def token_table(self) -> DataFrame:
-        if self.token_rows <= MAX_BROADCAST_ROWS:
+        if self.token_rows <= sizing.MAX_BROADCAST_ROWS:
             return F.broadcast(self.tokens)
         return self.tokens
 
@@ -119,7 +119,7 @@ def class_scores(model: NaiveBayesModel, df: DataFrame, key_col: str, text_col:
         toks = truncate_tokens(toks, max_tokens)
     exploded = df.select(F.col(key_col).alias("_k"),
                          F.explode(F.concat(toks, F.array(F.lit(DOC_TOKEN)))).alias("token"))
-    if model.token_rows <= MAX_BROADCAST_ROWS:
+    if model.token_rows <= sizing.MAX_BROADCAST_ROWS:
         counted = exploded.withColumn("q", F.lit(1.0))
     else:
         counted = exploded.groupBy("_k", "token").agg(F.count(F.lit(1)).cast("double").alias("q"))

@@ -77,3 +77,16 @@ def test_english_vocabulary_fit_on_train(spark):
     res = english_detection(corpus, fit_on="train", test_size=0.2)
     ev = {r.partition: r for r in res.evaluation.collect()}
     assert set(ev) == {"test", "validation"} and ev["test"].accuracy == 1.0
+
+
+def test_scoring_shuffle_path_equals_broadcast(spark, monkeypatch):
+    from hireframe.functions import sizing
+    tr = spark.createDataFrame([("a", "red red blue the"), ("b", "blue green the the"), ("a", "red the")],
+                               "label string, text string")
+    te = spark.createDataFrame([("t1", "red the the"), ("t2", "green"), ("t3", "")], "k string, text string")
+    m = classify.train_naive_bayes(tr, "label", text_col="text")
+    a = {r.k: [round(x, 9) for x in r.raw] for r in classify.class_scores(m, te, "k", text_col="text").collect()}
+    monkeypatch.setattr(sizing, "MAX_BROADCAST_ROWS", 0)
+    plan = classify.class_scores(m, te, "k", text_col="text")
+    b = {r.k: [round(x, 9) for x in r.raw] for r in plan.collect()}
+    assert a == b and set(a) == {"t1", "t2", "t3"}

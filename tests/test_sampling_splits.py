@@ -114,3 +114,13 @@ def test_rank_by_sort_equals_row_number(spark):
     mine = rank_by_sort(df, [F.col("a").desc(), F.col("b")], out="r", partitions=5)
     ref = df.select("a", "b", F.row_number().over(Window.orderBy(F.col("a").desc(), "b")).alias("r"))
     assert mine.select("a", "b", "r").exceptAll(ref).count() == 0
+
+
+def test_employer_split_without_broadcast(spark, monkeypatch):
+    from hireframe.functions import sizing
+    rows = [(f"p{i}", f"c{i % 11}") for i in range(300)]
+    df = spark.createDataFrame(rows, "uniq_id string, company_name string")
+    a = sorted(map(tuple, split_by_employers(df).collect()))
+    monkeypatch.setattr(sizing, "MAX_BROADCAST_ROWS", 0)
+    b = sorted(map(tuple, split_by_employers(df).collect()))
+    assert a == b
