@@ -21,8 +21,30 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 
+# Row keys of the text tables (used to spread a scan that came out too coarse).
+TEXT_KEYS = {"documents": "doc_id", "pages": "page_id", "conversations": "conv_id"}
+
+
+def spread(df: DataFrame, key: str | None = None) -> DataFrame:
+    """Give CPU-heavy text work enough tasks.
+
+    A parquet row group cannot be split, so a table stored as a few large row
+    groups scans into a few tasks.  If the scan has fewer partitions than the
+    cluster's parallelism it is hash-partitioned by ``key`` into the shuffle
+    partition count (later joins on that key reuse the partitioning).  A large
+    input already has many more splits than cores and is left untouched.
+    """
+    spark = df.sparkSession
+    parallelism = spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= parallelism:
+        return df
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), parallelism)
+    return df.repartition(n, key) if key else df.repartition(n)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spread(df, TEXT_KEYS[name]) if name in TEXT_KEYS else df
 
 
 def _uniq_id(doc_id_col: str = "doc_id"):
