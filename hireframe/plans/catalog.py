@@ -10,7 +10,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.ordering import det
 from ..operators import labelling, sampling, voting
 from ..operators.extraction import sentences_by_name
 from ..functions.text import split_sentences
