@@ -83,7 +83,10 @@ def label_employers(postings: DataFrame, companies: DataFrame, patterns: DataFra
     listed = broadcast_if_small(_first_listed(companies).withColumnRenamed("company_name", "_lname"))
     joined = postings.join(listed, F.col(company_col) == F.col("_lname"), "left")
     best = F.least(F.col("_listed"), pattern_match(F.col(company_col), rows, anchor))
-    return joined.withColumn("industry", best.getField("industry")).drop("_lname", "_listed")
+    keep = [c for c in joined.columns if c not in ("_lname", "_listed", "industry")]
+    # emitted through a one-row inline (Generate): a later filter on the label
+    # (dropping unlabelled postings) cannot be pushed below it and re-run the patterns
+    return joined.select(*keep, F.inline(F.array(F.struct(best.getField("industry").alias("industry")))))
 
 
 def labelled_employers(position_characteristics: DataFrame, companies: DataFrame,
