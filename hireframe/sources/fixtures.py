@@ -35,8 +35,12 @@ def spread(df: DataFrame, key: str | None = None) -> DataFrame:
     input already has many more splits than cores and is left untouched.
     """
     spark = df.sparkSession
-    parallelism = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= parallelism:
+    try:
+        parallelism = spark.sparkContext.defaultParallelism
+        parts = df.rdd.getNumPartitions()
+    except Exception:       # no RDD view (e.g. a Connect session): leave the scan as it is
+        return df
+    if parts >= parallelism:
         return df
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), parallelism)
     return df.repartition(n, key) if key else df.repartition(n)
