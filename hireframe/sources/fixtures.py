@@ -31,8 +31,8 @@ def spread(df: DataFrame, key: str | None = None) -> DataFrame:
     A parquet row group cannot be split, so a table stored as a few large row
     groups scans into a few tasks.  If the scan has fewer partitions than the
     cluster's parallelism it is hash-partitioned by ``key`` into the shuffle
-    partition count (later joins on that key reuse the partitioning).  A large
-    input already has many more splits than cores and is left untouched.
+    partition count, capped at four tasks per core.  A large input already has
+    many more splits than cores and is left untouched.
     """
     spark = df.sparkSession
     try:
@@ -42,7 +42,9 @@ def spread(df: DataFrame, key: str | None = None) -> DataFrame:
         return df
     if parts >= parallelism:
         return df
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), parallelism)
+    # a few tasks per core (text lengths vary widely), never a flood of tiny tasks
+    shuffle = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = min(max(shuffle, parallelism), 4 * parallelism)
     return df.repartition(n, key) if key else df.repartition(n)
 
 
