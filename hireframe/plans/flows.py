@@ -152,3 +152,18 @@ def english_detection(corpus: DataFrame, key_col: str = "doc_id", text_col: str
     scored = sc.select("row_key", p.alias("p")).join(data.select("row_key", "partition", "y"), "row_key")
     ev = evaluate.binary_eval(scored, "y", "p", by="partition")                   # A14, A8
     return EnglishResult(vocab, data.drop("_f"), model, scored, ev)
+
+
+def predict_english(res: EnglishResult, df: DataFrame, key_col: str = "id", text_col: str = "text",
+                    max_len: int = 30, features: str = "all") -> DataFrame:
+    """M8 inference: (key, p, is_english) for new texts with the flow's
+    vocabulary and model (use ``classify.texts_frame`` for bare strings)."""
+    from ..functions.predicates import decide
+    enc = encode_tokens(df, key_col, text_col, res.vocabulary, sequence_length=max_len)
+    feats = F.filter(F.col("ids"), lambda x: x != 0)
+    if features == "first_token":
+        feats = F.slice(feats, 1, 1)
+    enc = enc.withColumn("_f", F.transform(feats, lambda x: x.cast("string")))
+    sc = classify.class_scores(res.model, enc, key_col, tokens_col="_f")
+    p = classify.prob_of(res.model, F.col("raw"), "1") if "1" in res.model.labels else F.lit(0.0)
+    return sc.select(key_col, p.alias("p"), decide(p).alias("is_english"))

@@ -90,3 +90,13 @@ def test_scoring_shuffle_path_equals_broadcast(spark, monkeypatch):
     plan = classify.class_scores(m, te, "k", text_col="text")
     b = {r.k: [round(x, 9) for x in r.raw] for r in plan.collect()}
     assert a == b and set(a) == {"t1", "t2", "t3"}
+
+
+def test_predict_english_on_new_sentences(spark):
+    from hireframe.plans.flows import english_detection, predict_english
+    rows = [(i, ("the cat sat on the mat" if i % 3 else "le chat est sur le tapis"), "en" if i % 3 else "fr")
+            for i in range(60)]
+    res = english_detection(spark.createDataFrame(rows, "doc_id long, text string, labels string"), test_size=0.2)
+    out = {r.id: r.is_english for r in predict_english(
+        res, classify.texts_frame(spark, ["the mat", "le tapis"])).collect()}
+    assert out == {0: 1, 1: 0}
