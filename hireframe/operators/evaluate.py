@@ -82,8 +82,10 @@ def classification_report(pred: DataFrame, classes: DataFrame | list[str], y_tru
         F.col("support").cast("bigint").alias("support")).cache()
     observed = (conf.select(F.col("t").alias("c")).union(conf.select(F.col("p").alias("c")))
                 .where(F.col("c").isNotNull()).distinct())
-    listed = cls.select(F.col("class").alias("c"))
-    n_diff = observed.exceptAll(listed).count() + listed.exceptAll(observed).count()
+    listed = cls.select(F.col("class").alias("c"), F.lit(1).alias("_l"))
+    # classes seen but not listed, or listed but not seen (one job on class-level tables)
+    n_diff = (observed.withColumn("_o", F.lit(1)).join(listed, "c", "full_outer")
+              .filter(F.col("_o").isNull() | F.col("_l").isNull()).count())
     total = p.agg(F.count(F.lit(1)).alias("n"),
                   F.sum(F.coalesce((F.col("t") == F.col("p")).cast("long"), F.lit(0))).alias("hits"))
     acc = total.select(
