@@ -844,3 +844,29 @@ select uniq_id, employer_description, company_name, industry from industry_train
 def q_peek_training_data(spark, d):
     """The first rows of the training data (ordered, so the peek repeats)."""
     return files.peek(industry_train(spark, d).orderBy("uniq_id"), 5)
+
+
+@register("train_eval_meso", _e2_sql("meso", "select * from rep"))
+def q_train_eval_meso(spark, d):
+    return _e2(spark, d, "meso").report
+
+
+@register("default_text", S.with_views("""
+select uniq_id, coalesce(nullif(d, ''), 'no relevant information') as model_text
+from (select uniq_id, array_to_string(list_filter({s}, lambda x: length(company_name) > 0
+        and contains(lower(x), lower(company_name))), ' ') as d from unique_postings)"""
+                                       .replace("{s}", S.sentences("job_description")), "unique_postings"))
+def q_default_text(spark, d):
+    """P10: the model input text when no description was found."""
+    u = unique_postings(spark, d)
+    desc = sentences_by_name(T.split_sentences("job_description"), F.col("company_name"))
+    return u.select("uniq_id", P.default_text(desc).alias("model_text"))
+
+
+@register("baseline_accuracy_compat", S.with_views("""
+select round(max(n) / sum(n), 6) as zero_r, round(sum(n) / (sum(n) * sum(n)), 6) as random_guess
+from (select industry, count(*) as n from labelled where industry is not null group by 1)""", "labelled"))
+def q_baseline_accuracy_compat(spark, d):
+    """A7 as the original computes it (Q11): sum(n_k) / n^2 = 1/n."""
+    b = evaluate.baseline_accuracy(labelled_only(spark, d), compat=True)
+    return b.select(F.round("zero_r", 6).alias("zero_r"), F.round("random_guess", 6).alias("random_guess"))
