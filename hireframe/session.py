@@ -56,3 +56,30 @@ def shared_path(spark: SparkSession, *parts: str) -> str:
     """A path below the shared folder (for written tables and models)."""
     base = shared_dir(spark).rstrip("/")
     return "/".join([base, *parts])
+
+
+def cluster_conf(input_bytes: int, executors: int, cores_per_executor: int,
+                 target_partition_bytes: int = 256 << 20) -> dict[str, str]:
+    """Settings sized for a cluster run of the text jobs.
+
+    * shuffle partitions: about one per ``target_partition_bytes`` of input
+      (token-level shuffles are about as large as the texts), at least
+      three waves of the cluster's cores; AQE coalesces the small stages.
+    * file splits: ``target_partition_bytes`` so a scan task holds a bounded
+      amount of text.
+    * skew: AQE skew-join splitting for hot employers and frequent tokens.
+    ``spark.checkpoint.dir`` must name a shared folder and is set by the cluster.
+    """
+    cores = max(executors * cores_per_executor, 1)
+    parts = max(3 * cores, -(-input_bytes // target_partition_bytes))
+    return {
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.autoBroadcastJoinThreshold": str(64 << 20),
+        "spark.sql.session.timeZone": "UTC",
+    }

@@ -48,3 +48,10 @@ def test_first_n_large_path(spark, monkeypatch):
 def test_select_partition(spark):
     df = spark.createDataFrame([("x", "test"), ("y", "train")], "c string, partition string")
     assert [r.c for r in select_partition(df, "test", "c").collect()] == ["x"]
+
+
+def test_cluster_conf_sizes_partitions():
+    from hireframe.session import cluster_conf
+    c = cluster_conf(100 * (1 << 40), executors=1000, cores_per_executor=8)
+    assert int(c["spark.sql.shuffle.partitions"]) == 100 * 4 * 1024   # 100 TB / 256 MB
+    assert cluster_conf(1 << 30, 10, 4)["spark.sql.shuffle.partitions"] == "120"   # 3 waves of 40 cores
