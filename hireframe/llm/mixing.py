@@ -102,8 +102,8 @@ def schedule(targets: DataFrame, n_slots: int, chunk: int = BUCKET_ROWS) -> Data
 
 def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), share: float = 1.5, max_repeats: int = 2,
         block_words: int = BLOCK_WORDS, seed: int = 9, id_col: str = "doc_id", text_col: str = "text",
-        source_col: str = "source", extra: Sequence[str] = ()) -> DataFrame:
-    """(id_col, size, source, source_size, target, taken, *extra) for every row of ``docs``.
+        source_col: str = "source") -> DataFrame:
+    """(id_col, text_hash, size, source, source_size, target, taken) for every row of ``docs``.
 
     size: words of the text (null: 0); taken: words that the mix takes, repeats counted, at most
     ``max_repeats`` times the size.  Null ids and null sources are kept (a null source is a source
@@ -112,7 +112,7 @@ def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), share: float = 1.5,
     no rows.  The result depends on the rows only, not on their partitioning.
     """
     spark = docs.sparkSession
-    d = docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("source"),
+    d = docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("source"), F.xxhash64(text_col).alias("text_hash"),
                     F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
     d = d.withColumn("_key", F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("_id").cast("string"), F.lit("null")), F.col("size").cast("string"))))
     d = saved(d, "mix-sizes")
@@ -129,7 +129,7 @@ def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), share: float = 1.5,
     per_bucket = d.groupBy("source", "_b").agg(F.sum("size").alias("_w"))
     off = per_bucket.select(F.col("source").alias("_s"), F.col("_b").alias("_ob"), F.coalesce(F.sum("_w").over(
         Window.partitionBy("source").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
-    inside = Window.partitionBy("source", "_b").orderBy("_key", "_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy("source", "_b").orderBy("_key", "_id", "size", "text_hash").rowsBetween(Window.unboundedPreceding, 0)
     d = d.withColumn("_end", F.sum("size").over(inside))
     t = targets.withColumnRenamed("source", "_ts")
     d = (d.join(off, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_b") == F.col("_ob")))
@@ -137,7 +137,7 @@ def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), share: float = 1.5,
          .drop("_s", "_ob", "_off", "_w"))
     d = (d.join(few(t), F.col("source").eqNullSafe(F.col("_ts")), "left")
          .withColumn("_row", F.monotonically_increasing_id()))
-    d = saved(d.select("_row", "_id", "source", "size", "_start", "_end", "source_size", "target"), "mix-layout")
+    d = saved(d.select("_row", "_id", "source", "text_hash", "size", "_start", "_end", "source_size", "target"), "mix-layout")
 
     # slots -> how often each block is taken, and how many of its words
     b = int(block_words)
@@ -160,5 +160,16 @@ def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), share: float = 1.5,
     got = (pieces.join(copies, F.col("source").eqNullSafe(F.col("_cs")) & (F.col("block") == F.col("_cb")))
            .groupBy("_row").agg(F.sum(F.greatest(w, F.lit(0)) * F.col("copies")).alias("taken")))
     return (d.join(got, "_row", "left")
-            .select(F.col("_id").alias(id_col), "size", "source", "source_size", "target",
+            .select(F.col("_id").alias(id_col), "text_hash", "size", "source", "source_size", "target",
                     F.coalesce("taken", F.lit(0)).cast("long").alias("taken")))
+
+
+def materialise(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The mix as whole documents: each row of ``docs`` as often as its words are taken, half a copy
+    and more counting as one.  Rows equal in id, source and text share their words evenly.  Rows
+    without words have nothing to give and go."""
+    per = (mixed.groupBy(F.col(id_col).alias("_i"), F.col("source").alias("_s"), F.col("text_hash").alias("_h"))
+           .agg(F.sum("taken").alias("_t"), F.sum("size").alias("_z")))
+    per = per.select("_i", "_s", "_h", F.expr("case when _z > 0 then (2 * _t + _z) div (2 * _z) else 0 end").alias("_n")).where("_n > 0")
+    same = (docs[id_col].eqNullSafe(per["_i"]) & docs[source_col].eqNullSafe(per["_s"]) & (F.xxhash64(docs[text_col]) == per["_h"]))
+    return (docs.join(per, same).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n")))).select(docs.columns))

@@ -2,20 +2,30 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, quality_cascade, sharding, sp_codec
-from .common import table
+from . import (chat_format, compression_quality, embedding_dedup, line_dedup, mixing, parity_join, quality_cascade, sharding,
+               sp_codec, toxicity)
+from .common import ship_code, table
+from .labelled import id_remainder
 from .sqltext import ORACLE  # noqa: F401
 
 QUERIES: dict = {}
 
 
-
 def register(fn):
-    QUERIES[fn.__name__] = fn
-    return fn
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship_code(spark)
+        return fn(spark, sf_dir)
+
+    query.__name__, query.__doc__ = fn.__name__, fn.__doc__
+    QUERIES[fn.__name__] = query
+    return query
 
 
 def tokenizer_path(name: str = "piece_bpe_32k.model") -> str:
@@ -24,11 +34,53 @@ def tokenizer_path(name: str = "piece_bpe_32k.model") -> str:
     return public_tokenizers.path(name)
 
 
+@register
+def op1_line_dedup(spark: SparkSession, d: str) -> DataFrame:
+    rows = line_dedup.dedup_lines(table(spark, d, "documents").select("doc_id", "text"))
+    return rows.select("doc_id", "n_lines", "n_removed", "text")
+
+
+@register
+def op2_chat_format(spark: SparkSession, d: str) -> DataFrame:
+    turns = table(spark, d, "conversations").select("conv_id", "turn", "role", "text")
+    ok = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+                               F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"))
+    nodes = chat_format.chains(turns.unionByName(ok))
+    talks = chat_format.format_trees(nodes.select("tree", "node", "parent", "score", "role", "text"))
+    names = nodes.where("parent is null").select("tree", "conv_id")
+
+    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for text, spans in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
+                turns = chat_format.read_turns(text)
+                loss = "".join(chat_format.unescape(text[s["start"]: s["end"]]) for s in spans)
+                whole = "".join(f"{role}\n{said}\n" for role, said in turns)
+                out.append((len(turns), hashlib.sha256(whole.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest(), len(text)))
+            kinds = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array([o[k] for o in out], t) for k, t in enumerate(kinds)]],
+                                             names=["tree", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
+
+    read = talks.select("tree", "formatted", "loss_spans").mapInArrow(
+        digests, "tree long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return names.join(read, "tree").drop("tree")
+
+
+@register
+def op3_embedding_dedup(spark: SparkSession, d: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, d, "embeddings"))
+
+
 @register
 def op4_quality_cascade(spark: SparkSession, d: str) -> DataFrame:
     return quality_cascade.quality_filter(table(spark, d, "documents")).drop("first_failed")
 
 
+@register
+def op5_parity_join(spark: SparkSession, d: str) -> DataFrame:
+    return parity_join.jaccard_components(table(spark, d, "documents").select("doc_id", "text"))
+
+
 @register
 def op6_byte_shards(spark: SparkSession, d: str) -> DataFrame:
     rows = sharding.shard_by_bytes(table(spark, d, "documents"), 40)
@@ -36,6 +88,25 @@ def op6_byte_shards(spark: SparkSession, d: str) -> DataFrame:
                        F.lit(None).cast("int").alias("grown_shard"))
 
 
+def _scored(spark: SparkSession, d: str, operator, label: str, mod: int, rest: int) -> DataFrame:
+    docs, labels = table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "labels")
+    held_out = id_remainder("doc_id", mod) == rest
+    model, curve = operator.fit(docs, labels, ~held_out, label_col=label)
+    rows = operator.score(docs, model, curve)
+    return rows.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score",
+                       (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@register
+def op7_compression_quality(spark: SparkSession, d: str) -> DataFrame:
+    return _scored(spark, d, compression_quality, "quality", 5, 0)
+
+
+@register
+def op8_toxicity(spark: SparkSession, d: str) -> DataFrame:
+    return _scored(spark, d, toxicity, "toxic", 4, 2)
+
+
 @register
 def op9_mix_schedule(spark: SparkSession, d: str) -> DataFrame:
     rows = mixing.mix(table(spark, d, "documents"))
