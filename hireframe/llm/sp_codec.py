@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -151,17 +152,18 @@ def read_model(path: str) -> bytes:
         return f.read()
 
 
-def pieces_of(texts: list[str | None], chars: int = 1 << 20) -> Iterator[list[str]]:
-    """Whole texts in runs of about ``chars`` characters, so working arrays stay small."""
-    run, n = [], 0
-    for t in texts:
-        run.append(t or "")
-        n += len(t or "")
-        if n >= chars:
-            yield run
-            run, n = [], 0
-    if run:
-        yield run
+def text_slices(batches: Iterator[pa.RecordBatch], text_col: str, size: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """Runs of rows with whole texts of about ``size`` bytes together (null texts empty), so that ids
+    and spans of a run, not of a whole batch, are in memory."""
+    for b in batches:
+        col = b.column(b.schema.get_field_index(text_col))
+        sizes = pc.fill_null(pc.binary_length(col), 0).to_numpy(zero_copy_only=False)
+        ends = np.cumsum(sizes)
+        at = 0
+        while at < b.num_rows:
+            end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, "right")))
+            yield b.slice(at, end - at), [t or "" for t in col.slice(at, end - at).to_pylist()]
+            at = end
 
 
 def int_lists(arrays: list[np.ndarray]) -> pa.ListArray:
@@ -175,31 +177,26 @@ def encode(docs: DataFrame, model: bytes, text_col: str = "text", spans: bool =
     array<int> (byte spans of the pieces) and ``decoded`` string (the ids decoded again).
 
     A null or empty text has no pieces: only the end id.  The end id, if any, is an empty span at
-    the end.  Rows are independent: no shuffle; a task holds one batch of rows.
+    the end.  Rows are independent: no shuffle; a task holds one run of rows.  Input columns of the
+    names that are added are replaced.
     """
     names = ["ids", *(["starts", "ends"] if spans else []), *(["decoded"] if decoded else [])]
-    clash = set(names) & set(docs.columns)
-    if clash:
-        raise ValueError(f"columns {sorted(clash)} exist already")
+    docs = docs.drop(*names)
     kinds = [T.StringType() if n == "decoded" else T.ArrayType(T.IntegerType()) for n in names]
     schema = T.StructType([*docs.schema.fields, *map(T.StructField, names, kinds)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(model)
-        for b in batches:
-            made: list[list] = [[] for _ in names]
-            for texts in pieces_of(b.column(b.schema.get_field_index(text_col)).to_pylist()):
-                ids = c.ids_of(texts)
-                parts = [ids, *(c.spans_of(texts, ids) if spans else [])]
-                if end_id:  # an empty span at the end of the text
-                    size = [len(t.encode()) for t in texts]
-                    last = [[c.end] * len(texts), size, size]
-                    parts = [[np.append(x, y) for x, y in zip(p, e)] for p, e in zip(parts, last)]
-                if decoded:
-                    parts.append(c.sp.decode([i.tolist() for i in parts[0]]))
-                for m, p in zip(made, parts):
-                    m += p
-            arrays = [pa.array(m, pa.string()) if n == "decoded" else int_lists(m) for n, m in zip(names, made)]
+        for b, texts in text_slices(batches, text_col):
+            ids = c.ids_of(texts)
+            parts = [ids, *(c.spans_of(texts, ids) if spans else [])]
+            if end_id:  # an empty span at the end of the text
+                size = [len(t.encode()) for t in texts]
+                last = [[c.end] * len(texts), size, size]
+                parts = [[np.append(x, y) for x, y in zip(p, e)] for p, e in zip(parts, last)]
+            arrays = [int_lists(p) for p in parts]
+            if decoded:
+                arrays.append(pa.array(c.sp.decode([i.tolist() for i in parts[0]]), pa.string()))
             yield pa.RecordBatch.from_arrays([*b.columns, *arrays], names=[*b.schema.names, *names])
 
     return docs.mapInArrow(run, schema)
@@ -207,6 +204,7 @@ def encode(docs: DataFrame, model: bytes, text_col: str = "text", spans: bool =
 
 def decode(encoded: DataFrame, model: bytes, out_col: str = "decoded") -> DataFrame:
     """``encoded`` (with a column ids) plus the decoded text; null ids decode to an empty text."""
+    encoded = encoded.drop(out_col)
     schema = T.StructType([*encoded.schema.fields, T.StructField(out_col, T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
