@@ -163,7 +163,9 @@ def format_trees(messages: DataFrame, paths_per_tree: int | None = None) -> Data
 
 def chains(turns: DataFrame, tree_col: str = "conv_id", turn_col: str = "turn") -> DataFrame:
     """A turn table as reply trees: each turn answers the one before it (null turns last; ties by role,
-    then text; repeated rows are kept).  Adds tree (a number), node, parent and score; keeps all columns."""
+    then text; repeated rows are kept).  Adds tree (a number), node, parent and score; keeps all other columns
+    (input columns of the added names are replaced)."""
+    turns = turns.drop("tree", "node", "parent", "score", "row_before")
     rows = ordered_running_totals(turns, [tree_col, F.col(turn_col).asc_nulls_last(), "role", "text"], [], "chat-turns")
     first = rows.groupBy(F.col(tree_col).alias("_t")).agg(F.min("row_before").alias("tree"))
     rows = rows.join(first, rows[tree_col].eqNullSafe(first["_t"])).drop("_t")

@@ -54,6 +54,14 @@ def saved(df: DataFrame, tag: str) -> DataFrame:
     return out
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, or with underscores before it, so that it is no column of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def release(*frames: DataFrame) -> None:
     """Delete tables written by ``saved`` that nothing reads any more."""
     for df in frames:
@@ -74,10 +82,11 @@ def ordered_running_totals(df: DataFrame, order: Sequence[Column | str], totals:
     that come earlier in the global order; and ``row_before``: the number of such rows.
 
     Rows are range-partitioned and sorted; every task writes running totals of its own range
-    together with the range's number, so each row is sorted and written once.  The totals of
+    together with the range's number (columns _range and *_before of ``df`` are replaced), so each row is sorted and written once.  The totals of
     the ranges (one row per partition) then give the offsets.  No task sees more than its range.
     """
     spark = df.sparkSession
+    df = df.drop("_range", "row_before", *[f"{c}_before" for c in totals])
     kinds = [f"{c}_before" for c in totals] + ["row_before"]
     schema = T.StructType([*df.schema.fields, T.StructField("_range", T.LongType()),
                            *[T.StructField(k, T.LongType()) for k in kinds]])
@@ -96,8 +105,9 @@ def ordered_running_totals(df: DataFrame, order: Sequence[Column | str], totals:
             yield pa.RecordBatch.from_arrays(cols, names=[*b.schema.names, *kinds])
 
     # rand() is the last key: rows equal in every other key are interchangeable, and a hot key still splits
-    ranged = (df.withColumn("_tie", F.rand(17)).repartitionByRange(parallelism(spark), *order, "_tie")
-              .sortWithinPartitions(*order, "_tie").drop("_tie")
+    tie = fresh(df, "_tie")
+    ranged = (df.withColumn(tie, F.rand(17)).repartitionByRange(parallelism(spark), *order, tie)
+              .sortWithinPartitions(*order, tie).drop(tie)
               .withColumn("_range", F.spark_partition_id().cast("long")))
     rows = saved(ranged.mapInArrow(running, schema), tag)
     ends = rows.groupBy("_range").agg(

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import fresh
 from .labelled import calibrate, labelled_sample
 
 #: Bounds of the fit: labelled rows of each class, blocks taken of each, bytes of a block and of a dictionary.
@@ -96,12 +97,11 @@ def fit(docs: DataFrame, labels: DataFrame, keep: Column, label_col: str = "qual
 
 
 def score(docs: DataFrame, model, curve, text_col: str = "text", out_col: str = "score") -> DataFrame:
-    """All columns of ``docs`` plus the probability of label 1.  Empty and null texts have difference 0."""
-    if out_col in docs.columns:
-        raise ValueError(f"column {out_col} exists already")
+    """All columns of ``docs`` plus the probability of label 1 (replacing a column of that name).  Empty and null texts have difference 0."""
+    docs, z = docs.drop(out_col), fresh(docs, "_z")
     slope, offset, scale = curve
-    rows = differences(docs, model, text_col, "_z")
-    m = F.least(F.greatest(F.col("_z") * (slope / scale) + offset, F.lit(-35.0)), F.lit(35.0))
-    return rows.withColumn(out_col, 1 / (1 + F.exp(-m))).drop("_z")
+    rows = differences(docs, model, text_col, z)
+    m = F.least(F.greatest(F.col(z) * (slope / scale) + offset, F.lit(-35.0)), F.lit(35.0))
+    return rows.withColumn(out_col, 1 / (1 + F.exp(-m))).drop(z)
 
 

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ordered_running_totals, release, saved
+from .common import fresh, ordered_running_totals, release, saved
 
 #: Words that a repeated run must have.
 MIN_WORDS = 50
@@ -33,8 +33,8 @@ _AT = ["did", "dh", "pos"]
 _NO_ID = -(1 << 63)
 
 
-def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.withColumns({"_did": F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)), "_dh": F.xxhash64(F.col(text_col))})
+def _keyed(docs: DataFrame, id_col: str, text_col: str, did: str = "_did", dh: str = "_dh") -> DataFrame:
+    return docs.withColumns({did: F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)), dh: F.xxhash64(F.col(text_col))})
 
 
 def line_table(docs: DataFrame, min_words: int, id_col: str, text_col: str) -> DataFrame:
@@ -66,8 +66,8 @@ def line_table(docs: DataFrame, min_words: int, id_col: str, text_col: str) -> D
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(o).astype(np.int64)) for o in out], names=names)
 
     schema = T.StructType([T.StructField(n, T.LongType()) for n in names])
-    rows = _keyed(docs, id_col, text_col).where(F.col(text_col).isNotNull())
-    return rows.select("_did", "_dh", F.col(text_col)).mapInArrow(run, schema)
+    rows = _keyed(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "id", "text").where("text is not null")
+    return rows.select("_did", "_dh", "text").mapInArrow(run, schema)
 
 
 def _ranked(rows: DataFrame, by: list[str], tag: str) -> DataFrame:
@@ -118,17 +118,17 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_
 
     Earlier means a smaller id (null first; then the text's hash), then a smaller line number.  A null
     text stays null with 0 lines; an empty text is one empty line.  Rows that agree in id and text are
-    one document and fare alike.  A text that loses all lines becomes empty.
+    one document and fare alike.  A text that loses all lines becomes empty.  Input columns of the three
+    added names are replaced.
     """
-    for c in ("n_lines", "n_removed", "removed"):
-        if c in docs.columns:
-            raise ValueError(f"column {c} exists already")
+    docs = docs.drop("n_lines", "n_removed", "removed")
+    did, dh, runs_col = (fresh(docs, c) for c in ("_did", "_dh", "_runs"))
     lines = saved(line_table(docs, min_words, id_col, text_col), "lines")
     copies = repeated_runs(lines)
     per_doc = copies.groupBy("did", "dh").agg(F.collect_list(F.struct("start", "len")).alias("_runs"))
-    per_doc = saved(per_doc.select(F.col("did").alias("_did"), F.col("dh").alias("_dh"), "_runs"), "lines-runs")
+    per_doc = saved(per_doc.select(F.col("did").alias(did), F.col("dh").alias(dh), F.col("_runs").alias(runs_col)), "lines-runs")
     release(lines)
-    rows = _keyed(docs, id_col, text_col).join(per_doc, ["_did", "_dh"], "left").drop("_did", "_dh")
+    rows = _keyed(docs, id_col, text_col, did, dh).join(per_doc, [did, dh], "left").drop(did, dh)
     at = docs.columns.index(text_col)
     span = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
     schema = T.StructType([*docs.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType()),
@@ -161,4 +161,4 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_
                  pa.array(removed, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))],
                 names=schema.names)
 
-    return rows.select(*docs.columns, "_runs").mapInArrow(cut, schema)
+    return rows.select(*docs.columns, runs_col).mapInArrow(cut, schema)

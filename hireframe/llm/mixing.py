@@ -19,7 +19,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, saved
+from .common import WORD, fresh, saved
 
 #: Words of a block.
 BLOCK_WORDS = 64
@@ -168,8 +168,9 @@ def materialise(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id", text_
     """The mix as whole documents: each row of ``docs`` as often as its words are taken, half a copy
     and more counting as one.  Rows equal in id, source and text share their words evenly.  Rows
     without words have nothing to give and go."""
-    per = (mixed.groupBy(F.col(id_col).alias("_i"), F.col("source").alias("_s"), F.col("text_hash").alias("_h"))
-           .agg(F.sum("taken").alias("_t"), F.sum("size").alias("_z")))
-    per = per.select("_i", "_s", "_h", F.expr("case when _z > 0 then (2 * _t + _z) div (2 * _z) else 0 end").alias("_n")).where("_n > 0")
-    same = (docs[id_col].eqNullSafe(per["_i"]) & docs[source_col].eqNullSafe(per["_s"]) & (F.xxhash64(docs[text_col]) == per["_h"]))
-    return (docs.join(per, same).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n")))).select(docs.columns))
+    per = mixed.groupBy(id_col, "source", "text_hash").agg(F.sum("taken").alias("t"), F.sum("size").alias("z"))
+    per = per.withColumn("copies", F.expr("case when z > 0 then (2 * t + z) div (2 * z) else 0 end")).where("copies > 0")
+    i, s, h, n, c = (fresh(docs, x) for x in ("_id", "_source", "_hash", "_copies", "_copy"))
+    per = per.select(F.col(id_col).alias(i), F.col("source").alias(s), F.col("text_hash").alias(h), F.col("copies").alias(n))
+    same = F.col(id_col).eqNullSafe(F.col(i)) & F.col(source_col).eqNullSafe(F.col(s)) & (F.xxhash64(text_col) == F.col(h))
+    return docs.join(per, same).withColumn(c, F.explode(F.sequence(F.lit(1).cast("long"), F.col(n)))).select(docs.columns)

@@ -64,4 +64,60 @@ select doc_id, size, tg.source_size, target, coalesce(taken, 0) as taken
 from k join tg on tg.source is not distinct from k.source left join got on got.rid = k.rid
 """
 
-ORACLE: dict[str, str] = {"op4_quality_cascade": OP4, "op9_mix_schedule": OP9}
+
+OP1 = rf"""
+with l as (select doc_id, unnest(range(1, len(ls) + 1)) as pos, unnest(ls) as line
+           from (select doc_id, string_split(text, chr(10)) as ls from documents)),
+c as (select *, sum(len(regexp_extract_all(line, '{WORD}'))) over (partition by doc_id order by pos) as upto from l),
+b as (select *, coalesce(lag(upto) over (partition by doc_id order by pos), 0) as before from c),
+win as (select x.doc_id, x.pos as s, min(y.pos) as e from b x join b y on x.doc_id = y.doc_id and y.pos >= x.pos and y.upto - x.before >= 50 group by all
+        union
+        select y.doc_id, max(x.pos) as s, y.pos as e from b x join b y on x.doc_id = y.doc_id and y.pos >= x.pos and y.upto - x.before >= 50 group by y.doc_id, y.pos),
+run as (select w.doc_id, s, e, string_agg(line, chr(10) order by pos) as t from win w join l on l.doc_id = w.doc_id and l.pos between s and e group by all),
+f as (select *, first_value(doc_id) over v as fd, first_value(e) over v as fe from run window v as (partition by t order by doc_id, s)),
+gone as (select distinct f.doc_id, pos from f join l on l.doc_id = f.doc_id and pos between s and e where f.doc_id <> fd or s > fe)
+select d.doc_id, coalesce(n.n_lines, 0) as n_lines, coalesce(n.n_removed, 0) as n_removed, case when d.text is not null then coalesce(n.t, '') end as text
+from documents d left join (
+  select l.doc_id, count(*) as n_lines, count(gone.pos) as n_removed, string_agg(line, chr(10) order by l.pos) filter (gone.pos is null) as t
+  from l left join gone on gone.doc_id = l.doc_id and gone.pos = l.pos group by l.doc_id) n on n.doc_id = d.doc_id
+"""
+
+_CONTROL = r"(\\|<s>|</s>|\[INST\]|\[/INST\]|<<SYS>>|<</SYS>>|\[ROLE\]|\[/ROLE\]|\[END\])"
+
+OP2 = rf"""
+with c as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+           union all values (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]'))
+select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn nulls last, role, text)) as turns_sha256,
+  cast(sum(case when role = 'assistant' then length(text) else 0 end) as bigint) as loss_chars,
+  sha256(coalesce(string_agg(text, '' order by turn nulls last, role, text) filter (role = 'assistant'), '')) as loss_sha256,
+  cast(3 + sum(length(regexp_replace(text, '{_CONTROL}', '\\\1', 'g')) + case role when 'system' then 15 when 'user' then 13 when 'assistant' then 4
+    else 18 + length(regexp_replace(role, '{_CONTROL}', '\\\1', 'g')) end) as bigint) as formatted_chars
+from c group by conv_id
+"""
+
+OP3 = """
+with recursive v as (select vec_id, label, cast(embedding as double[]) as e from embeddings
+  where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+    and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+k as (select a.vec_id as a, b.vec_id as b from v a join v b on a.label = b.label and len(a.e) = len(b.e) and a.vec_id <> b.vec_id
+  where list_cosine_similarity(a.e, b.e) >= 0.98),
+r as (select a, b from k union select r.a, k.b from r join k on k.a = r.b),
+c as (select vec_id, (select count(*) from k where a = vec_id) as n_links, least(vec_id, coalesce((select min(b) from r where a = vec_id), vec_id)) as component_id from embeddings)
+select vec_id, n_links, component_id, vec_id = component_id as kept from c
+"""
+
+OP5 = rf"""
+with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}') as ws from documents),
+s as (select distinct doc_id, unnest(case when len(ws) = 0 then [] when len(ws) < 4 then [array_to_string(ws, ' ')]
+        else list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i : i + 3], ' ')) end) as g from w),
+n as (select doc_id, count(*) as n from s group by doc_id),
+p as (select x.doc_id as a, y.doc_id as b, count(*) as c from s x join s y on x.g = y.g and x.doc_id < y.doc_id group by all),
+k as (select a, b from p join n na on na.doc_id = a join n nb on nb.doc_id = b where 100 * c >= 85 * (na.n + nb.n - c)),
+e as (select a, b from k union select b, a from k),
+r as (select a, b from e union select r.a, e.b from r join e on e.a = r.b)
+select d.doc_id, coalesce(n.n, 0) as n_shingles, least(d.doc_id, coalesce(m.low, d.doc_id)) as component_id
+from documents d left join n on n.doc_id = d.doc_id left join (select a, min(b) as low from r group by a) m on m.a = d.doc_id
+"""
+
+ORACLE: dict[str, str] = {"op1_line_dedup": OP1, "op2_chat_format": OP2, "op3_embedding_dedup": OP3, "op4_quality_cascade": OP4,
+                          "op5_parity_join": OP5, "op9_mix_schedule": OP9}

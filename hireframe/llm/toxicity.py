@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import fresh
 from .hashing import U, Words, mix, text_runs
 from .labelled import calibrate, labelled_sample
 
@@ -194,10 +195,9 @@ def fit(docs: DataFrame, labels: DataFrame, keep: Column, label_col: str = "toxi
 
 
 def score(docs: DataFrame, model: Model, curve, text_col: str = "text", out_col: str = "score") -> DataFrame:
-    """All columns of ``docs`` plus the probability of label 1.  Null and empty texts have no window: the bias alone."""
-    if out_col in docs.columns:
-        raise ValueError(f"column {out_col} exists already")
+    """All columns of ``docs`` plus the probability of label 1 (replacing a column of that name).  Null and empty texts have no window: the bias alone."""
+    docs, z = docs.drop(out_col), fresh(docs, "_z")
     slope, offset, scale = curve
-    rows = logits(docs, model, text_col, "_z")
-    m = F.least(F.greatest(F.col("_z") * (slope / scale) + offset, F.lit(-35.0)), F.lit(35.0))
-    return rows.withColumn(out_col, 1 / (1 + F.exp(-m))).drop("_z")
+    rows = logits(docs, model, text_col, z)
+    m = F.least(F.greatest(F.col(z) * (slope / scale) + offset, F.lit(-35.0)), F.lit(35.0))
+    return rows.withColumn(out_col, 1 / (1 + F.exp(-m))).drop(z)
