@@ -17,11 +17,20 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-# Hex digits of the md5 that name a bucket: 3 -> 4,096 buckets.
-DEFAULT_BUCKET_DIGITS = 3
+# Fewest hex digits of the md5 that name a bucket: 3 -> 4,096 buckets.
+MIN_BUCKET_DIGITS = 3
+
+
+def bucket_digits(spark: SparkSession) -> int:
+    """Hex digits that give at least four buckets per shuffle partition.  The partition count is sized
+    from the input, so buckets stay as small as the partitions; ranks do not depend on the number."""
+    digits = MIN_BUCKET_DIGITS
+    while 16 ** digits < 4 * int(spark.conf.get("spark.sql.shuffle.partitions")):
+        digits += 1
+    return digits
 
 
 def det(seed: int | str, key: str | Column) -> Column:
@@ -31,8 +40,8 @@ def det(seed: int | str, key: str | Column) -> Column:
 
 
 def hashed_index(seed: int | str, key: str | Column, n: int | Column) -> Column:
-    """Uniform draw in [0, n): first 32 bits of the md5 of '<seed>:<key>' mod n."""
-    h = F.conv(F.substring(det(seed, key), 1, 8), 16, 10).cast("bigint")
+    """Uniform draw in [0, n): first 60 bits of the md5 of '<seed>:<key>' mod n."""
+    h = F.conv(F.substring(det(seed, key), 1, 15), 16, 10).cast("bigint")
     return F.pmod(h, n if isinstance(n, Column) else F.lit(n).cast("bigint"))
 
 
@@ -45,33 +54,39 @@ def _cols(cols: str | Sequence[str] | None) -> list[str]:
 
 
 def rank_by_hash(df: DataFrame, order_col: str, tie_col: str, by=None,
-                 out: str = "rank", digits: int = DEFAULT_BUCKET_DIGITS,
-                 broadcast_offsets: bool = True, total: str | None = None) -> DataFrame:
+                 out: str = "rank", digits: int | None = None,
+                 broadcast_offsets: bool = True, total: str | None = None, at_most: int | None = None) -> DataFrame:
     """Exact ``row_number() over (partition by <by> order by <order_col>, <tie_col>)``.
 
     ``order_col`` must be an md5 hex string (see :func:`det`).  Rows of one
     ``by`` group are spread over ``16**digits`` buckets, so a group holding a
     third of all rows is ranked by thousands of tasks, not one.  ``total``
-    names an optional column carrying the group's row count.
+    names an optional column carrying the group's row count.  ``at_most`` keeps
+    the ranks up to it; buckets that start later are dropped before the shuffle.
     """
     by = _cols(by)
+    digits = digits or bucket_digits(df.sparkSession)
     b = df.withColumn("_bkt", F.substring(F.col(order_col), 1, digits))
     counts = b.groupBy(*by, "_bkt").agg(F.count(F.lit(1)).alias("_bn"))
     w = Window.partitionBy(*by).orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
     extra = [F.sum("_bn").over(Window.partitionBy(*by)).alias(total)] if total else []
     offsets = counts.select(*by, "_bkt", F.coalesce(F.sum("_bn").over(w), F.lit(0)).alias("_off"), *extra)
+    if at_most is not None:
+        offsets = offsets.filter(F.col("_off") < at_most)
     if broadcast_offsets:
         offsets = F.broadcast(offsets)
     joined = b.join(offsets, [*by, "_bkt"], "inner")
     wb = Window.partitionBy(*by, "_bkt").orderBy(F.col(order_col), F.col(tie_col))
-    return joined.withColumn(out, F.row_number().over(wb) + F.col("_off")).drop("_bkt", "_off")
+    ranked = joined.withColumn(out, F.row_number().over(wb) + F.col("_off")).drop("_bkt", "_off")
+    return ranked if at_most is None else ranked.filter(F.col(out) <= at_most)
 
 
 def running_total_by_hash(df: DataFrame, value_col: str, order_col: str, tie_col: str,
                           by=None, out: str = "cumsum",
-                          digits: int = DEFAULT_BUCKET_DIGITS) -> DataFrame:
+                          digits: int | None = None) -> DataFrame:
     """Exact running ``sum(value_col)`` in (order_col, tie_col) order, per ``by`` group."""
     by = _cols(by)
+    digits = digits or bucket_digits(df.sparkSession)
     b = df.withColumn("_bkt", F.substring(F.col(order_col), 1, digits))
     sums = b.groupBy(*by, "_bkt").agg(F.sum(value_col).alias("_bs"))
     w = Window.partitionBy(*by).orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
@@ -93,8 +108,7 @@ def first_n(df: DataFrame, n: int, order_col: str, tie_col: str) -> DataFrame:
         raise TypeError("n must be an int")
     if top_k_is_small(df, n):
         return df.orderBy(F.col(order_col), F.col(tie_col)).limit(n)
-    return rank_by_hash(df, order_col, tie_col, out="_first_n_rank").filter(
-        F.col("_first_n_rank") <= n).drop("_first_n_rank")
+    return rank_by_hash(df, order_col, tie_col, out="_first_n_rank", at_most=n).drop("_first_n_rank")
 
 
 # A top-k merges (partitions x k) rows in one task; above this we rank by sort.
@@ -110,12 +124,17 @@ def top_k_is_small(df: DataFrame, k: int) -> bool:
 def rank_by_sort(df: DataFrame, order: list, out: str = "rank", partitions: int | None = None) -> DataFrame:
     """Exact global ``row_number()`` for any sort order, without a single-task window.
 
-    Rows are range-partitioned by the order (a distributed sort); the sizes of
-    the range partitions (one small row each) give running offsets; each
-    partition then numbers its own rows.
+    Rows are range-partitioned by the order (a distributed sort) and written to
+    the shared folder with their partition number: range bounds are sampled, so
+    sizes and ranks must come from one and the same partitioning.  The sizes
+    (one small row each) give running offsets; each partition numbers its rows.
     """
-    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(n, *order).withColumn("_pid", F.spark_partition_id())
+    from ..session import shared_dir
+
+    spark = df.sparkSession
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shared_dir(spark)
+    ranged = df.repartitionByRange(n, *order).withColumn("_pid", F.spark_partition_id()).checkpoint(eager=True)
     sizes = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("_pid", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))

@@ -59,9 +59,10 @@ def _largest_remainder(counts: DataFrame, class_col: str, n_col: str, total: int
                        out: str) -> DataFrame:
     """Per-class quotas summing to ``draw``: floor shares plus one for the
     largest remainders (ties by class label).  Runs on the class-level table."""
-    num = F.col(n_col) * F.lit(draw)
-    c = counts.withColumn("_base", F.floor(num / F.lit(total)).cast("bigint")) \
-        .withColumn("_rem", F.pmod(num, F.lit(total)))
+    # rows x draw passes 2^63 from 3e9 rows on: exact in DECIMAL
+    num = (F.col(n_col).cast("decimal(19,0)") * F.lit(draw).cast("decimal(19,0)")).cast("decimal(38,0)")
+    rem = F.pmod(num, F.lit(total).cast("decimal(38,0)"))
+    c = counts.withColumn("_rem", rem).withColumn("_base", ((num - rem) / F.lit(total).cast("decimal(19,0)")).cast("bigint"))
     short = F.lit(draw) - F.sum("_base").over(Window.partitionBy())
     rk = F.row_number().over(Window.orderBy(F.col("_rem").desc(), F.col(class_col)))
     return c.withColumn(out, F.col("_base") + F.when(rk <= short, 1).otherwise(0)) \
@@ -121,7 +122,7 @@ def partition_data(df: DataFrame, y: str, key_col: str, split_by: str = "random"
         return random_stratified_split(df, y, key_col, validation_set, test_size, val_size, seed)
     if split_by == "employers":
         return split_by_employers(df, company_col, validation_set, test_size, val_size, seed)
-    raise ValueError("Set the `split_by` parameter to either 'random' or 'employers'.")
+    raise ValueError(f"unknown split {split_by!r}: choose 'random' or 'employers'")
 
 
 def partition_leakage(df: DataFrame, company_col: str = "company_name") -> DataFrame:

@@ -10,6 +10,17 @@ NAMES = ["label_employers", "subsample_per_group", "split_random_stratified", "s
          "vocabulary_top", "sample_with_replacement", "employer_description", "detect_language"]
 
 
+@pytest.mark.parametrize("name", ["vocabulary", "vocabulary_full"])
+def test_vocabulary_with_420_partitions(spark, name):
+    q = E.queries()[name]
+    spark.conf.set("spark.sql.shuffle.partitions", "420")
+    try:
+        many = canon(q(spark, SF_SMALL).toPandas())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+    assert many == canon(q(spark, SF_SMALL).toPandas())
+
+
 @pytest.mark.parametrize("name", NAMES)
 def test_same_result_for_1_and_8_partitions(spark, name):
     q = E.queries()[name]

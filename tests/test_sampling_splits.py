@@ -1,3 +1,4 @@
+import pytest
 import hashlib
 
 from pyspark.sql import Window
@@ -116,6 +117,68 @@ def test_rank_by_sort_equals_row_number(spark):
     assert mine.select("a", "b", "r").exceptAll(ref).count() == 0
 
 
+@pytest.mark.parametrize("parts", [8, 64, 420])
+def test_rank_by_sort_on_many_rows(spark, parts):
+    from hireframe.functions.ordering import rank_by_sort
+    df = spark.range(300_000, numPartitions=8).select((F.col("id") % 101).alias("a"), (F.col("id") * 7919 % 300_007).alias("b"))
+    ranks = rank_by_sort(df, [F.col("a").desc(), F.col("b")], out="r", partitions=parts)
+    w = Window.partitionBy("a").orderBy("b")
+    wrong = ranks.withColumn("want", F.row_number().over(w)).groupBy("a").agg(
+        F.max(F.abs(F.col("r") - F.col("want") - (F.lit(0)))).alias("off"), F.min(F.col("r") - F.col("want")).alias("off2"), F.count("*").alias("n"))
+    rows = wrong.orderBy(F.col("a").desc()).collect()
+    before = 0
+    for r in rows:                      # within a value of "a" ranks run on from the rows that sort before it
+        assert r.off == r.off2 == before
+        before += r.n
+    assert before == 300_000 and ranks.select("r").distinct().count() == 300_000
+
+
+def test_draws_reach_past_32_bits(spark):
+    from hireframe.functions.ordering import hashed_index
+    n = 10 ** 12
+    top = spark.range(2000).select(hashed_index("s:draw", F.col("id"), n).alias("x")).agg(F.max("x"), F.min("x")).first()
+    assert 0 <= top[1] and 0.99 * n < top[0] < n
+
+
+def test_bucket_count_follows_the_partitions(spark):
+    from hireframe.functions.ordering import bucket_digits, det, first_n, rank_by_hash
+    df = spark.range(500).withColumn("o", det(1, "id"))
+    ref = [r.id for r in df.orderBy("o", "id").collect()]
+    spark.conf.set("spark.sql.shuffle.partitions", "2000")
+    try:
+        assert bucket_digits(spark) == 4
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+    for digits in (1, 4):
+        assert [r.id for r in rank_by_hash(df, "o", "id", digits=digits).orderBy("rank").collect()] == ref
+    from hireframe.functions import ordering
+    assert {r.id for r in rank_by_hash(df, "o", "id", at_most=40).collect()} == set(ref[:40])
+    assert ordering.MIN_BUCKET_DIGITS == 3 and {r.id for r in first_n(df, 40, "o", "id").collect()} == set(ref[:40])
+
+
+def test_quotas_of_ten_billion_rows(spark):
+    from hireframe.operators.splitting import _largest_remainder
+    n = [6_000_000_001, 3_999_999_999, 7]
+    counts = spark.createDataFrame(list(zip("abc", n)), "c string, n long")
+    draw = 1_500_000_002
+    got = {r.c: r.q for r in _largest_remainder(counts, "c", "n", sum(n), draw, "q").collect()}
+    base = [x * draw // sum(n) for x in n]
+    rest = sorted(range(3), key=lambda i: (-(n[i] * draw % sum(n)), i))[: draw - sum(base)]
+    assert got == {c: base[i] + (i in rest) for i, c in enumerate("abc")} and sum(got.values()) == draw
+
+
+def test_split_dispatch(spark):
+    df = spark.createDataFrame([(f"p{i}", f"c{i % 7}", "ab"[i % 2]) for i in range(60)], "uniq_id string, company_name string, industry string")
+    from hireframe.operators.splitting import partition_data, partition_leakage, random_stratified_split
+    a = partition_data(df, "industry", "uniq_id", "random", seed=3).select("uniq_id", "partition")
+    b = random_stratified_split(df, "industry", "uniq_id", seed=3).select("uniq_id", "partition")
+    assert a.exceptAll(b).count() == 0
+    assert partition_leakage(partition_data(df, "industry", "uniq_id", "random")).count() > 0
+    assert partition_leakage(partition_data(df, "industry", "uniq_id", "employers")).count() == 0
+    with pytest.raises(ValueError, match="by week"):
+        partition_data(df, "industry", "uniq_id", "by week")
+
+
 def test_employer_split_without_broadcast(spark, monkeypatch):
     from hireframe.functions import sizing
     rows = [(f"p{i}", f"c{i % 11}") for i in range(300)]
