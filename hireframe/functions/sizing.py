@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 # Largest side (rows) we ever broadcast; above it joins stay shuffle joins and
 # AQE (with skew-join splitting) picks the strategy at run time.
 MAX_BROADCAST_ROWS = 2_000_000
+# Largest token table (bytes) we ever broadcast, and what a row takes besides its numbers.
+MAX_BROADCAST_BYTES = 128 << 20
+TOKEN_ROW_BYTES = 64
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int | None = None) -> DataFrame:

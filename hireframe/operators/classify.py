@@ -4,7 +4,7 @@ Multinomial naive Bayes as Spark jobs.  Training is two aggregations —
 ``(label, token) -> count`` and ``label -> documents`` — and a pivot into one
 row per token holding a dense vector of log-probabilities (one entry per
 class, classes in label order).  Scoring joins exploded document tokens to
-that token table (broadcast when its size is proven small, a skew-aware
+that token table (broadcast when its bytes are proven small, a skew-aware
 shuffle join otherwise) and sums the vectors per document: one partial
 aggregate, no per-class row explosion, no cross join.  Scores of a document
 are ``prior_k + sum_t q_t * ln((c_tk + 1) / (n_k + V))`` over its tokens in
@@ -16,10 +16,12 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import sizing
+from ..functions.predicates import label_above
 from ..functions.text import truncate_tokens, word_tokens
 
 # Report-sized: more classes than this is not a classification task we serve.
@@ -33,13 +35,14 @@ class NaiveBayesModel:
     classes: DataFrame          # (idx, label, prior, n_tokens, docs)
     labels: list[str]
     priors: list[float]
-    vocab_size: int
-    token_rows: int
+    vocab_size: int             # rows of ``tokens``
+
+    def broadcastable(self) -> bool:
+        """Is the token table small enough to broadcast?  Bounded by its bytes: a token and K doubles a row."""
+        return self.vocab_size * (sizing.TOKEN_ROW_BYTES + 8 * len(self.labels)) <= sizing.MAX_BROADCAST_BYTES
 
     def token_table(self) -> DataFrame:
-        if self.token_rows <= sizing.MAX_BROADCAST_ROWS:
-            return F.broadcast(self.tokens)
-        return self.tokens
+        return F.broadcast(self.tokens) if self.broadcastable() else self.tokens
 
 
 def _token_col(df: DataFrame, text_col: str | None, tokens_col: str | None) -> Column:
@@ -48,10 +51,9 @@ def _token_col(df: DataFrame, text_col: str | None, tokens_col: str | None) -> C
     return word_tokens(F.col(text_col))
 
 
-# Sentinel token: never produced by tokenisation (empty tokens are dropped).
-# In training it is added once per document, so its count per class is the
-# number of documents; in the token table its vector holds the class priors,
-# so every scored document picks up its priors through the same join.
+# Sentinel token of training: never produced by tokenisation (empty tokens are
+# dropped).  It is added once per document, so its count per class is the
+# number of documents.
 DOC_TOKEN = ""
 
 
@@ -88,44 +90,53 @@ def train_naive_bayes(df: DataFrame, label_col: str, text_col: str | None = None
     priors = [math.log(r["docs"] / total_docs) for r in cls]
     ntoks = [int(r["n_tokens"]) for r in cls]
     # raw counts per token (one row per vocabulary token), checkpointed; V is its row count
-    raw = pairs.groupBy("token").pivot("label", labels).agg(F.sum("c"))
-    raw = raw.select("token", F.array(*[F.coalesce(F.col(f"`{lab}`"), F.lit(0)) for lab in labels]).alias("c"))
+    raw = pairs.groupBy("token").agg(*[F.coalesce(F.sum(F.when(F.col("label") == F.lit(lab), F.col("c"))), F.lit(0)).alias(f"c{i}")
+                                       for i, lab in enumerate(labels)])
+    raw = raw.select("token", F.array(*[f"c{i}" for i in range(len(labels))]).alias("c"))
     if checkpoint:
         raw = raw.checkpoint(eager=True)
     V = raw.count()
     w = F.array(*[F.log((F.col("c")[i].cast("double") + F.lit(alpha)) / F.lit(float(ntoks[i] + alpha * V)))
                   for i in range(len(labels))])
-    prior_row = spark.createDataFrame([(DOC_TOKEN, [float(p) for p in priors])], "token string, w array<double>")
-    tokens = raw.select("token", w.alias("w")).unionByName(prior_row)
+    tokens = raw.select("token", w.alias("w"))
     classes = spark.createDataFrame(
         [(i, lab, priors[i], ntoks[i], int(cls[i]["docs"])) for i, lab in enumerate(labels)],
         "idx int, label string, prior double, n_tokens bigint, docs bigint")
-    return NaiveBayesModel(tokens, classes, labels, priors, V, V + 1)
+    return NaiveBayesModel(tokens, classes, labels, priors, V)
 
 
-def class_scores(model: NaiveBayesModel, df: DataFrame, key_col: str, text_col: str | None = None,
+def class_scores(model: NaiveBayesModel, df: DataFrame, key_col: str | list[str], text_col: str | None = None,
                  tokens_col: str | None = None, max_tokens: int | None = None) -> DataFrame:
-    """(key, raw ARRAY<DOUBLE>) log-scores per class for every row of ``df``.
-
-    One pass over ``df``: its tokens plus the sentinel are exploded, joined to
-    the token table and summed per row.  ``max_tokens`` keeps only the first
-    tokens (F11).  When the token table cannot be broadcast, (key, token)
-    counts are pre-aggregated before the shuffle join (AQE splits the hot
-    sentinel key, whose build side is a single row).
+    """(key columns, raw ARRAY<DOUBLE>) log-scores per class, one row for every row of ``df``.
+
+    One pass over ``df``: its tokens are exploded, joined to the token table and
+    summed per key; the priors are added to the sums.  ``max_tokens`` keeps only
+    the first tokens (F11).  Rows that agree in all key columns must agree in
+    text: they are counted by their first token, the sums divided and the row
+    given back as often.  When the token table cannot be broadcast, (key, token)
+    counts are pre-aggregated before the shuffle join.
     """
+    keys = [key_col] if isinstance(key_col, str) else list(key_col)
     K = len(model.labels)
     toks = F.filter(_token_col(df, text_col, tokens_col), lambda t: t != F.lit(DOC_TOKEN))
     if max_tokens is not None:
         toks = truncate_tokens(toks, max_tokens)
-    exploded = df.select(F.col(key_col).alias("_k"),
-                         F.explode(F.concat(toks, F.array(F.lit(DOC_TOKEN)))).alias("token"))
-    if model.token_rows <= sizing.MAX_BROADCAST_ROWS:
-        counted = exploded.withColumn("q", F.lit(1.0))
+    names = [f"_k{i}" for i in range(len(keys))]
+    exploded = df.select(*[F.col(k).alias(n) for k, n in zip(keys, names)], F.posexplode_outer(toks).alias("_pos", "token"))
+    first = (F.coalesce(F.col("_pos"), F.lit(0)) == 0).cast("double")
+    if model.broadcastable():
+        counted = exploded.select(*names, "token", F.lit(1.0).alias("q"), first.alias("m"))
     else:
-        counted = exploded.groupBy("_k", "token").agg(F.count(F.lit(1)).cast("double").alias("q"))
-    joined = counted.join(model.token_table(), "token", "inner")
-    summed = joined.groupBy("_k").agg(*[F.sum(F.col("q") * F.col("w")[i]).alias(f"s{i}") for i in range(K)])
-    return summed.select(F.col("_k").alias(key_col), F.array(*[F.col(f"s{i}") for i in range(K)]).alias("raw"))
+        # a row without tokens gets a token of its own, so that such rows do not meet in one join task
+        own = F.concat(F.lit("\u0001"), F.xxhash64(*names).cast("string"))
+        counted = (exploded.groupBy(*names, F.coalesce("token", own).alias("token"))
+                   .agg(F.count(F.lit(1)).cast("double").alias("q"), F.sum(first).alias("m")))
+    joined = counted.join(model.token_table(), "token", "left")
+    summed = joined.groupBy(*names).agg(F.sum("m").alias("m"), *[
+        F.coalesce(F.sum(F.col("q") * F.col("w")[i]), F.lit(0.0)).alias(f"s{i}") for i in range(K)])
+    raw = F.array(*[F.col(f"s{i}") / F.col("m") + F.lit(model.priors[i]) for i in range(K)])
+    return (summed.select(*names, raw.alias("raw"), F.explode(F.array_repeat(F.lit(1), F.col("m").cast("int"))).alias("_one"))
+            .select(*[F.col(n).alias(k) for n, k in zip(names, keys)], "raw"))
 
 
 def argmax_label(raw: Column, labels: list[str], digits: int = 6) -> Column:
@@ -146,10 +157,11 @@ def softmax(raw: Column, K: int) -> Column:
     return F.array(*[e / total for e in exps])
 
 
-def predict(model: NaiveBayesModel, df: DataFrame, key_col: str, text_col: str | None = None,
+def predict(model: NaiveBayesModel, df: DataFrame, key_col: str | list[str], text_col: str | None = None,
             tokens_col: str | None = None, max_tokens: int | None = None,
             return_probas: bool = False) -> DataFrame:
-    """M5 scoring core: (key, prediction[, score, raw_scores, scores])."""
+    """M5 scoring core: (key columns, prediction[, score, raw_scores, scores])."""
+    keys = [key_col] if isinstance(key_col, str) else list(key_col)
     K = len(model.labels)
     sc = class_scores(model, df, key_col, text_col, tokens_col, max_tokens)
     out = sc.withColumn("prediction", argmax_label(F.col("raw"), model.labels))
@@ -158,8 +170,8 @@ def predict(model: NaiveBayesModel, df: DataFrame, key_col: str, text_col: str |
         out = (out.withColumn("scores", probs)
                .withColumn("score", F.array_max("scores"))
                .withColumnRenamed("raw", "raw_scores"))
-        return out.select(key_col, "prediction", "score", "raw_scores", "scores")
-    return out.select(key_col, "prediction")
+        return out.select(*keys, "prediction", "score", "raw_scores", "scores")
+    return out.select(*keys, "prediction")
 
 
 def prob_of(model: NaiveBayesModel, raw: Column, label: str) -> Column:
@@ -171,8 +183,7 @@ def detect_language(model: NaiveBayesModel, df: DataFrame, key_col: str, text_co
                     min_score: float = 0.75) -> DataFrame:
     """M6: top language if its probability is > ``min_score`` else NULL."""
     p = predict(model, df, key_col, text_col, return_probas=True)
-    return p.select(key_col, F.when(F.col("score") > F.lit(min_score), F.col("prediction")).alias("language"),
-                    "score")
+    return p.select(key_col, label_above("prediction", "score", min_score).alias("language"), "score")
 
 
 def texts_frame(spark, texts, key_col: str = "id", text_col: str = "text") -> DataFrame:
@@ -182,19 +193,25 @@ def texts_frame(spark, texts, key_col: str = "id", text_col: str = "text") -> Da
     return spark.createDataFrame([(i, t) for i, t in enumerate(texts)], f"{key_col} long, {text_col} string")
 
 
+def _level_path(path: str, level: str) -> str:
+    return f"{path.rstrip('/')}/level={level}"
+
+
 def save_model(model: NaiveBayesModel, path: str, level: str = "nace", mode: str = "overwrite") -> None:
-    """Token and class tables as parquet, partitioned by level."""
-    model.tokens.withColumn("level", F.lit(level)).write.mode(mode).partitionBy("level") \
-        .parquet(f"{path.rstrip('/')}/tokens")
-    model.classes.withColumn("vocab_size", F.lit(model.vocab_size)).withColumn("level", F.lit(level)) \
-        .write.mode(mode).partitionBy("level").parquet(f"{path.rstrip('/')}/classes")
+    """Token and class tables as parquet in a folder of the level; other levels are not touched."""
+    base = _level_path(path, level)
+    model.tokens.write.mode(mode).parquet(f"{base}/tokens")
+    model.classes.withColumn("vocab_size", F.lit(model.vocab_size)).write.mode(mode).parquet(f"{base}/classes")
 
 
 def load_model(spark, path: str, level: str = "nace") -> NaiveBayesModel:
-    """Reload a saved model (partition pruning on ``level``)."""
-    tokens = spark.read.parquet(f"{path.rstrip('/')}/tokens").filter(F.col("level") == level).drop("level")
-    classes = spark.read.parquet(f"{path.rstrip('/')}/classes").filter(F.col("level") == level).drop("level")
+    """Reload the model of a level; a level that was never saved raises."""
+    base = _level_path(path, level)
+    try:
+        tokens, classes = spark.read.parquet(f"{base}/tokens"), spark.read.parquet(f"{base}/classes")
+    except AnalysisException as e:
+        raise ValueError(f"no model of level {level!r} in {path}") from e
     rows = classes.orderBy("idx").collect()
     V = int(rows[0]["vocab_size"]) if rows else 0
     return NaiveBayesModel(tokens, classes.drop("vocab_size"), [r["label"] for r in rows],
-                           [float(r["prior"]) for r in rows], V, V + 1)
+                           [float(r["prior"]) for r in rows], V)

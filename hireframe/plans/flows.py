@@ -64,12 +64,18 @@ class LevelResult:
 
 def train_eval_level(train: DataFrame, mapping: DataFrame, level: str | None = "nace",
                      max_n_per_group: int = 500, split_by: str = "employers", test_size: float = 0.2,
-                     seed: int = 8082023, retrain_full: bool = False) -> LevelResult:
-    """One industry level, split by employer, NB trained on train, report on test."""
-    df = labelling.relabel(train, mapping, level)                                   # J6
+                     seed: int = 8082023, retrain_full: bool = False, unique_employers: bool = False,
+                     blind: bool = True, save_path: str | None = None) -> LevelResult:
+    """One industry level, split by employer or at random, NB trained on train, report on test.
+
+    ``unique_employers`` keeps one posting per employer (A16), ``blind`` replaces employer names
+    (F3), ``save_path`` keeps the model under its level (S9).
+    """
+    df = voting.one_per_employer(train, "uniq_id") if unique_employers else train   # A16
+    df = labelling.relabel(df, mapping, level)                                      # J6
     df = sampling.subsample(df, "industry", "uniq_id", max_n_per_group=max_n_per_group)   # W1
     dist = evaluate.class_distribution(df)                                          # A2
-    df = blinded(df)                                                                # F3
+    df = blinded(df) if blind else df                                               # F3
     shared_dir(df.sparkSession)
     df = df.checkpoint(eager=True)   # reused by split, index and report: cut lineage once
     parts = splitting.partition_data(df, "industry", "uniq_id", split_by=split_by, validation_set=False,
@@ -80,6 +86,8 @@ def train_eval_level(train: DataFrame, mapping: DataFrame, level: str | None = "
     labels_df = evaluate.label_index(df)                                            # A4
     base = evaluate.baseline_accuracy(tr)                                           # A6, A7
     model = classify.train_naive_bayes(parts if retrain_full else tr, "industry", tokens_col="_toks")  # M4/M9
+    if save_path:
+        classify.save_model(model, save_path, level or "nace")
     pred = classify.predict(model, te, "uniq_id", tokens_col="_toks")
     pairs = te.select("uniq_id", F.col("industry").alias("y_true")).join(
         pred.select("uniq_id", F.col("prediction").alias("y_pred")), "uniq_id", "left")
@@ -94,9 +102,8 @@ def classify_postings(model: classify.NaiveBayesModel, df: DataFrame, key_col: s
     desc = extract_employer_description(df, text_col=text_col, name_col=name_col)
     desc = desc.withColumn("_toks", truncate_tokens(word_tokens(default_text("employer_description")),
                                                     MODEL_MAX_TOKENS))
-    pred = classify.predict(model, desc, key_col, tokens_col="_toks", return_probas=return_probas)
-    keep = [key_col] + ([name_col] if name_col else [])
-    return desc.select(*keep).join(pred, key_col, "inner")
+    keys = [key_col] + ([name_col] if name_col else [])   # a posting may have several employers: one row each
+    return classify.predict(model, desc, keys, tokens_col="_toks", return_probas=return_probas)
 
 
 def classify_employers(job_postings: DataFrame, position_characteristics: DataFrame, companies,
@@ -131,15 +138,18 @@ def english_detection(corpus: DataFrame, key_col: str = "doc_id", text_col: str
     """
     if fit_on not in ("all", "train"):
         raise ValueError("fit_on must be 'all' or 'train'")
-    reb = sampling.rebalance(corpus, label_col, key_col, target, target_share, seed, copy_col="_copy")  # L6
+    # keys and labels only are drawn, ranked and split; each text is encoded once
+    reb = sampling.rebalance(corpus.select(key_col, label_col), label_col, key_col, target, target_share, seed, copy_col="_copy")  # L6
     reb = reb.withColumn("row_key", F.concat_ws(":", F.col(key_col).cast("string"), F.col("_copy").cast("string")))
-    split = splitting.three_way_split(reb, "row_key", test_size, seed)              # L11
+    shared_dir(corpus.sparkSession)
+    split = splitting.three_way_split(reb, "row_key", test_size, seed).checkpoint(eager=True)   # L11
     if fit_on == "all":
         vocab = build_vocabulary(corpus, key_col, text_col, max_tokens)             # W3 on the whole corpus
     else:
-        vocab = build_vocabulary(split.filter(F.col("partition") == "train"), "row_key", text_col, max_tokens)
-    enc = encode_tokens(split, "row_key", text_col, vocab, sequence_length=max_len)  # F9/F10
-    data = split.select("row_key", label_col, "partition").join(enc, "row_key", "inner") \
+        train = split.filter(F.col("partition") == "train").join(corpus.select(key_col, text_col), key_col)
+        vocab = build_vocabulary(train, "row_key", text_col, max_tokens)
+    enc = encode_tokens(corpus, key_col, text_col, vocab, sequence_length=max_len)   # F9/F10
+    data = split.join(enc, key_col, "inner").select("row_key", label_col, "partition", "ids") \
         .withColumn("y", one_vs_rest(label_col, target))                            # P14
     feats = F.filter(F.col("ids"), lambda x: x != 0)
     if features == "first_token":

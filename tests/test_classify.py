@@ -1,8 +1,10 @@
 import math
 
+import pytest
 from pyspark.sql import functions as F
 
 from hireframe.operators import classify
+from hireframe.plans import flows
 from hireframe.operators.vocabulary import build_vocabulary, encode_tokens
 
 
@@ -100,3 +102,71 @@ def test_predict_english_on_new_sentences(spark):
     out = {r.id: r.is_english for r in predict_english(
         res, classify.texts_frame(spark, ["the mat", "le tapis"])).collect()}
     assert out == {0: 1, 1: 0}
+
+
+def two_levels(spark):
+    a = spark.createDataFrame([("x`y", "red red"), ("token", "blue")], "label string, text string")
+    b = spark.createDataFrame([("u", "red"), ("v", "blue blue")], "label string, text string")
+    return classify.train_naive_bayes(a, "label", text_col="text"), classify.train_naive_bayes(b, "label", text_col="text")
+
+
+def test_levels_are_saved_side_by_side(spark, tmp_path):
+    m1, m2 = two_levels(spark)
+    path = str(tmp_path / "levels")
+    classify.save_model(m1, path, "nace")
+    classify.save_model(m2, path, "macro")
+    assert classify.load_model(spark, path, "nace").labels == ["token", "x`y"]
+    assert classify.load_model(spark, path, "macro").labels == ["u", "v"]
+    with pytest.raises(ValueError, match="pharma"):
+        classify.load_model(spark, path, "pharma")
+
+
+def test_rows_of_one_posting_are_scored_apart(spark, monkeypatch):
+    from hireframe.functions import sizing
+    m, _ = two_levels(spark)
+    rows = [("p1", "acme", "red"), ("p1", "globex", "blue"), ("p2", "acme", "blue"), ("p2", "acme", "blue"), ("p3", None, ""), ("p4", "acme", None)]
+    df = spark.createDataFrame(rows, "uniq_id string, company_name string, t string")
+    want = None
+    for limit in (sizing.MAX_BROADCAST_BYTES, 0):          # broadcast and shuffle path
+        monkeypatch.setattr(sizing, "MAX_BROADCAST_BYTES", limit)
+        got = classify.predict(m, df, ["uniq_id", "company_name"], text_col="t", return_probas=True).collect()
+        key = sorted((r.uniq_id, str(r.company_name), r.prediction, round(r.score, 9)) for r in got)
+        alone = {}
+        for p, c, t in rows:
+            one = spark.createDataFrame([("k", t)], "k string, t string")
+            r = classify.predict(m, one, "k", text_col="t", return_probas=True).first()
+            alone[(p, str(c))] = (r.prediction, round(r.score, 9))
+        assert key == sorted((p, str(c), *alone[(p, str(c))]) for p, c, _ in rows)
+        want = want or key
+        assert key == want
+
+
+def test_english_detector_fits_on_train_too(spark):
+    rows = [(i, ("the cat sat on the mat" if i % 2 else "die katze sitzt auf der matte") + f" {chr(97 + i % 7)}", "en" if i % 2 else "de") for i in range(80)]
+    corpus = spark.createDataFrame(rows, "doc_id long, text string, labels string")
+    for fit_on in ("all", "train"):
+        res = flows.english_detection(corpus, target_share=0.5, fit_on=fit_on)
+        assert min(r.accuracy for r in res.evaluation.collect()) >= 0.9
+        assert res.data.count() == 80
+
+
+def test_text_files_with_and_without_names(spark, tmp_path):
+    from hireframe.sources import files
+    (tmp_path / "a.txt").write_text("Acme hires. We are a bank.")
+    (tmp_path / "b.txt").write_text("We make red red things.")
+    m, _ = two_levels(spark)
+    posts = files.read_text_postings(spark, str(tmp_path))
+    alone = flows.classify_postings(m, posts, "file_name", name_col=None).collect()
+    named = flows.classify_postings(m, posts, "file_name").collect()
+    assert len(alone) == len(named) == 2 and {r.file_name for r in alone} == {r.file_name for r in named}
+
+
+def test_level_switches(spark, tmp_path):
+    rows = [(f"p{i}", ("red " if i % 2 else "blue ") * 3 + f"c{i % 9}", f"c{i % 9}", "ab"[i % 2]) for i in range(90)]
+    train = spark.createDataFrame(rows, "uniq_id string, employer_description string, company_name string, industry string")
+    mapping = spark.createDataFrame([("macro", "a", "A")], "level string, industry string, target string")
+    one = flows.train_eval_level(train, mapping, "nace", unique_employers=True, split_by="random")
+    assert one.data.count() == 9
+    plain = flows.train_eval_level(train, mapping, "macro", blind=False, split_by="random", save_path=str(tmp_path / "m"))
+    assert plain.data.where("employer_description like '%c3%'").count() > 0
+    assert classify.load_model(spark, str(tmp_path / "m"), "macro").labels == ["A", "b"]
