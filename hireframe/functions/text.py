@@ -1,4 +1,4 @@
-"""String and array functions (F1-F7, F9, F11, F13, F14) as Spark expressions.
+"""String and array functions (F1-F7, F9, F11) as Spark expressions.
 
 Everything here is a JVM-side expression, so it runs inside whole-stage codegen
 and never leaves the executor's row stream.
@@ -18,7 +18,8 @@ DIGITS = string.digits
 
 # A sentence ends at a run of . ! ? followed by whitespace (split after it).
 _SENT_SPLIT = r"(?<=[.!?])[ \t\r\n]+"
-_WS = r"[ \t\r\n\f\u000b]+"
+# Every character at which Python's str.split() splits (fixed values), as one regex class.
+_WS = r"[\x09-\x0D\x1C-\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]+"
 
 
 def _c(col: str | Column) -> Column:
@@ -106,13 +107,3 @@ def pad_ids(ids: str | Column, length: int | Column, pad: int = 0) -> Column:
     L = length if isinstance(length, Column) else F.lit(length)
     return F.concat(F.slice(a, 1, L),
                     F.array_repeat(F.lit(pad), F.greatest(L - F.size(a), F.lit(0))))
-
-
-def half_even(col: str | Column, scale: int = 0) -> Column:
-    """banker's rounding (Python's round)."""
-    return F.bround(_c(col), scale)
-
-
-def sigmoid(col: str | Column) -> Column:
-    """1 / (1 + exp(-x))."""
-    return F.lit(1.0) / (F.lit(1.0) + F.exp(-_c(col)))

@@ -25,7 +25,7 @@ def label_index(df: DataFrame, label_col: str = "industry") -> DataFrame:
 
 
 def encode_labels(df: DataFrame, index: DataFrame, label_col: str = "industry", out: str = "target") -> DataFrame:
-    """A4: add the class index; an unseen label raises (inner join count check is the caller's)."""
+    """A4: add the class index; an unseen label gets NULL (the caller may reject it)."""
     return df.join(F.broadcast(index.select(F.col("label").alias(label_col), F.col("idx").alias(out))),
                    label_col, "left")
 
@@ -40,9 +40,10 @@ def baseline_accuracy(df: DataFrame, label_col: str = "industry", compat: bool =
     """ZeroR = max share; random guessing = sum of squared shares
     (``compat`` = the original's operator-precedence result sum(n_k)/n^2 = 1/n)."""
     counts = df.filter(F.col(label_col).isNotNull()).groupBy(label_col).agg(F.count(F.lit(1)).alias("_n"))
-    n = F.sum("_n")
-    rnd = (F.sum("_n") / (n * n)) if compat else F.sum(F.col("_n") * F.col("_n")) / (n * n)
-    return counts.agg((F.max("_n") / n).alias("zero_r"), rnd.alias("random_guess"))
+    counts = counts.withColumn("_n", F.col("_n").cast("decimal(19,0)"))   # squares pass 2^63 from 3e9 rows on
+    n = F.sum("_n").cast("double")
+    rnd = (n / (n * n)) if compat else F.sum(F.col("_n") * F.col("_n")).cast("double") / (n * n)
+    return counts.agg((F.max("_n").cast("double") / n).alias("zero_r"), rnd.alias("random_guess"))
 
 
 def accuracy(pred: DataFrame, y_true: str = "y_true", y_pred: str = "y_pred") -> DataFrame:

@@ -118,11 +118,11 @@ def residual_sentences(sentences: Column, extracted: Column | None = None,
                        found: Column | None = None) -> Column:
     """Sentences not in the (re-split) extracted text, joined and re-split.
 
-    Pass ``found`` (the extracted text already split, as a column) so the split
-    is not repeated for every sentence inside the lambda.
+    ``found`` is the extracted text already split.  It is bound to a lambda
+    variable, so it is split once a row and not once a sentence.
     """
     found = split_sentences(extracted) if found is None else found
-    kept = F.filter(sentences, lambda s: ~F.array_contains(found, s))
+    kept = F.get(F.transform(F.array(found), lambda f: F.filter(sentences, lambda s: ~F.array_contains(f, s))), F.lit(0))
     return split_sentences(join_sentences(kept))
 
 
@@ -213,15 +213,6 @@ def extract_employer_description(df: DataFrame, text_col: str = "job_description
     return work.select(*keep, F.inline(F.array(row)))
 
 
-def cue_scorer(targets=None, excluding=None, cues=None) -> Callable[[DataFrame], DataFrame]:
-    """The default cue classifier as a scorer (DataFrame with ``sentence`` -> + ``top_label``)."""
-    labels = candidate_labels(targets, excluding)
-
-    def score(long: DataFrame) -> DataFrame:
-        return long.withColumn("top_label", cue_top_label(F.col("sentence"), labels, cues))
-    return score
-
-
 def pandas_scorer(predict: Callable[[list[str], list[str]], list[str]], targets=None,
                   excluding=None) -> Callable[[DataFrame], DataFrame]:
     """Wrap any Python classifier ``predict(sentences, candidate_labels) -> top labels``

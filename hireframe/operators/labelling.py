@@ -106,6 +106,15 @@ def labelled_employers(position_characteristics: DataFrame, companies: DataFrame
     return listed.unionByName(pat).distinct()
 
 
+def relabel_levels(df: DataFrame, mapping: DataFrame, label_col: str = "industry",
+                   levels: tuple[str, ...] = ("meso", "macro", "pharma")) -> DataFrame:
+    """J5/J6 at several levels at once: one row per input row and level, labels in one join."""
+    m = mapping.select("level", F.col("industry").alias(label_col), F.col("target").alias("_to"))
+    each = df.withColumn("level", F.explode(F.array(*[F.lit(x) for x in levels])))
+    return (each.join(broadcast_if_small(m), ["level", label_col], "left")
+            .withColumn(label_col, F.coalesce(F.col("_to"), F.col(label_col))).drop("_to"))
+
+
 def relabel(df: DataFrame, mapping: DataFrame, level: str | None, label_col: str = "industry") -> DataFrame:
     """Map nace labels to a coarser level; unmapped labels are kept.
 

@@ -188,7 +188,8 @@ from ..operators import classify, evaluate, splitting  # noqa: E402
 from ..operators.extraction import (extract_employer_description, residual_sentences,  # noqa: E402
                                     sentences_by_cues)
 from ..operators.vocabulary import build_vocabulary, encode_tokens, longest_sequence  # noqa: E402
-from ..sources.labels import level_mapping, MESO_MAPPING, MACRO_MAPPING, PHARMA_MAPPING  # noqa: E402
+from ..sources.labels import (MACRO_MAPPING, MESO_MAPPING, NAME_PATTERNS, PHARMA_MAPPING, level_mapping,  # noqa: E402
+                              load_dictionary, write_dictionary)
 from . import flows  # noqa: E402
 
 
@@ -302,9 +303,7 @@ where l.industry is not null""", "labelled"))
 def q_relabel_level(spark, d):
     base = labelled_only(spark, d).select("uniq_id", "industry")
     mp = level_mapping(spark)
-    outs = [labelling.relabel(base, mp, lvl).select("uniq_id", F.lit(lvl).alias("level"), "industry")
-            for lvl in ("meso", "macro", "pharma")]
-    return outs[0].unionByName(outs[1]).unionByName(outs[2])
+    return labelling.relabel_levels(base, mp).select("uniq_id", "level", "industry")
 
 
 # ---------------------------------------------------------------- splits
@@ -443,7 +442,7 @@ def _draw_sql(src: str, key: str, seed, n_expr: str, out: str) -> str:
     return f"""{out}_ix as (select *, row_number() over (order by md5(concat('{seed}:', cast({key} as varchar))),
       cast({key} as varchar)) as _idx from {src}),
 {out}_n as (select count(*) as nn from {src}),
-{out}_dr as (select (cast(('0x' || substr(md5(concat('{seed}:draw:', cast(i as varchar))), 1, 8)) as bigint)
+{out}_dr as (select (cast(('0x' || substr(md5(concat('{seed}:draw:', cast(i as varchar))), 1, 15)) as bigint)
       % (select nn from {out}_n)) + 1 as _idx from range(cast({n_expr} as bigint)) t(i)),
 {out} as (select x.* exclude (_idx), cast(row_number() over (partition by x._idx) - 1 as integer) as copy
       from {out}_ix x join {out}_dr d on x._idx = d._idx)"""
@@ -870,3 +869,102 @@ def q_baseline_accuracy_compat(spark, d):
     """A7 as the original computes it (Q11): sum(n_k) / n^2 = 1/n."""
     b = evaluate.baseline_accuracy(labelled_only(spark, d), compat=True)
     return b.select(F.round("zero_r", 6).alias("zero_r"), F.round("random_guess", 6).alias("random_guess"))
+
+
+# ---------------------------------------------------------------- all levels, JSON dictionaries, more dispatch
+
+LEVELS = ("nace", "meso", "macro", "pharma")
+
+
+def _level_train_sql(level: str) -> str:
+    head = _e2_sql(level, "")
+    return head[:head.index(",\nsp_base as")]
+
+
+def _predict_level_sql(level: str) -> str:
+    return (_level_train_sql(level) + ",\n" + S.extraction("unique_postings", "ed") + f""",
+p_in as (select uniq_id, list_slice({S.tokens("coalesce(nullif(employer_description, ''), 'no relevant information')")},
+  1, 128) as toks from ed),
+""" + S.naive_bayes("nb", "e2_b", "industry", _TRUNC_DESC, "p_in", "uniq_id", "toks")
+            + f"\nselect {S.q(level)} as level, _k as uniq_id, prediction from nb_pred")
+
+
+@register("predict_all_levels", "\nunion all\n".join(f"select * from ({_predict_level_sql(x)}) q_{x}" for x in LEVELS))
+def q_predict_all_levels(spark, d):
+    """M9, S9, M5 at every level: fit, save under one path, reload each, classify all postings."""
+    path = files.scratch_table_path(spark, "nb_levels")
+    train, mapping = industry_train(spark, d), level_mapping(spark)
+    for level in LEVELS:
+        df = flows.blinded(sampling.subsample(labelling.relabel(train, mapping, level), "industry", "uniq_id"))
+        model = classify.train_naive_bayes(df.withColumn("_toks", flows.model_tokens()), "industry", tokens_col="_toks")
+        classify.save_model(model, path, level)
+    posts = unique_postings(spark, d)
+    outs = [flows.classify_postings(classify.load_model(spark, path, level), posts)
+            .select(F.lit(level).alias("level"), "uniq_id", "prediction") for level in LEVELS]
+    return outs[0].unionByName(outs[1]).unionByName(outs[2]).unionByName(outs[3])
+
+
+# Label files of the JSON query: the pattern file has its own industry order, and "rod" and "ring" match several.
+JSON_COMPANIES = {"manufacturing": ["red widget", "blue bolt"], "pharmaceutical and life sciences": ["hot gizmo"],
+                  "medtech": ["red widget", "new gear"], "financial and insurance": ["old ring"]}
+JSON_PATTERNS = {"research and academia": ["rod", "gear", "ring"], "real estate": ["plate", "rod"], "financial and insurance": ["anvil", "bolt"]}
+for _industry, _names in NAME_PATTERNS.items():      # and the shipped name patterns behind them
+    JSON_PATTERNS[_industry] = JSON_PATTERNS.get(_industry, []) + _names
+_JSON_RANKS = {x: i + 1 for i, x in enumerate([*JSON_COMPANIES, *(x for x in JSON_PATTERNS if x not in JSON_COMPANIES)])}
+
+
+def _json_values(entries: dict, column: str) -> str:
+    rows = ", ".join(f"({S.q(i)}, {_JSON_RANKS[i]}, {S.q(x)})" for i, xs in entries.items() for x in xs)
+    return f"(select * from (values {rows}) t(industry, industry_rank, {column}))"
+
+
+@register("json_dictionary_labels", S.with_views(f"""
+select u.uniq_id, u.company_name, (select arg_min(industry, industry_rank) from (
+    select industry, industry_rank from {_json_values(JSON_COMPANIES, 'company_name')} c where c.company_name = u.company_name
+    union all select industry, industry_rank from {_json_values(JSON_PATTERNS, 'pattern')} p
+    where u.company_name ilike concat('% ', p.pattern, '%') escape '@')) as industry
+from unique_postings u""", "unique_postings"))
+def q_json_dictionary_labels(spark, d):
+    """S3: both label files written and read as JSON; industries in one merged order (pattern-only ones last)."""
+    base = files.scratch_table_path(spark, "labels_json")
+    write_dictionary(spark, JSON_COMPANIES, base, "companies")
+    write_dictionary(spark, JSON_PATTERNS, base, "patterns")
+    companies, patterns = load_dictionary(spark, base)
+    return labelling.label_employers(unique_postings(spark, d), companies, patterns).select("uniq_id", "company_name", "industry")
+
+
+@register("vocabulary_full", "with " + _vocab_sql(1 << 30) + "\nselect token, id from vocab")
+def q_vocabulary_full(spark, d):
+    """W3 without a cap: ids of every token by the distributed rank."""
+    return build_vocabulary(fx.table(spark, d, "documents"), "doc_id", "text", None)
+
+
+@register("partition_random", ORACLE["split_random_stratified"])
+def q_partition_random(spark, d):
+    """L10 with the random split."""
+    df = labelled_only(spark, d).select("uniq_id", "industry")
+    return splitting.partition_data(df, "industry", "uniq_id", "random", "company_name", True, 0.15, 0.25, seed=10082023)
+
+
+@register("partition_leakage_random", S.with_views(
+    "select 1", "labelled")[:-len("select 1")].rstrip() + ",\nrs as (" + ORACLE["split_random_stratified"] + """)
+select l.company_name, count(distinct rs.partition) as n_partitions from rs join labelled l using (uniq_id)
+where l.company_name is not null group by 1 having count(distinct rs.partition) > 1""")
+def q_partition_leakage_random(spark, d):
+    """U4 on a split that leaks: employers whose postings a random split scatters."""
+    df = labelled_only(spark, d).select("uniq_id", "industry", "company_name")
+    return splitting.partition_leakage(splitting.random_stratified_split(df, "industry", "uniq_id", True, 0.15, 0.25, seed=10082023))
+
+
+@register("predict_english_new", _e4_sql(f"""
+, cv as (select concat_ws(':', cast(conv_id as varchar), cast(turn as varchar)) as row_key, text from conversations),
+{_encode_sql("cv", "row_key", "vocab", 30, "enc2")},
+e4_nw as (select _k as row_key, list_transform(list_filter(ids, lambda x: x <> 0), lambda x: cast(x as varchar)) as f from enc2),
+{S.naive_bayes("nw", "e4_tr", "ys", "f", "e4_nw", "row_key", "f")}
+select row_key, case when coalesce(p.prob, 0.0) >= 0.5 then 1 else 0 end as is_english from e4_nw
+left join (select _k, prob from nw_prob where label = '1') p on p._k = row_key"""))
+def q_predict_english_new(spark, d):
+    """M8 inference on texts the detector has not seen: every turn of the conversations."""
+    conv = fx.table(spark, d, "conversations").select(
+        F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("row_key"), "text")
+    return flows.predict_english(_e4(spark, d), conv, "row_key").select("row_key", "is_english")

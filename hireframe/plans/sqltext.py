@@ -25,7 +25,7 @@ FIXTURE_CTES = {
   from documents d join part on p_partkey=d.doc_id left join pages h on h.page_id=d.doc_id)""",
     "position_characteristics": """position_characteristics as (
   select concat('p',cast(d.doc_id as varchar(20))) as uniq_id, p_name as company_name
-  from documents d join part on p_partkey=d.doc_id where d.doc_id % 50 <> 49)""",
+  from documents d join part on p_partkey=d.doc_id )""",
     "label_companies": "label_companies as (select * from (values "
     + ", ".join(f"({q(a)},{b},{q(c)})" for a, b, c in LABEL_COMPANIES)
     + ") t(industry,industry_rank,company_name))",
@@ -74,10 +74,13 @@ def sentences(expr: str) -> str:
             f"lambda s: s <> '')")
 
 
+UNICODE_SPACE = r"[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+
+
 def tokens(expr: str) -> str:
     """F4+F5 in DuckDB."""
     cleaned = f"lower(translate(coalesce({expr}, ''), {q(PUNCTUATION + DIGITS)}, ''))"
-    return f"list_filter(regexp_split_to_array({cleaned}, '[ \\t\\r\\n\\f\\x0b]+'), lambda t: t <> '')"
+    return f"list_filter(regexp_split_to_array({cleaned}, '{UNICODE_SPACE}'), lambda t: t <> '')"
 
 
 def cue_top_label(sent: str, var: str = "t") -> str:

@@ -3,7 +3,7 @@
 ``job_postings`` and ``position_characteristics`` are formed from
 ``documents`` (texts), ``part`` (employer names) and ``pages`` (html); the two
 label dimensions are small configuration tables.  The same definitions exist
-as SQL text in :mod:`hireframe.plans.oracle` for the DuckDB check.
+as SQL text in :mod:`hireframe.plans.sqltext` for the DuckDB check.
 
 Scale notes: every join here is on the document id, a unique key, so the three
 inputs are each hash-partitioned once by that key and the joins line up
@@ -79,11 +79,10 @@ def job_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def position_characteristics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """uniq_id, company_name (2% of postings have no company row)."""
+    """uniq_id, company_name of every posting."""
     docs = table(spark, sf_dir, "documents").select("doc_id")
     part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), "p_name")
     return (docs.join(part, "doc_id", "inner")
-            .filter(F.col("doc_id") % 50 != 49)
             .select(_uniq_id().alias("uniq_id"), F.col("p_name").alias("company_name")))
 
 

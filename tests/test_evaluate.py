@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from hireframe.operators.evaluate import baseline_accuracy, classification_report, label_index
 from hireframe.operators.voting import majority_vote, one_per_employer
 
@@ -32,3 +34,12 @@ def test_baselines_and_index(spark):
 def test_one_per_employer(spark):
     df = spark.createDataFrame([("p1", "x"), ("p2", "x"), ("p3", "y")], "uniq_id string, company_name string")
     assert one_per_employer(df, "uniq_id").count() == 2
+
+
+def test_baselines_of_ten_billion_rows(spark):
+    """The aggregate of the baselines, on class counts whose squares pass 2^63."""
+    n = F.col("n").cast("decimal(19,0)")
+    rows = spark.createDataFrame([(9_000_000_000,), (1_000_000_000,)], "n long").select(n.alias("n"))
+    t = F.sum("n").cast("double")
+    r = rows.agg((F.sum(F.col("n") * F.col("n")).cast("double") / (t * t)).alias("x")).first()
+    assert abs(r.x - 0.82) < 1e-12

@@ -67,3 +67,16 @@ def test_word_anchor_option(spark):
                                   "uniq_id string, company_name string")
     got = {r.uniq_id: r.industry for r in label_employers(posts, _, patterns, anchor="word").collect()}
     assert got == {"1": "research and academia", "2": "research and academia"}
+
+
+def test_one_rank_order_over_both_files(spark, tmp_path):
+    from hireframe.sources.labels import load_dictionary, write_dictionary
+    write_dictionary(spark, {"trade": ["acme"], "health": ["medico"], "finance": ["old bank"]}, str(tmp_path), "companies")
+    write_dictionary(spark, {"lodging": ["hotel"], "finance": ["insurance"], "trade": ["shop"]}, str(tmp_path), "patterns")
+    companies, patterns = load_dictionary(spark, str(tmp_path))
+    assert {r.industry: r.industry_rank for r in companies.collect()} == {"trade": 1, "health": 2, "finance": 3}
+    assert {r.industry: r.industry_rank for r in patterns.collect()} == {"trade": 1, "finance": 3, "lodging": 4}
+    posts = spark.createDataFrame([("1", "swiss hotel insurance"), ("2", "swiss hotel shop"), ("3", "the hotel")], "uniq_id string, company_name string")
+    assert {r.uniq_id: r.industry for r in label_employers(posts, companies, patterns).collect()} == {"1": "finance", "2": "trade", "3": "lodging"}
+    ranks = labelled_employers(posts, companies, patterns).select("industry", "industry_rank").distinct().collect()
+    assert len(ranks) == len({r.industry for r in ranks})

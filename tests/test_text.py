@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from hireframe.functions.text import (blind_names, half_even, pad_ids, split_sentences, word_tokens)
+from hireframe.functions.text import (blind_names, pad_ids, split_sentences, word_tokens)
 from hireframe.operators.extraction import (extract_employer_description, residual_sentences,
                                             sentences_by_name)
 
@@ -75,9 +75,14 @@ def test_tokens(spark):
     assert r.x == ["hello", "world", "times", "again"]
 
 
-def test_padding_and_half_even(spark):
+def test_padding(spark):
     rows = spark.createDataFrame([([5, 6],), ([1, 2, 3, 4, 5, 6],)], "a array<int>") \
         .select(pad_ids("a", 4).alias("x")).collect()
     assert [r.x for r in rows] == [[5, 6, 0, 0], [1, 2, 3, 4]]
-    hv = spark.createDataFrame([(2.5,), (3.5,)], "v double").select(half_even("v").alias("x")).collect()
-    assert [r.x for r in hv] == [2.0, 4.0]
+
+
+def test_tokens_split_where_python_splits(spark):
+    blanks = [chr(c) for c in range(0x3001) if chr(c).isspace()]
+    texts = [f"ab{b}cd{b}{b}e" for b in blanks] + ["a\u200bb", "x\ufeffy"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", word_tokens("t").alias("x")).collect()
+    assert {r.i: r.x for r in rows} == {i: t.split() for i, t in enumerate(texts)}
