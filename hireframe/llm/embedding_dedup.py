@@ -32,6 +32,8 @@ MAX_CENTRES = 4096
 SHARD = 2000
 #: Near and far neighbours kept of each vector, and the pruning factor.
 NEAR, FAR, ALPHA = 24, 12, 1.2
+#: Nearest members in whose lists a vector is entered.
+BACK = 6
 BEAM = 32
 #: Vectors audited by brute force.
 AUDIT = 200
@@ -115,9 +117,10 @@ def prune(x: np.ndarray, point: np.ndarray, pool: np.ndarray, keep: int, alpha:
 
 
 def build_shard(ids: np.ndarray, x: np.ndarray, seed: int = 5) -> list[np.ndarray]:
-    """Neighbour ids of each member: pruned near members (found by blocks) and pruned far ones."""
+    """Neighbour ids of each member: pruned near members (found by blocks) and pruned far ones.  Each
+    member also enters the lists of its ``BACK`` nearest, so one at the rim of a dense group is reached."""
     n, rng = len(ids), np.random.default_rng(seed)
-    out: list[np.ndarray] = []
+    start, end = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for a in range(0, n, 256):
         point = np.arange(a, min(a + 256, n))
         sim = x[point] @ x.T
@@ -125,8 +128,16 @@ def build_shard(ids: np.ndarray, x: np.ndarray, seed: int = 5) -> list[np.ndarra
         near = np.argpartition(-sim, k - 1, axis=1)[:, :k]
         far = rng.integers(0, n, (len(point), 2 * FAR))
         lists = np.c_[prune(x, point, near, NEAR, ALPHA), prune(x, point, far, FAR, ALPHA)]
-        out += [ids[np.unique(r[r >= 0])] for r in lists]
-    return out
+        sim[np.arange(len(point)), point] = -np.inf
+        nearest = np.argpartition(-sim, min(BACK, n) - 1, axis=1)[:, :BACK]
+        ok = lists >= 0
+        start += [np.repeat(point, ok.sum(1)), nearest.ravel()]
+        end += [lists[ok], np.repeat(point, nearest.shape[1])]
+    edge = np.unique(np.concatenate(start) * n + np.concatenate(end))
+    start, end = edge // max(n, 1), edge % max(n, 1)
+    keep = start != end
+    start, end = start[keep], end[keep]
+    return np.split(ids[end], np.cumsum(np.bincount(start, minlength=n))[:-1]) if n else []
 
 
 def search_shard(x: np.ndarray, adj: np.ndarray, q: np.ndarray, radius: float, beam: int) -> tuple[np.ndarray, np.ndarray]:
