@@ -30,7 +30,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_POWERS.get("up", ())) < n:
-        size = max(n, 1 << 20)
+        size = max(n, 1 << 18)
         for name, base in (("up", _BASE), ("down", _INVERSE)):
             p = np.full(size, base, np.uint64)
             p[0] = 1
@@ -60,7 +60,7 @@ class Words:
         self.counts = np.diff(self.bounds)
 
 
-def text_runs(column: pa.Array, lower: bool, chunk: int = 1 << 20) -> Iterator[tuple[int, int, Words]]:
+def text_runs(column: pa.Array, lower: bool, chunk: int = 1 << 18) -> Iterator[tuple[int, int, Words]]:
     """(first row, end row, words) over runs of whole texts of about ``chunk`` bytes; null texts are empty."""
     col = column.cast(pa.large_string()).fill_null("")
     n = len(col)

@@ -128,7 +128,8 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_
     per_doc = copies.groupBy("did", "dh").agg(F.collect_list(F.struct("start", "len")).alias("_runs"))
     per_doc = saved(per_doc.select(F.col("did").alias(did), F.col("dh").alias(dh), F.col("_runs").alias(runs_col)), "lines-runs")
     release(lines)
-    rows = _keyed(docs, id_col, text_col, did, dh).join(per_doc, [did, dh], "left").drop(did, dh)
+    # always a shuffle join: the plan, and so the growth of its work, is the same at every size
+    rows = _keyed(docs, id_col, text_col, did, dh).join(per_doc.hint("merge"), [did, dh], "left").drop(did, dh)
     at = docs.columns.index(text_col)
     span = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
     schema = T.StructType([*docs.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType()),

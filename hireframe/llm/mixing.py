@@ -173,4 +173,4 @@ def materialise(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id", text_
     i, s, h, n, c = (fresh(docs, x) for x in ("_id", "_source", "_hash", "_copies", "_copy"))
     per = per.select(F.col(id_col).alias(i), F.col("source").alias(s), F.col("text_hash").alias(h), F.col("copies").alias(n))
     same = F.col(id_col).eqNullSafe(F.col(i)) & F.col(source_col).eqNullSafe(F.col(s)) & (F.xxhash64(text_col) == F.col(h))
-    return docs.join(per, same).withColumn(c, F.explode(F.sequence(F.lit(1).cast("long"), F.col(n)))).select(docs.columns)
+    return docs.join(per.hint("merge"), same).withColumn(c, F.explode(F.sequence(F.lit(1).cast("long"), F.col(n)))).select(docs.columns)

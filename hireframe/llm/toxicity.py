@@ -72,6 +72,25 @@ class Model:
         return self.table.astype(np.float64) @ (self.weight[:, 1] - self.weight[:, 0]).astype(np.float64)
 
 
+def _vocabulary(texts: list[str], size: int = 2000) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Word number of every word of the texts, words per text, and the table rows of each different
+    word with their bounds; texts are read in small runs, so working arrays stay small."""
+    hashes, counts, known, rows, lens = [], [], [], [], []
+    for a in range(0, len(texts), size):
+        data = [t.encode().lower() for t in texts[a: a + size]]
+        words = Words(np.frombuffer(b"".join(data), np.uint8), np.cumsum([0, *map(len, data)]))
+        new, first = np.unique(words.hashes, return_index=True)
+        r, c = subwords(words, first)
+        hashes.append(words.hashes), counts.append(words.counts), known.append(new), rows.append(r.astype(np.int32)), lens.append(np.diff(c))
+    every, first = np.unique(np.concatenate(known), return_index=True)
+    lens, rows = np.concatenate(lens), np.concatenate(rows)
+    ends = np.cumsum(lens)
+    pick = lens[first]
+    at = np.repeat(ends[first] - pick - (np.cumsum(pick) - pick), pick) + np.arange(pick.sum())
+    ids = np.concatenate([np.searchsorted(every, h).astype(np.int32) for h in hashes])
+    return ids, np.concatenate(counts), rows[at], np.r_[0, np.cumsum(pick)]
+
+
 def train(texts: list[str], y: np.ndarray, owner: np.ndarray, epochs: tuple[int, int] = (3, 4), seed: int = 8, batch: int = 256,
           rate: float = 0.1) -> Model:
     """Joint training on windows: ``owner`` names each window's document."""
@@ -80,18 +99,15 @@ def train(texts: list[str], y: np.ndarray, owner: np.ndarray, epochs: tuple[int,
     model.weight[:] = rng.standard_normal((DIM, 2)) * 0.05
     if not len(texts) or len(np.unique(y)) < 2:
         return model
-    data = [t.encode() for t in texts]
-    words = Words(np.frombuffer(b"".join(data).lower(), np.uint8), np.cumsum([0, *map(len, data)]))
-    _, firsts, ids = np.unique(words.hashes, return_index=True, return_inverse=True)
-    rows, cuts = subwords(words, firsts)
+    ids, counts, rows, cuts = _vocabulary(texts)
     size = np.diff(cuts)
-    bounds = words.bounds
+    bounds = np.r_[0, np.cumsum(counts)]
     sums = [np.full_like(p, 1e-8) for p in (model.table, model.weight, model.bias)]
     target = y.copy()
-    usable = np.flatnonzero(words.counts > 0)
+    usable = np.flatnonzero(counts > 0)
 
     def step(win: np.ndarray, share: np.ndarray) -> None:
-        n = words.counts[win]
+        n = counts[win]
         pos = np.repeat(bounds[:-1][win] - (np.cumsum(n) - n), n) + np.arange(n.sum())
         w, back = np.unique(ids[pos], return_inverse=True)
         k = size[w]
@@ -122,7 +138,7 @@ def train(texts: list[str], y: np.ndarray, owner: np.ndarray, epochs: tuple[int,
             # of a toxic document only the most toxic windows stay positive, the others have no label
             s = np.add.reduceat(model.row_scores()[rows], cuts[:-1]) / size
             run = np.r_[0, np.cumsum(s[ids])]
-            z = (run[bounds[1:]] - run[bounds[:-1]]) / np.maximum(words.counts, 1)
+            z = (run[bounds[1:]] - run[bounds[:-1]]) / np.maximum(counts, 1)
             top = np.full(int(owner.max()) + 1, -np.inf)
             np.maximum.at(top, owner[usable], z[usable])
             pool = usable[(y[usable] == 0) | (z[usable] >= top[owner[usable]] - 1e-9)]

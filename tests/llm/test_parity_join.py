@@ -94,3 +94,26 @@ def test_words_match_the_pattern():
         assert w.counts.tolist() == [len(WORD.findall(t or "")) for t in texts]
     runs = [w.hashes for _, _, w in hashing.text_runs(pa.array(["x y", "y x", "X Y"]), lower=True, chunk=3)]
     assert len(runs) == 3 and runs[0][0] == runs[1][1] == runs[2][0] and runs[0][1] == runs[1][0]
+
+
+def test_shared_counts():
+    rng = np.random.default_rng(5)
+    x, y = ([np.unique(rng.integers(0, 60, int(rng.integers(0, 40)))) for _ in range(n)] for n in (13, 9))
+    want = [[len(np.intersect1d(a, b)) for b in y] for a in x]
+    assert P.shared_counts(x, y, block=16).astype(int).tolist() == want
+    assert P.shared_counts([np.zeros(0, np.int64)], [np.zeros(0, np.int64)]).tolist() == [[0]]
+
+
+@pytest.mark.parametrize("hot,tile", [(64, 512), (2, 5)])
+def test_near_misses_and_hot_shingles(spark, docs_of, monkeypatch, hot, tile):
+    # a big group whose pairs lie on both sides of the threshold, settled with and without tiles
+    monkeypatch.setattr(P, "HOT", hot)
+    monkeypatch.setattr(P, "TILE", tile)
+    rng, base = np.random.default_rng(9), [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(70):
+        w = list(base)
+        for p in rng.choice(60, 3 if i % 2 else 1, replace=False):
+            w[p] = f"x{i}_{p}"
+        rows.append((i, " ".join(w)))
+    check(docs_of(rows).repartition(4), rows)
