@@ -10,7 +10,7 @@ from hireframe.llm import stages
 from hireframe.llm.queries import QUERIES
 from hireframe.llm.sqltext import ORACLE
 from tests.llm.test_line_dedup import brute as lines_brute
-from tests.llm.test_parity_join import brute as groups_brute
+from tests.llm.test_parity_join import brute as groups_brute, sets_of
 
 SF = "/root/testdata/sf0.01"
 TABLES = ("documents", "embeddings", "conversations", "labels")
@@ -54,6 +54,34 @@ def test_stages(spark, odd_docs, docs_of):
     assert enc.count() == mixed.count() and enc.where("n_tokens <> size(ids)").count() == 0
 
 
+def near_groups(rows, k=5, pct=80):
+    """Smallest id of each group of texts whose k-word shingle sets are linked, by testing all pairs."""
+    sets = {i: sets_of(t, k) for i, t in rows}
+    low = {i: i for i in sets}
+    for a in sets:
+        for b in sets:
+            x, y = sets[a], sets[b]
+            if a < b and x and y and 100 * len(x & y) >= pct * len(x | y) and low[a] != low[b]:
+                low = {i: min(low[a], low[b]) if c in (low[a], low[b]) else c for i, c in low.items()}
+    return low
+
+
+def test_near_duplicate_stage_takes_five_words_and_four_fifths(spark, docs_of):
+    rows = []
+    for g in range(3):
+        w = [f"g{g}w{i}" for i in range(400)]
+        x = [f"x{g}_{i}" for i in range(40)]
+        copies = [w, w[:330], w[:180] + x + w[220:], w[:319], [*w[:100], *x[:9], *w[100:]]]      # 1, .823, .8, .795, .95
+        rows += [(100 * g + i, " ".join(c)) for i, c in enumerate(copies)]
+        # scattered single words replaced: .834 with 4 words, .796 with 5
+        rows.append((100 * g + 50, " ".join(f"y{g}_{i}" if i % 46 == 20 else v for i, v in enumerate(w))))
+    rows += [(900, "one two"), (901, "ONE two"), (902, ""), (903, "three")]
+    low = near_groups(rows)
+    assert low != near_groups(rows, 4, 85) and low[1] == 0 and low[2] == 0 and low[101] == 100
+    one = stages.one_of_each_group(spark, docs_of(rows).repartition(3), SF)
+    assert sorted(r["doc_id"] for r in one.collect()) == sorted(i for i, _ in rows if low[i] == i)
+
+
 def test_toxic_stage(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
