@@ -8,12 +8,15 @@
    into blocks of equal word counts; the slot of rank r takes block r mod n_blocks.  A source
    stops when its slots have given its target (its last slot may be cut short); where the
    schedule ends a few slots early for a source, they follow at the end.
+4. Pieces: a slot's block is a list of document spans (``pieces``); how much of a document is taken,
+   and at which slot each of its passes begins, are aggregates of them (``mix``).
 
 Nothing is sampled: a block either comes, comes again, or its turn is not reached.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -69,7 +72,7 @@ def _bucket(key: Column, digits: int) -> Column:
 
 
 def schedule(targets: DataFrame, n_slots: int, chunk: int = BUCKET_ROWS) -> DataFrame:
-    """(source, r) of every slot 0..n_slots-1 of the low-discrepancy schedule; r ranks a source's slots.
+    """(slot, source, r) of every slot 0..n_slots-1 of the low-discrepancy schedule; r ranks a source's slots.
 
     A point's cell is joined with the sources whose interval meets the cell, then the interval
     itself is tested: an equi-join without a broadcast, spread over the cells.  Ranks are two-level
@@ -97,21 +100,13 @@ def schedule(targets: DataFrame, n_slots: int, chunk: int = BUCKET_ROWS) -> Data
     ranked = hit.withColumn("_r", F.row_number().over(Window.partitionBy("source", "_chunk").orderBy("id")) - 1)
     b = before.withColumnRenamed("source", "_s").withColumnRenamed("_chunk", "_c")
     return (ranked.join(b, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_chunk") == F.col("_c")))
-            .select("source", (F.col("_r") + F.col("_off")).alias("r")))
+            .select(F.col("id").alias("slot"), "source", (F.col("_r") + F.col("_off")).alias("r")))
 
 
-def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), share: float = 1.5, max_repeats: int = 2,
-        block_words: int = BLOCK_WORDS, seed: int = 9, id_col: str = "doc_id", text_col: str = "text",
-        source_col: str = "source") -> DataFrame:
-    """(id_col, text_hash, size, source, source_size, target, taken) for every row of ``docs``.
-
-    size: words of the text (null: 0); taken: words that the mix takes, repeats counted, at most
-    ``max_repeats`` times the size.  Null ids and null sources are kept (a null source is a source
-    of its own, last in order); rows that agree in id, source and size share their words evenly
-    by position and each is returned.  A source without words has target 0.  An empty table gives
-    no rows.  The result depends on the rows only, not on their partitioning.
-    """
-    spark = docs.sparkSession
+def _dealt(docs: DataFrame, weights: Sequence[int], share: float, max_repeats: float, block_words: int, seed: int,
+           id_col: str, text_col: str, source_col: str) -> tuple[DataFrame, DataFrame]:
+    """(layout, slots): the rows of ``docs`` with the word offsets _start and _end in their source, and
+    (slot, source, block, pass, words) of every slot that is used."""
     d = docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("source"), F.xxhash64(text_col).alias("text_hash"),
                     F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
     d = d.withColumn("_key", F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("_id").cast("string"), F.lit("null")), F.col("size").cast("string"))))
@@ -139,7 +134,7 @@ def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), share: float = 1.5,
          .withColumn("_row", F.monotonically_increasing_id()))
     d = saved(d.select("_row", "_id", "source", "text_hash", "size", "_start", "_end", "source_size", "target"), "mix-layout")
 
-    # slots -> how often each block is taken, and how many of its words
+    # slots -> the block each one takes, in which pass over its source, and how many of the block's words
     b = int(block_words)
     q = targets.withColumn("_goal", F.round("target").cast("long")).where("_goal > 0")
     q = q.withColumn("_blocks", F.expr(f"(source_size + {b - 1}) div {b}"))
@@ -148,29 +143,82 @@ def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), share: float = 1.5,
     slots = saved(schedule(targets, n_slots), "mix-slots")
     came = slots.groupBy("source").agg(F.count(F.lit(1)).alias("_came"))
     same = F.col("source").eqNullSafe(F.col("_ts"))
-    tail = (q.join(came, same, "left").where("coalesce(_came, 0) < _quota")
-            .select(F.col("_ts").alias("source"), F.explode(F.expr("sequence(coalesce(_came, 0L), _quota - 1)")).alias("r")))
+    short = (q.join(came, same, "left").select("_ts", "_quota", F.coalesce("_came", F.lit(0)).cast("long").alias("_came")).where("_came < _quota")
+             # one row per source: the slots that follow the schedule are numbered source by source
+             .withColumn("_first", n_slots - F.col("_came") + F.coalesce(F.sum(F.col("_quota") - F.col("_came")).over(
+                 Window.orderBy(F.col("_ts").isNull(), F.col("_ts")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))))
+    tail = (short.withColumn("r", F.explode(F.expr("sequence(_came, _quota - 1)")))
+            .select((F.col("_first") + F.col("r")).alias("slot"), F.col("_ts").alias("source"), "r"))
     s = slots.unionByName(tail).join(few(q), same).where("r < _quota")
     s = s.withColumn("_from", F.expr(f"(r div _blocks) * source_size + (r % _blocks) * {b}"))
-    s = s.select("source", F.expr("r % _blocks").alias("block"), F.least(F.lit(b), F.col("_goal") - F.col("_from")).alias("words"))
-    copies = s.groupBy(F.col("source").alias("_cs"), F.col("block").alias("_cb"), "words").agg(F.count(F.lit(1)).alias("copies"))
-    pieces = d.where("size > 0").select("_row", "source", "_start", "_end",
-                                        F.explode(F.expr(f"sequence(_start div {b}L, (_end - 1) div {b}L)")).alias("block"))
+    return d, s.select("slot", "source", F.expr("r % _blocks").alias("block"), F.expr("r div _blocks").alias("pass"),
+                       F.least(F.lit(b), F.col("_goal") - F.col("_from")).alias("words"))
+
+
+def _parts(layout: DataFrame, b: int) -> DataFrame:
+    """``layout`` once for every block that a document has words in."""
+    return layout.where("size > 0").withColumn("block", F.explode(F.expr(f"sequence(_start div {b}L, (_end - 1) div {b}L)")))
+
+
+def pieces(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), share: float = 1.5, max_repeats: int = 2,
+           block_words: int = BLOCK_WORDS, seed: int = 9, id_col: str = "doc_id", text_col: str = "text",
+           source_col: str = "source") -> DataFrame:
+    """(slot, source, block, id_col, text_hash, start, end): the mix in the order of its schedule.
+
+    Slots follow each other by number (a number whose source had its target already is not used); the
+    pieces of a slot are the words start..end-1 of documents, in ``mix`` added up to ``taken``.
+    """
+    b = int(block_words)
+    d, s = _dealt(docs, weights, share, max_repeats, block_words, seed, id_col, text_col, source_col)
+    s = s.select("slot", F.col("source").alias("_ss"), F.col("block").alias("_sb"), "words")
+    return (_parts(d, b).join(s, F.col("source").eqNullSafe(F.col("_ss")) & (F.col("block") == F.col("_sb")))
+            .select("slot", "source", "block", F.col("_id").alias(id_col), "text_hash",
+                    (F.greatest(F.col("_start"), F.col("block") * b) - F.col("_start")).alias("start"),
+                    (F.least(F.col("_end"), F.col("block") * b + F.col("words")) - F.col("_start")).alias("end"))
+            .where("end > start"))
+
+
+def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), share: float = 1.5, max_repeats: int = 2,
+        block_words: int = BLOCK_WORDS, seed: int = 9, id_col: str = "doc_id", text_col: str = "text",
+        source_col: str = "source") -> DataFrame:
+    """(id_col, text_hash, size, source, source_size, target, taken, first_slots) for every row of ``docs``.
+
+    size: words of the text (null: 0); taken: words that the mix takes, repeats counted, at most
+    ``max_repeats`` times the size; first_slots: for each pass over the source (the first, the
+    repeats) the first slot that takes words of the row, or null.  Null ids and null sources are kept
+    (a null source is a source
+    of its own, last in order); rows that agree in id, source and size share their words evenly
+    by position and each is returned.  A source without words has target 0.  An empty table gives
+    no rows.  The result depends on the rows only, not on their partitioning.
+    """
+    b = int(block_words)
+    d, s = _dealt(docs, weights, share, max_repeats, block_words, seed, id_col, text_col, source_col)
+    copies = s.groupBy(F.col("source").alias("_cs"), F.col("block").alias("_cb"), "words", "pass").agg(
+        F.count(F.lit(1)).alias("copies"), F.min("slot").alias("slot"))
     w = F.least(F.col("_end"), F.col("block") * b + F.col("words")) - F.greatest(F.col("_start"), F.col("block") * b)
-    got = (pieces.join(copies, F.col("source").eqNullSafe(F.col("_cs")) & (F.col("block") == F.col("_cb")))
-           .groupBy("_row").agg(F.sum(F.greatest(w, F.lit(0)) * F.col("copies")).alias("taken")))
+    got = (_parts(d.select("_row", "source", "size", "_start", "_end"), b)
+           .join(copies, F.col("source").eqNullSafe(F.col("_cs")) & (F.col("block") == F.col("_cb")))
+           .withColumn("_w", w).where("_w > 0").groupBy("_row")
+           .agg(F.sum(F.col("_w") * F.col("copies")).alias("taken"),
+                F.array(*[F.min(F.when(F.col("pass") == k, F.col("slot"))) for k in range(math.ceil(max_repeats))]).alias("first_slots")))
     return (d.join(got, "_row", "left")
             .select(F.col("_id").alias(id_col), "text_hash", "size", "source", "source_size", "target",
-                    F.coalesce("taken", F.lit(0)).cast("long").alias("taken")))
-
-
-def materialise(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The mix as whole documents: each row of ``docs`` as often as its words are taken, half a copy
-    and more counting as one.  Rows equal in id, source and text share their words evenly.  Rows
-    without words have nothing to give and go."""
-    per = mixed.groupBy(id_col, "source", "text_hash").agg(F.sum("taken").alias("t"), F.sum("size").alias("z"))
+                    F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "first_slots"))
+
+
+def materialise(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+                max_repeats: int = 2) -> DataFrame:
+    """The mix as whole documents, in the order of the schedule: each row of ``docs`` as often as its
+    words are taken, half a copy and more counting as one; its first copy comes at the first slot of its
+    first pass, the next at that of its next pass.  Rows equal in id, source and text share their words
+    evenly.  Rows without words have nothing to give and go."""
+    passes = [F.min(F.get("first_slots", F.lit(k))) for k in range(math.ceil(max_repeats))]
+    per = mixed.groupBy(id_col, "source", "text_hash").agg(F.sum("taken").alias("t"), F.sum("size").alias("z"),
+                                                           F.sort_array(F.array_compact(F.array(*passes))).alias("slots"))
     per = per.withColumn("copies", F.expr("case when z > 0 then (2 * t + z) div (2 * z) else 0 end")).where("copies > 0")
-    i, s, h, n, c = (fresh(docs, x) for x in ("_id", "_source", "_hash", "_copies", "_copy"))
-    per = per.select(F.col(id_col).alias(i), F.col("source").alias(s), F.col("text_hash").alias(h), F.col("copies").alias(n))
+    i, s, h, n, c, at = (fresh(docs, x) for x in ("_id", "_source", "_hash", "_copies", "_copy", "_slots"))
+    per = per.select(F.col(id_col).alias(i), F.col("source").alias(s), F.col("text_hash").alias(h), F.col("copies").alias(n), F.col("slots").alias(at))
     same = F.col(id_col).eqNullSafe(F.col(i)) & F.col(source_col).eqNullSafe(F.col(s)) & (F.xxhash64(text_col) == F.col(h))
-    return docs.join(per.hint("merge"), same).withColumn(c, F.explode(F.sequence(F.lit(1).cast("long"), F.col(n)))).select(docs.columns)
+    rows = docs.join(per.hint("merge"), same).withColumn(c, F.explode(F.sequence(F.lit(1).cast("long"), F.col(n))))
+    slot = F.get(at, (F.least(F.col(c), F.size(at).cast("long")) - 1).cast("int"))
+    return rows.withColumn(at, slot).orderBy(at, i, h, c).select(docs.columns)

@@ -121,3 +121,32 @@ def test_schedule_is_evenly_spread(spark):
     for s, share in (("a", 0.6), ("b", 0.3), (None, 0.1)):
         assert abs(n[s] - share * 5000) <= 4
         assert sorted(r["r"] for r in rows if r["source"] == s) == list(range(n[s]))
+
+
+def test_slots_order_the_mix(spark, docs_of):
+    rows = [(i, " ".join(f"w{i}_{j}" for j in range(1 + i * 31 % 400)), ["a", "b", None][i % 3]) for i in range(300)] + [(900, None, "a"), (901, "", "b")]
+    df = docs_of(rows, clash=True)
+    got = {r["doc_id"]: r for r in mixing.mix(df).collect()}
+    pieces = sorted(mixing.pieces(df).collect(), key=lambda r: r["slot"])
+    words, first = Counter(), {}
+    for r in pieces:
+        assert 0 <= r["start"] < r["end"] <= got[r["doc_id"]]["size"] and r["end"] - r["start"] <= mixing.BLOCK_WORDS
+        words[r["doc_id"]] += r["end"] - r["start"]
+        first.setdefault(r["doc_id"], r["slot"])
+    assert all(words[i] == r["taken"] and first.get(i) == (r["first_slots"] or [None])[0] for i, r in got.items())
+    # the slots hold each source's words in the given shares from the beginning on, not one source after the other
+    of_slot = {r["slot"]: r["source"] for r in pieces}
+    target = {r["source"]: r["target"] for r in got.values()}
+    names = [of_slot[k] for k in sorted(of_slot)]
+    for upto in (50, 100, len(names) // 2):
+        n = Counter(names[:upto])
+        for s, t in target.items():
+            assert abs(n[s] - upto * t / sum(target.values())) <= 5
+    assert len({r["slot"] for r in pieces}) == len({(r["slot"], r["source"], r["block"]) for r in pieces})
+    # whole documents come in the order of their passes' first slots
+    ids = [r["doc_id"] for r in mixing.materialise(df, mixing.mix(df)).collect()]
+    seen, at = Counter(), []
+    for i in ids:
+        at.append(got[i]["first_slots"][seen[i]])
+        seen[i] += 1
+    assert at == sorted(at) and max(seen.values()) == 2
