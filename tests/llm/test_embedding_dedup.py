@@ -50,3 +50,23 @@ def test_empty_and_null_id(spark):
     assert E.near_duplicates(df).count() == 0
     r = E.near_duplicates(spark.createDataFrame([(None, [1.0, 2.0], 1, "x", "y"), (5, [1.0, 2.0], 1, "x", "y")], SCHEMA)).collect()
     assert sorted(map(tuple, r), key=str) == sorted([(None, 0, None, False), (5, 0, 5, True)], key=str)
+
+
+def test_audit_sees_rare_links_and_says_when_it_sees_none(spark, monkeypatch):
+    monkeypatch.setattr(E, "SHARD", 150)        # several parts and chunks
+    monkeypatch.setattr(E, "AUDIT", 4)
+    rng = np.random.default_rng(6)
+    v = rng.standard_normal((1200, 24))
+    v[:60] = v[0] + rng.standard_normal((60, 24)) * 0.01           # one large group
+    v[60:500:2] = v[61:501:2]                                       # and pairs
+    v[60:500:2] *= 1.001
+    classes = spark.createDataFrame([(i, "0:24", x.tolist(), 1) for i, x in enumerate(v)], "id long, grp string, v array<double>, copies long")
+    true = {i: 59 if i < 60 else 1 if i < 500 else 0 for i in range(1200)}
+    lost = {i: n if i < 60 else 0 for i, n in true.items()}         # every link of a pair is lost
+    found = lambda got: spark.createDataFrame(list(got.items()), "id long, n long")
+    whole = E.audit(classes, found(true), 0.98, every=1)
+    assert (whole.by_link, whole.by_vector, whole.linked, whole.least()) == (1, 1, 500, 1)
+    some = E.audit(classes, found(lost), 0.98, every=5)
+    assert 60 < some.linked < 140 and some.by_link > 0.85 and some.by_vector < 0.25 and some.least() == some.by_vector
+    apart = classes.where("id >= 500")
+    assert E.audit(apart, found(true), 0.98, every=5).least() is None and E.audit(apart, found(true), 0.98, every=1).least() == 1
