@@ -2,8 +2,8 @@
 
 1. Equal vectors of a label form one class; everything below works on classes.
 2. Cells: per label, centres fitted on a bounded sample.  A vector belongs to its nearest cell (its
-   owner) and, for building, also to the second nearest, so shards overlap.  Cells above the shard
-   size are dealt into parts.
+   owner) and, for building, also to the second nearest, so shards overlap.  Cells with more members
+   than the shard size are dealt into parts, and their visiting queries into chunks of that size.
 3. Build: in each shard every vector keeps a robust-pruned list of near members and of far ones; the
    lists of a vector from all its shards are united.
 4. Search: every vector visits each cell that can own a vector within the radius (the bisecting plane
@@ -197,19 +197,36 @@ def _labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         low = new
 
 
+def cell_sizes(routed: DataFrame) -> DataFrame:
+    """(grp, cell, parts, chunks) of every cell that owns a vector: its members (owners and second
+    nearest) and its visiting queries are dealt into so many parts and chunks of about ``SHARD``."""
+    count = lambda c, name: (routed.withColumn("cell", F.explode(c)).groupBy("grp", "cell")
+                             .agg(F.ceil(F.count(F.lit(1)) / SHARD).cast("int").alias(name)))
+    owned = routed.select("grp", F.col("owner").alias("cell")).distinct()
+    return owned.join(count("build", "parts"), ["grp", "cell"]).join(count("visit", "chunks"), ["grp", "cell"])
+
+
+def dealt_members(base: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(grp, cell, part, and the columns of ``base``) of the members of each cell: owners, and the
+    vectors that were built in as neighbours of owners."""
+    return (base.withColumn("cell", F.explode("build")).join(sizes, ["grp", "cell"])
+            .withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")))
+
+
+def dealt_queries(routed: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(grp, cell, chunk, and the columns of ``routed``) of the queries that visit each cell."""
+    return (routed.withColumn("cell", F.explode("visit")).join(sizes, ["grp", "cell"])
+            .withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")))
+
+
 def links(routed: DataFrame, graph: DataFrame, cosine: float, beam: int) -> DataFrame:
     """(id, n, root): for every class and shard visited, the copies linked to it there, and a member of
     the same component as found in that shard."""
     radius = float(np.sqrt(2 - 2 * cosine))
-    sizes = routed.groupBy("grp", "owner").agg(F.ceil(F.count(F.lit(1)) / SHARD).cast("int").alias("parts"))
-    key = lambda c: F.pmod(F.xxhash64("id"), F.col(c)).cast("int")
-    base = routed.join(graph, "id")
-    # members of a cell: owners, and the vectors that were built in as neighbours of owners
-    member = (base.withColumn("cell", F.explode("build")).join(sizes.withColumnRenamed("owner", "cell"), ["grp", "cell"])
-              .withColumn("part", key("parts")).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    sizes = saved(cell_sizes(routed), "embed-sizes")
+    member = (dealt_members(routed.join(graph, "id"), sizes).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
               .select("grp", "cell", "part", "chunk", "id", "v", "copies", (F.col("owner") == F.col("cell")).alias("own"), "nb"))
-    asks = (routed.withColumn("cell", F.explode("visit")).join(sizes.withColumnRenamed("owner", "cell"), ["grp", "cell"])
-            .withColumn("chunk", key("parts")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    asks = (dealt_queries(routed, sizes).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
             .select(*[F.col(c).alias(f"q_{c}") for c in ("grp", "cell", "part", "chunk", "id", "v")]))
 
     def run(members: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
@@ -258,9 +275,7 @@ def links(routed: DataFrame, graph: DataFrame, cosine: float, beam: int) -> Data
 
 def build_graph(routed: DataFrame) -> DataFrame:
     """(id, nb): united neighbour lists from all overlapping shards."""
-    sizes = routed.groupBy("grp", "owner").agg(F.ceil(F.count(F.lit(1)) / SHARD).cast("int").alias("parts"))
-    rows = (routed.withColumn("cell", F.explode("build")).join(sizes.withColumnRenamed("owner", "cell"), ["grp", "cell"])
-            .withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")))
+    rows = dealt_members(routed, cell_sizes(routed))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id")

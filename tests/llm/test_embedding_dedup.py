@@ -70,3 +70,19 @@ def test_audit_sees_rare_links_and_says_when_it_sees_none(spark, monkeypatch):
     assert 60 < some.linked < 140 and some.by_link > 0.85 and some.by_vector < 0.25 and some.least() == some.by_vector
     apart = classes.where("id >= 500")
     assert E.audit(apart, found(true), 0.98, every=5).least() is None and E.audit(apart, found(true), 0.98, every=1).least() == 1
+
+
+def test_shards_are_bounded_by_members_and_queries(spark, monkeypatch):
+    monkeypatch.setattr(E, "SHARD", 50)
+    # cell 1 owns three vectors, but all 400 of cell 0 are built into it and visit it
+    rows = [(i, "0:2", [1.0, i / 1e4], 1, 0, [0, 1], [0, 1]) for i in range(400)]
+    rows += [(400 + i, "0:2", [1.0, 0.5 + i / 1e4], 1, 1, [1, 0], [1]) for i in range(3)]
+    routed = spark.createDataFrame(rows, "id long, grp string, v array<double>, copies long, owner int, build array<int>, visit array<int>")
+    sizes = E.cell_sizes(routed)
+    assert {r["cell"]: (r["parts"], r["chunks"]) for r in sizes.collect()} == {0: (9, 8), 1: (9, 9)}
+    for dealt, part in ((E.dealt_members(routed, sizes), "part"), (E.dealt_queries(routed, sizes), "chunk")):
+        assert max(r["count"] for r in dealt.groupBy("cell", part).count().collect()) <= 2 * 50
+    found = E.links(routed, E.build_graph(routed), 0.98, E.BEAM).groupBy("id").sum("n").collect()
+    unit = np.array([np.array(r[2]) / np.linalg.norm(r[2]) for r in rows])
+    true = int((unit @ unit.T >= 0.98).sum()) - len(rows)
+    assert 0.98 * true <= sum(r["sum(n)"] for r in found) <= true
