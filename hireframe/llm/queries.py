@@ -118,7 +118,8 @@ def op10_sentencepiece(spark: SparkSession, d: str) -> DataFrame:
     model = sp_codec.read_model(tokenizer_path())
     docs = table(spark, d, "documents").select("doc_id", "text")
     rows = sp_codec.encode(docs, model, decoded=True)
+    covered = F.aggregate(F.zip_with("ends", "starts", lambda e, s: e - s), F.lit(0).cast("long"), lambda n, x: n + x)
     return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
                        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
                        F.sha2(F.col("decoded"), 256).alias("decoded_sha256"),
-                       F.element_at("ends", -1).cast("long").alias("n_span_bytes"))
+                       covered.alias("n_span_bytes"))

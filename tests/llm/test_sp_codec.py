@@ -67,6 +67,28 @@ def test_table(spark, odd_docs, docs_of):
     assert sp_codec.encode(docs_of([]), MODEL).count() == 0
 
 
+def test_span_bytes_and_stage_come_from_the_projected_spans(spark, odd_docs, monkeypatch):
+    from hireframe.llm import queries, stages
+    docs = odd_docs(clash=True)
+    sizes = sorted((str(r["doc_id"]), len((r["text"] or "").encode())) for r in docs.collect())
+    monkeypatch.setattr(queries, "table", lambda *a: docs)
+    run = lambda: sorted((str(r["doc_id"]), r["n_span_bytes"]) for r in queries.QUERIES["op10_sentencepiece"](spark, "").collect())
+    assert run() == sizes
+    for r in stages.encode_tokens(spark, docs, "").collect():
+        data, ids = (r["text"] or "").encode(), r["ids"]
+        assert len(r["starts"]) == len(r["ends"]) == len(ids) == r["n_tokens"] and r["starts"][-1] == r["ends"][-1] == len(data)
+        assert b"".join(data[a:b] for a, b in zip(r["starts"], r["ends"])) == data
+    encode = sp_codec.encode
+
+    def lose_one(*args, **kw):      # a projection that loses the first piece shows
+        from pyspark.sql import functions as F
+        rows = encode(*args, **kw)
+        return rows.withColumn("starts", F.slice("starts", 2, 1 << 30)).withColumn("ends", F.slice("ends", 2, 1 << 30))
+
+    monkeypatch.setattr(sp_codec, "encode", lose_one)
+    assert run() != sizes
+
+
 def test_query_digests(spark):
     from hireframe.llm.queries import QUERIES
     d = "/root/testdata/sf0.001"
