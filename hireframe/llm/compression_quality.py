@@ -20,9 +20,8 @@ from pyspark.sql import types as T
 from .common import fresh
 from .labelled import calibrate, labelled_sample
 
-#: Bounds of the fit: labelled rows of each class, blocks taken of each, bytes of a block and of a dictionary.
+#: Bound of the fit: labelled rows of each class (every block of their texts is used).  Bytes of a block and of a dictionary.
 ROWS_PER_CLASS = 4000
-BLOCKS_PER_ROW = 4
 BLOCK = 2048
 DICTIONARY = 65536
 
@@ -72,22 +71,20 @@ def build_dictionary(blocks: list[bytes], size: int = DICTIONARY) -> bytes:
 
 def fit(docs: DataFrame, labels: DataFrame, keep: Column, label_col: str = "quality", id_col: str = "doc_id",
         text_col: str = "text", rows_per_class: int = ROWS_PER_CLASS):
-    """(dictionaries, curve) from at most ``rows_per_class`` labelled rows of each class."""
+    """(dictionaries, curve) from the whole texts of at most ``rows_per_class`` labelled rows of each class."""
     sample, counts = labelled_sample(labels, label_col, keep, rows_per_class, id_col)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "id")
 
-    def some_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
             for i, t, y in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist()):
-                parts = _blocks(t.as_py() or "")
-                at = sorted({round(x) for x in np.linspace(0, len(parts) - 1, BLOCKS_PER_ROW)}) if parts else []
-                rows += [(i, n, y, parts[n]) for n in at]
+                rows += [(i, n, y, part) for n, part in enumerate(_blocks(t.as_py() or ""))]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(
                 (pa.int64(), pa.int64(), pa.int32(), pa.binary()))], names=["id", "at", "y", "block"])
 
     rows = (texts.where("part = 0").select(F.col("id").cast("long"), "text", F.col("y").cast("int"))
-            .mapInArrow(some_blocks, "id long, at long, y int, block binary").collect())
+            .mapInArrow(blocks, "id long, at long, y int, block binary").collect())
     rows.sort(key=lambda r: (r["id"], r["at"], r["block"]))
     model = tuple(build_dictionary([bytes(r["block"]) for r in rows if r["y"] == y]) for y in (1, 0))
     got = differences(texts.where("part = 1").select("id", "y", "text"), model).select("id", "z", "y").collect()

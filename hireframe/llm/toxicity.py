@@ -24,9 +24,8 @@ from .common import fresh
 from .hashing import U, Words, mix, text_runs
 from .labelled import calibrate, labelled_sample
 
-#: Bounds of the fit: labelled rows of each class, and windows taken of each.
+#: Bound of the fit: labelled rows of each class (every window of their texts is used).
 ROWS_PER_CLASS = 4000
-WINDOWS_PER_ROW = 40
 WINDOW = 8
 BUCKETS = 1 << 16
 DIM = 8
@@ -185,23 +184,21 @@ def logits(docs: DataFrame, model: Model, text_col: str = "text", out_col: str =
 
 def fit(docs: DataFrame, labels: DataFrame, keep: Column, label_col: str = "toxic", id_col: str = "doc_id",
         text_col: str = "text", rows_per_class: int = ROWS_PER_CLASS):
-    """(model, curve) from at most ``rows_per_class`` labelled rows of each class."""
+    """(model, curve) from the whole texts of at most ``rows_per_class`` labelled rows of each class."""
     sample, counts = labelled_sample(labels, label_col, keep, rows_per_class, id_col)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "id")
 
-    def some_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
             for i, t, y in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist()):
                 words = (t.as_py() or "").split()
-                n = -(-len(words) // WINDOW)
-                at = sorted({round(x) for x in np.linspace(0, n - 1, WINDOWS_PER_ROW)}) if n else []
-                rows += [(i, k, y, " ".join(words[k * WINDOW: (k + 1) * WINDOW])) for k in at]
+                rows += [(i, k // WINDOW, y, " ".join(words[k: k + WINDOW])) for k in range(0, len(words), WINDOW)]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(
                 (pa.int64(), pa.int64(), pa.int32(), pa.string()))], names=["id", "at", "y", "words"])
 
     got = (texts.where("part = 0").select(F.col("id").cast("long"), "text", F.col("y").cast("int"))
-           .mapInArrow(some_windows, "id long, at long, y int, words string").toArrow())
+           .mapInArrow(windows, "id long, at long, y int, words string").toArrow())
     got = got.sort_by([("id", "ascending"), ("at", "ascending"), ("words", "ascending")])
     _, owner = np.unique(got.column("id").to_numpy(), return_inverse=True)
     model = train(got.column("words").to_pylist(), got.column("y").to_numpy().astype(np.int64), owner)

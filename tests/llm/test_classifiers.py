@@ -24,6 +24,47 @@ def test_held_out_accuracy(spark, name, label, least):
     assert all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.3) for r in held)
 
 
+@pytest.mark.parametrize("op,unit", [(toxicity, "train"), (compression_quality, "build_dictionary")])
+def test_the_fit_reads_whole_texts(spark, docs_of, monkeypatch, op, unit):
+    rows = [(i, " ".join(f"d{i}w{j:04}" for j in range(2000 if i % 2 else 3))) for i in range(12)]
+    labels = spark.createDataFrame([(i, i // 2 % 2) for i, _ in rows], "doc_id long, y int")
+    seen, real = [], getattr(op, unit)
+
+    def spy(parts, *args, **kw):
+        seen.extend(p if isinstance(p, bytes) else p.encode() for p in parts)
+        return real(parts, *args, **kw)
+
+    monkeypatch.setattr(op, unit, spy)
+    op.fit(docs_of(rows), labels, F.lit(True), label_col="y")
+    sample, _ = labelled.labelled_sample(labels, "y", F.lit(True), 4000)
+    fitted = {r["id"] for r in sample.where("part = 0").collect()}
+    join = b" " if op is toxicity else b""
+    text = join.join(seen)
+    assert any(i % 2 for i in fitted)
+    for i, t in rows:
+        assert (t.encode() in text) == (i in fitted)
+
+
+def test_held_out_toxic_passages_of_long_documents(spark, docs_of):
+    rng = np.random.default_rng(12)
+    plain = [f"{a}{b}{c}" for a in ("ba", "ke", "lo", "mu") for b in ("nt", "sel", "dor") for c in ("a", "is", "um")]
+    rows, y = [], {}
+    for i in range(240):
+        w = list(rng.choice(plain, 1500))
+        y[i] = i % 2
+        if y[i]:
+            at = int(rng.integers(len(w) - 4))
+            w[at: at + 4] = rng.choice(["horrible", "filthy", "despise", "vermin"], 4)
+        rows.append((i, " ".join(w)))
+    docs, held = docs_of(rows), F.col("doc_id") % 3 == 0
+    labels = spark.createDataFrame(list(y.items()), "doc_id long, toxic int")
+    model, curve = toxicity.fit(docs, labels, ~held)
+    got = [{"score": r["score"], "toxic": y[r["doc_id"]]} for r in toxicity.score(docs.where(held), model, curve).collect()]
+    figure = auc(got, "toxic")
+    print(f"AUC of long documents: {figure:.3f}")
+    assert figure >= 0.95
+
+
 @pytest.mark.parametrize("op", [compression_quality, toxicity])
 def test_odd_rows_and_missing_labels(spark, odd_docs, docs_of, op):
     docs = odd_docs(clash=True)
