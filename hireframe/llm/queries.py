@@ -9,8 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (chat_format, compression_quality, embedding_dedup, line_dedup, mixing, parity_join, quality_cascade, sharding,
-               sp_codec, toxicity)
+from . import (alignment, byte_bpe, chat_format, compression_quality, embedding_dedup, line_dedup, mixing, packing, parity_join, prefix_trie,
+               quality_cascade, sharding, sp_codec, toxicity)
 from .common import ship_code, table
 from .labelled import id_remainder
 from .sqltext import ORACLE  # noqa: F401
@@ -123,3 +123,21 @@ def op10_sentencepiece(spark: SparkSession, d: str) -> DataFrame:
                        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
                        F.sha2(F.col("decoded"), 256).alias("decoded_sha256"),
                        covered.alias("n_span_bytes"))
+
+
+@register
+def op11_prefix_trie(spark: SparkSession, d: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, d, "conversations"))
+
+
+@register
+def op12_token_alignment(spark: SparkSession, d: str) -> DataFrame:
+    spec, model = byte_bpe.read_spec(tokenizer_path("byte_bpe_50k.json")), sp_codec.read_model(tokenizer_path())
+    rows = alignment.align(table(spark, d, "documents"), spec, model, digest=True)
+    return rows.withColumnRenamed("groups", "groups_sha256")
+
+
+@register
+def op13_histogram_packing(spark: SparkSession, d: str) -> DataFrame:
+    rows = packing.pack(table(spark, d, "documents"), byte_bpe.read_spec(tokenizer_path("byte_bpe_50k.json")))
+    return rows.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")

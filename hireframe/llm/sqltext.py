@@ -119,5 +119,30 @@ select d.doc_id, coalesce(n.n, 0) as n_shingles, least(d.doc_id, coalesce(m.low,
 from documents d left join n on n.doc_id = d.doc_id left join (select a, min(b) as low from r group by a) m on m.a = d.doc_id
 """
 
+#: CRC32 by its table of 256 remainders; a prefix is named by the JSON of its turns.
+OP11 = """
+with t as (select list(r order by i) as rest from (select i, list_reduce([i] || range(8), lambda a, b: case when a % 2 = 1 then xor(3988292384, a // 2) else a // 2 end) as r
+           from (select unnest(range(256)) as i))),
+o as (select conv_id, row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), md5(coalesce(text, ''))) - 1 as idx,
+        coalesce(role, '') as role, coalesce(text, '') as text from conversations where conv_id is not null),
+c as (select conv_id, n, base, xor(4294967295, list_reduce([4294967295] || [ord(x) for x in string_split(cast(conv_id as varchar), '')],
+        lambda a, b: xor(rest[xor(a % 256, b) + 1], a // 256))) % 6 as h
+      from t, (select conv_id, count(*) as n, conv_id - conv_id % 100 as base from o group by conv_id)),
+k as (select c.conv_id, c.base, c.h, least(c.h, coalesce(l.n, 0)) as k, c.n from c left join c l on l.conv_id = c.base),
+r as (select k.conv_id, idx as pos, role, text from k join o on o.conv_id = k.base where idx < k.h
+      union all select k.conv_id, idx - h + k.k, role, text from k join o on o.conv_id = k.conv_id where idx >= h),
+s as (select k.conv_id, list({'role': role, 'text': text} order by pos) filter (pos is not null) as ts from k left join r on r.conv_id = k.conv_id group by k.conv_id),
+p as (select conv_id, coalesce(len(ts), 0) as total, unnest(range(0, coalesce(len(ts), 0) + 1)) as depth, coalesce(ts, []) as ts from s),
+m as (select conv_id, total, depth, md5(to_json(ts[1 : depth])) as key, case when depth > 0 then md5(to_json(ts[1 : depth - 1])) end as up,
+        case when depth > 0 then length(ts[depth].text) else 0 end as chars from p),
+n as (select depth, key, any_value(up) as up, any_value(chars) as chars, min(conv_id) as conv_id, count(*) as n_convs,
+        sha256(coalesce(string_agg(cast(conv_id as varchar), ',' order by conv_id) filter (total = depth), '')) as ends_sha256 from m group by depth, key),
+f as (select n.*, (select count(*) from n x where x.depth = n.depth + 1 and x.up = n.key) as n_children from n),
+a as (select m.depth, m.key, cast(sum(case when f.n_children = 0 then 1 else 0 end) as bigint) as n_leaves, cast(sum((f.n_convs - 1) * f.chars) as bigint) as saved_tokens
+      from f join m low on low.conv_id = f.conv_id and low.depth = f.depth join m on m.conv_id = f.conv_id and m.depth <= f.depth group by m.depth, m.key)
+select f.conv_id, f.depth, q.conv_id as parent_conv_id, f.n_convs, f.n_children, n_leaves, saved_tokens, f.ends_sha256
+from f join a using (depth, key) left join n q on q.depth = f.depth - 1 and q.key = f.up
+"""
+
 ORACLE: dict[str, str] = {"op1_line_dedup": OP1, "op2_chat_format": OP2, "op3_embedding_dedup": OP3, "op4_quality_cascade": OP4,
-                          "op5_parity_join": OP5, "op9_mix_schedule": OP9}
+                          "op5_parity_join": OP5, "op9_mix_schedule": OP9, "op11_prefix_trie": OP11}

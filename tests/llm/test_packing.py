@@ -1,0 +1,112 @@
+import struct
+from collections import Counter, defaultdict
+
+import pytest
+
+pytest.importorskip("tokenizers")
+pytest.importorskip("public_tokenizers")
+
+from hypothesis import given, settings  # noqa: E402
+from hypothesis import strategies as st  # noqa: E402
+from tokenizers import Tokenizer  # noqa: E402
+
+from hireframe.llm import byte_bpe, packing  # noqa: E402
+from hireframe.llm.queries import tokenizer_path  # noqa: E402
+
+SPEC = byte_bpe.read_spec(tokenizer_path("byte_bpe_50k.json"))
+LIB = Tokenizer.from_str(SPEC)
+LIB.encode_special_tokens = True
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.dictionaries(st.integers(1, 63), st.integers(1, 500), max_size=40), st.integers(0, 64))
+def test_patterns_and_slots(histogram, gap):
+    used = Counter()
+    for lengths, count in packing.patterns(histogram, 64):
+        assert sum(lengths) <= 64 and count > 0 and list(lengths) == sorted(lengths, reverse=True)
+        for n in lengths:
+            used[n] += count
+    assert used == Counter(histogram)
+    rows, total = packing.slots(histogram, 64, gap)
+    ranks, filled = defaultdict(list), defaultdict(list)
+    for length, low, high, base, step, parts in rows:
+        ranks[length] += range(low, high)
+        assert [p[0] for p in parts] == [sum(q[1] for q in parts[:i]) for i in range(len(parts))] and sum(p[1] for p in parts) == length
+        for copy in range(high - low):
+            for _, n, j, offset in parts:
+                filled[base + copy * step + j].append((offset, n))
+    assert {n: sorted(r) for n, r in ranks.items()} == {n: list(range(c)) for n, c in histogram.items()}
+    assert sorted(filled) == list(range(total))
+    for cut in filled.values():
+        at = 0
+        for offset, n in sorted(cut):
+            assert offset == at
+            at += n
+        assert at <= 64 and (64 - at <= gap or at & (at - 1) == 0)
+
+
+def test_longest_first_onto_the_shortest_pack():
+    assert sorted(packing.patterns({6: 2, 4: 1, 3: 1, 1: 3}, 10)) == sorted([((6, 3, 1), 1), ((6, 4), 1), ((1, 1), 1)])
+    assert sorted(packing.patterns({3: 100}, 10)) == [((3,), 1), ((3, 3, 3), 33)]
+    hot = packing.patterns({5: 10 ** 12, 3: 1}, 10)                  # the work depends on lengths, not on counts
+    assert sum(c * len(p) for p, c in hot) == 10 ** 12 + 1
+
+
+def check(rows, docs, size):
+    """Every id of every document in one piece, sequences gapless and within the size; returns the padded share."""
+    want = Counter()
+    for i, text in docs:
+        ids = [*LIB.encode(text or "", add_special_tokens=False).ids, 1]
+        want[i, tuple(ids)] += 1
+    parts, sequences = defaultdict(list), defaultdict(list)
+    for r in rows:
+        assert len(r["ids"]) == 4 * r["length"] and r["length"] > 0
+        ids = struct.unpack(f"<{r['length']}I", r["ids"])
+        parts[r["doc_id"], r["doc_tokens"]].append((r["start"], ids))
+        sequences[r["sequence_id"]].append((r["offset"], r["length"]))
+    assert sorted(sequences) == list(range(len(sequences)))
+    padding = total = 0
+    for cut in sequences.values():
+        at = 0
+        for offset, n in sorted(cut):
+            assert offset == at
+            at += n
+        assert at <= size
+        total += at
+        padding += 0 if at & (at - 1) == 0 else size - at
+    got = Counter()
+    for (i, n), cut in parts.items():
+        copies = sum(w for (j, ids), w in want.items() if j == i and len(ids) == n)
+        starts = defaultdict(list)
+        for start, ids in cut:
+            starts[start].append(ids)
+        if copies == 1:
+            ids = sum((ids for _, ids in sorted(cut)), ())
+            assert [s for s, _ in sorted(cut)] == [sum(len(x) for _, x in sorted(cut)[:k]) for k in range(len(cut))]
+            got[i, ids] += 1
+        else:                                    # rows with one id and size: pieces can only be counted
+            assert sum(len(x) for _, x in cut) == copies * n
+            got.update({k: w for k, w in want.items() if k[0] == i and len(k[1]) == n})
+    assert got == want
+    return padding / max(total, 1)
+
+
+def test_whole_documents(spark):
+    docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+    assert check(packing.pack(df, SPEC).collect(), docs, 2048) < 0.02
+
+
+@pytest.mark.parametrize("size", [8, 2048])
+def test_odd_rows_and_hot_lengths(spark, odd_docs, size):
+    df = odd_docs(clash=True)
+    more = [(100 + i, "one two three") for i in range(300)]
+    df = df.unionByName(spark.createDataFrame(more, "doc_id long, text string"), allowMissingColumns=True)
+    docs = [(r["doc_id"], r["text"]) for r in df.collect()]
+    check(packing.pack(df, SPEC, size=size, gap=size // 32).collect(), docs, size)
+
+
+def test_empty(spark, docs_of):
+    assert packing.pack(docs_of([]), SPEC).collect() == []
+    rows = packing.pack(docs_of([(1, None), (2, "")]), SPEC).collect()
+    assert sorted((r["doc_id"], r["start"], r["length"], r["doc_tokens"]) for r in rows) == [(1, 0, 1, 1), (2, 0, 1, 1)]
