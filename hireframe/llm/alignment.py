@@ -32,6 +32,8 @@ from .common import parallelism, saved
 #: Bounds of a container: links held in a task (a document's links stay together) and documents.
 LINKS = 3_000_000
 DOCS = 1 << 16
+#: Pairs up to which the table of counts (25 bytes a row) is broadcast; beyond, postings and counts meet by a shuffle.
+MAX_BROADCAST_PAIRS = 1_000_000
 #: Room for ids in a pair's number.
 WIDTH = 1 << 20
 
@@ -227,10 +229,11 @@ def pair_counts(rows: DataFrame) -> DataFrame:
     return named.join(top, "b").select("pair", "a", "b", "n_docs", "n_links", (F.col("n_links") == F.col("_top")).alias("best"))
 
 
-def scores(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+def scores(rows: DataFrame, pairs: DataFrame, max_broadcast: int = MAX_BROADCAST_PAIRS) -> DataFrame:
     """(container, ord, n_best, count_sum) of the documents that hold links."""
-    found = rows.where("pair is not null").select("container", "pair", "width", "planes").join(
-        pairs.select("pair", F.col("n_links").alias("links"), F.col("best").cast("int").alias("best")), "pair")
+    counts = pairs.select("pair", F.col("n_links").alias("links"), F.col("best").cast("int").alias("best"))
+    counts = F.broadcast(counts) if pairs.count() <= max_broadcast else counts.hint("merge")
+    found = rows.where("pair is not null").select("container", "pair", "width", "planes").join(counts, "pair")
     dealt = found.drop("pair").repartition(parallelism(rows.sparkSession), "container").sortWithinPartitions("container")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -94,6 +94,14 @@ def test_pair_counts(spark, docs_of):
     assert {k: v[1] for k, v in got.items()} == {k: 40 * n for k, n in per.items()}
 
 
+def test_counts_joined_by_shuffle(spark, docs_of):
+    """The table of counts is too large for a broadcast."""
+    rows = alignment.postings(docs_of(list(enumerate(TEXTS))), SPEC, MODEL, most_links=300)
+    pairs = alignment.pair_counts(rows)
+    one, two = ([tuple(r) for r in alignment.scores(rows, pairs, n).orderBy("container", "ord").collect()] for n in (10 ** 6, 0))
+    assert one == two
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.tuples(st.integers(0, 5), st.integers(0, 199), st.integers(1, 40)), min_size=1, max_size=300), st.integers(200, 3000))
 def test_planes_round_trip(raw, width):
