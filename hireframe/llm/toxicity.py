@@ -7,6 +7,8 @@ its class.  Table and softmax are trained together by AdaGrad on labelled window
 window has its document's label, then of a toxic document only its most toxic windows do.  A
 document's logit is that of its most toxic window (every window of the whole text is looked at), and
 a logistic curve fitted on other labelled documents makes it a probability.
+
+The bounded sample is trained on in one task of the cluster; the driver sees the model alone.
 """
 
 from __future__ import annotations
@@ -16,16 +18,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh
+from .common import fresh, release, saved
 from .hashing import U, Words, mix, text_runs
 from .labelled import calibrate, labelled_sample
 
-#: Bound of the fit: labelled rows of each class (every window of their texts is used).
+#: Bounds of the fit: labelled rows of each class, and bytes of their texts (every window of a chosen row's whole
+#: text is used; a text of more than a quarter of the bytes is not chosen).
 ROWS_PER_CLASS = 4000
+BYTES_PER_CLASS = 48 << 20
 WINDOW = 8
 BUCKETS = 1 << 16
 DIM = 8
@@ -73,21 +77,30 @@ class Model:
 
 def _vocabulary(texts: list[str], size: int = 2000) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Word number of every word of the texts, words per text, and the table rows of each different
-    word with their bounds; texts are read in small runs, so working arrays stay small."""
-    hashes, counts, known, rows, lens = [], [], [], [], []
+    word with their bounds; texts are read in small runs, and a word's rows are made when it is first met."""
+    hashes, counts, rows, lens = [], [], [], []
+    known = np.zeros(0, np.uint64)
+    found = []
     for a in range(0, len(texts), size):
         data = [t.encode().lower() for t in texts[a: a + size]]
         words = Words(np.frombuffer(b"".join(data), np.uint8), np.cumsum([0, *map(len, data)]))
         new, first = np.unique(words.hashes, return_index=True)
-        r, c = subwords(words, first)
-        hashes.append(words.hashes), counts.append(words.counts), known.append(new), rows.append(r.astype(np.int32)), lens.append(np.diff(c))
-    every, first = np.unique(np.concatenate(known), return_index=True)
+        at = np.searchsorted(known, new)
+        fresh_ = known[np.minimum(at, max(len(known) - 1, 0))] != new if len(known) else np.ones(len(new), bool)
+        r, c = subwords(words, first[fresh_])
+        hashes.append(words.hashes), counts.append(words.counts), found.append(new[fresh_]), rows.append(r.astype(np.int32)), lens.append(np.diff(c))
+        known = np.union1d(known, new[fresh_])
+    every = np.concatenate(found)
+    order = np.argsort(every, kind="stable")
     lens, rows = np.concatenate(lens), np.concatenate(rows)
-    ends = np.cumsum(lens)
-    pick = lens[first]
-    at = np.repeat(ends[first] - pick - (np.cumsum(pick) - pick), pick) + np.arange(pick.sum())
-    ids = np.concatenate([np.searchsorted(every, h).astype(np.int32) for h in hashes])
-    return ids, np.concatenate(counts), rows[at], np.r_[0, np.cumsum(pick)]
+    starts, pick = (np.cumsum(lens) - lens)[order], lens[order]
+    out, into = np.empty(len(rows), np.int32), np.cumsum(pick) - pick
+    for k in range(0, len(order), 1 << 16):                # by runs of words, so the index arrays stay small
+        n = pick[k: k + (1 << 16)]
+        at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        out[into[k]: into[k] + len(at)] = rows[np.repeat(starts[k: k + (1 << 16)], n) + at]
+    ids = np.concatenate([np.searchsorted(known, h).astype(np.int32) for h in hashes])
+    return ids, np.concatenate(counts), out, np.r_[0, np.cumsum(pick)]
 
 
 def train(texts: list[str], y: np.ndarray, owner: np.ndarray, epochs: tuple[int, int] = (3, 4), seed: int = 8, batch: int = 256,
@@ -150,6 +163,21 @@ def train(texts: list[str], y: np.ndarray, owner: np.ndarray, epochs: tuple[int,
     return model
 
 
+def trained(windows: DataFrame) -> Model:
+    """The model of the windows (id, at, y, words) of a sample that is bounded in rows and bytes, so that
+    one task may hold it."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = pa.schema([("id", pa.int64()), ("at", pa.int64()), ("y", pa.int32()), ("words", pa.string())])
+        got = pa.Table.from_batches([pa.RecordBatch.from_arrays(b.columns, names=kinds.names) for b in batches], kinds)
+        got = got.sort_by([("id", "ascending"), ("at", "ascending"), ("words", "ascending")])
+        _, owner = np.unique(got.column("id").to_numpy(), return_inverse=True)
+        m = train(got.column("words").to_pylist(), got.column("y").to_numpy().astype(np.int64), owner)
+        yield pa.RecordBatch.from_arrays([pa.array([x.astype(np.float32).tobytes()]) for x in (m.table, m.weight, m.bias)], names=["table", "weight", "bias"])
+
+    m = windows.repartition(1).mapInArrow(run, "table binary, weight binary, bias binary").first()
+    return Model(*[np.frombuffer(m[c], np.float32).reshape(shape) for c, shape in (("table", (BUCKETS, DIM)), ("weight", (DIM, 2)), ("bias", (2,)))])
+
+
 def window_logits(words: Words, scores: np.ndarray, bias: float, window: int = WINDOW) -> np.ndarray:
     """Largest window logit of each text; a text shorter than a window is one window, an empty one has the bias."""
     _, firsts, ids = np.unique(words.hashes, return_index=True, return_inverse=True)
@@ -183,10 +211,16 @@ def logits(docs: DataFrame, model: Model, text_col: str = "text", out_col: str =
 
 
 def fit(docs: DataFrame, labels: DataFrame, keep: Column, label_col: str = "toxic", id_col: str = "doc_id",
-        text_col: str = "text", rows_per_class: int = ROWS_PER_CLASS):
-    """(model, curve) from the whole texts of at most ``rows_per_class`` labelled rows of each class."""
+        text_col: str = "text", rows_per_class: int = ROWS_PER_CLASS, bytes_per_class: int = BYTES_PER_CLASS):
+    """(model, curve) from the whole texts of at most ``rows_per_class`` labelled rows and ``bytes_per_class``
+    bytes of each class, in a seeded order."""
     sample, counts = labelled_sample(labels, label_col, keep, rows_per_class, id_col)
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "id")
+    texts = saved(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "id")
+                  .withColumn("_bytes", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long"))
+                  .where(F.col("_bytes") <= bytes_per_class // 4), "toxic-sample")
+    seeded = Window.partitionBy("y").orderBy(F.xxhash64("id", F.lit(5)), "id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    chosen = texts.select("id", "y", "_bytes").withColumn("_sum", F.sum("_bytes").over(seeded)).where(F.col("_sum") <= bytes_per_class).select("id").distinct()
+    texts_of = lambda part: texts.where(F.col("part") == part).join(chosen, "id", "left_semi")
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -197,13 +231,11 @@ def fit(docs: DataFrame, labels: DataFrame, keep: Column, label_col: str = "toxi
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(
                 (pa.int64(), pa.int64(), pa.int32(), pa.string()))], names=["id", "at", "y", "words"])
 
-    got = (texts.where("part = 0").select(F.col("id").cast("long"), "text", F.col("y").cast("int"))
-           .mapInArrow(windows, "id long, at long, y int, words string").toArrow())
-    got = got.sort_by([("id", "ascending"), ("at", "ascending"), ("words", "ascending")])
-    _, owner = np.unique(got.column("id").to_numpy(), return_inverse=True)
-    model = train(got.column("words").to_pylist(), got.column("y").to_numpy().astype(np.int64), owner)
-    rest = logits(texts.where("part = 1").select("id", "y", "text"), model).select("id", "z", "y").collect()
+    model = trained(texts_of(0).select(F.col("id").cast("long"), "text", F.col("y").cast("int"))
+                    .mapInArrow(windows, "id long, at long, y int, words string"))
+    rest = logits(texts_of(1).select("id", "y", "text"), model).select("id", "z", "y").collect()
     rest.sort(key=lambda r: (r["id"], r["z"]))
+    release(texts, sample)
     return model, calibrate(np.array([r["z"] for r in rest]), np.array([r["y"] for r in rest]), counts)
 
 

@@ -24,13 +24,16 @@ def test_held_out_accuracy(spark, name, label, least):
     assert all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.3) for r in held)
 
 
-@pytest.mark.parametrize("op,unit", [(toxicity, "train"), (compression_quality, "build_dictionary")])
+@pytest.mark.parametrize("op,unit", [(toxicity, "trained"), (compression_quality, "build_dictionary")])
 def test_the_fit_reads_whole_texts(spark, docs_of, monkeypatch, op, unit):
     rows = [(i, " ".join(f"d{i}w{j:04}" for j in range(2000 if i % 2 else 3))) for i in range(12)]
     labels = spark.createDataFrame([(i, i // 2 % 2) for i, _ in rows], "doc_id long, y int")
     seen, real = [], getattr(op, unit)
 
     def spy(parts, *args, **kw):
+        if op is toxicity:                          # a DataFrame of windows
+            seen.extend(r["words"].encode() for r in parts.orderBy("id", "at").collect())
+            return real(parts)
         seen.extend(p if isinstance(p, bytes) else p.encode() for p in parts)
         return real(parts, *args, **kw)
 
@@ -65,6 +68,19 @@ def test_held_out_toxic_passages_of_long_documents(spark, docs_of):
     assert figure >= 0.95
 
 
+def test_the_sample_is_bounded_in_bytes(spark, docs_of, monkeypatch):
+    rows = [(i, f"word{i} " * (3000 if i == 8 else 10)) for i in range(400)]
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, toxic int")
+    seen, real = [], toxicity.trained
+    monkeypatch.setattr(toxicity, "trained", lambda w: (seen.extend(w.collect()), real(w))[1])
+    toxicity.fit(docs_of(rows), labels, F.lit(True), bytes_per_class=4000)
+    used = {r["id"] for r in seen}
+    assert used and 8 not in used
+    for y in (0, 1):
+        assert 0 < sum(len(rows[i][1]) for i in used if i % 2 == y) <= 4000
+        assert all(sum(len(r["words"].split()) for r in seen if r["id"] == i) == 10 for i in used)      # whole texts
+
+
 @pytest.mark.parametrize("op", [compression_quality, toxicity])
 def test_odd_rows_and_missing_labels(spark, odd_docs, docs_of, op):
     docs = odd_docs(clash=True)
