@@ -29,7 +29,7 @@ def test_rank_by_hash_matches_row_number_per_group(spark, n, groups, seed):
     # one group holds about a third of the rows
     rows = [(f"k{i}", "hot" if rng.random() < 0.34 else f"g{rng.randrange(groups)}") for i in range(n)]
     df = spark.createDataFrame(rows, "k string, g string").withColumn("o", det(seed, "k"))
-    mine = rank_by_hash(df, "o", "k", by="g", out="r", digits=2).select("k", "r")
+    mine = rank_by_hash(df, "o", "k", by="g", out="r", bits=8).select("k", "r")
     ref = df.select("k", F.row_number().over(Window.partitionBy("g").orderBy("o", "k")).alias("r"))
     assert mine.exceptAll(ref).count() == 0 and mine.count() == n
 

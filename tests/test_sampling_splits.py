@@ -141,19 +141,19 @@ def test_draws_reach_past_32_bits(spark):
 
 
 def test_bucket_count_follows_the_partitions(spark):
-    from hireframe.functions.ordering import bucket_digits, det, first_n, rank_by_hash
+    from hireframe.functions.ordering import bucket_bits, det, first_n, rank_by_hash
     df = spark.range(500).withColumn("o", det(1, "id"))
     ref = [r.id for r in df.orderBy("o", "id").collect()]
     spark.conf.set("spark.sql.shuffle.partitions", "2000")
     try:
-        assert bucket_digits(spark) == 4
+        assert bucket_bits(spark) == 13
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "8")
-    for digits in (1, 4):
-        assert [r.id for r in rank_by_hash(df, "o", "id", digits=digits).orderBy("rank").collect()] == ref
+    for bits in (4, 13, 21):
+        assert [r.id for r in rank_by_hash(df, "o", "id", bits=bits).orderBy("rank").collect()] == ref
     from hireframe.functions import ordering
     assert {r.id for r in rank_by_hash(df, "o", "id", at_most=40).collect()} == set(ref[:40])
-    assert ordering.MIN_BUCKET_DIGITS == 3 and {r.id for r in first_n(df, 40, "o", "id").collect()} == set(ref[:40])
+    assert ordering.MIN_BUCKET_BITS == 12 and {r.id for r in first_n(df, 40, "o", "id").collect()} == set(ref[:40])
 
 
 def test_quotas_of_ten_billion_rows(spark):
@@ -187,3 +187,122 @@ def test_employer_split_without_broadcast(spark, monkeypatch):
     monkeypatch.setattr(sizing, "MAX_BROADCAST_ROWS", 0)
     b = sorted(map(tuple, split_by_employers(df).collect()))
     assert a == b
+
+
+@pytest.fixture(params=[(16, 4), (1 << 16, 1 << 14)])
+def radix(request, monkeypatch):
+    """Small histograms and lists (many rounds), and the real ones."""
+    from hireframe.functions import selection
+    monkeypatch.setattr(selection, "BINS", request.param[0])
+    monkeypatch.setattr(selection, "LISTED", request.param[1])
+
+
+def test_cuts_against_a_sorted_list(spark, radix):
+    from hireframe.functions.selection import Cut, Selector
+    rows = [(f"k{i}", "ab"[i % 3 == 0], i % 5) for i in range(400)] + [("hot", "a", 1)] * 50 + [(None, "b", 2)]
+    df = spark.createDataFrame(rows, "k string, g string, w int").withColumn("o", det(1, "k"))
+    for weight, by in ((None, None), ("w", None), (None, "g"), ("w", "g")):
+        found = Selector(df, "o", weight, by, 2)
+        assert found.nulls == (2 if weight else 1)
+        for g in ("ab" if by else [0]):
+            sums = {}
+            for k, grp, w in rows:
+                if k is not None and (not by or grp == g):
+                    sums[md5(f"1:{k}")] = sums.get(md5(f"1:{k}"), 0) + (w if weight else 1)
+            total = sum(sums.values())
+            assert found.totals[g] == total
+            quotas = [-1, 0, 1, 2, total // 3, total // 2, total - 1, total, total + 1]
+            got = found.cuts([(g, q) for q in quotas])
+            for q in quotas:
+                run, want = 0, None if q >= 1 else Cut("", 0, 0)
+                for o in sorted(sums) if q >= 1 else []:
+                    run += sums[o]
+                    if run >= q:
+                        want = Cut(o, run - sums[o], run)
+                        break
+                assert got[g, q] == want
+
+
+def employer_reference(rows, test, val, boundary="dropped", seed=8082023):
+    n = {}
+    for _, c in rows:
+        if c is not None:
+            n[c] = n.get(c, 0) + 1
+    order, cs, out = sorted(n, key=lambda c: md5(f"{seed}:{c}")), 0, {None: "dropped"}
+    t, run = int(len(rows) * test), {}
+    for c in order:
+        cs += n[c]
+        run[c] = cs
+    base = sum(n[c] for c in order if run[c] <= t)
+    t2 = int((cs - base) * val) if val is not None else None
+    for c in order:
+        if run[c] < t:
+            out[c] = "test"
+        elif run[c] == t:
+            out[c] = boundary
+        elif val is None:
+            out[c] = "train"
+        else:
+            x = run[c] - base
+            out[c] = "validation" if x < t2 else "train" if x > t2 else boundary
+    return sorted((k, out[c]) for k, c in rows)
+
+
+@pytest.mark.parametrize("test,val", [(0.15, 0.25), (0.2, None), (0.0, 0.0), (1.0, 1.0)])
+def test_employer_split_against_running_totals(spark, monkeypatch, test, val):
+    from hireframe.functions import selection
+    monkeypatch.setattr(selection, "BINS", 16)
+    monkeypatch.setattr(selection, "LISTED", 4)
+    rows = [(f"p{i}", None if i % 19 == 0 else "hot" if i % 3 == 0 else f"c{i % 23}") for i in range(300)]
+    df = spark.createDataFrame(rows, "uniq_id string, company_name string")
+    for boundary in ("dropped", "train"):
+        got = split_by_employers(df, validation_set=val is not None, test_size=test, val_size=val or 0.0, boundary=boundary)
+        assert sorted((r.uniq_id, r.partition) for r in got.collect()) == employer_reference(rows, test, val, boundary)
+    assert split_by_employers(df.limit(0)).collect() == []
+
+
+def test_split_by_cut_equals_ranks(spark, radix):
+    df = spark.createDataFrame([(f"p{i}", f"y{i % 4}" if i % 4 else "hot") for i in range(333)], "k string, y string")
+    for size in (0.15, 0.0, 7, 400):
+        got = {r.k: r.partition for r in three_way_split(df, "k", size, seed=5).collect()}
+        order = sorted(got, key=lambda k: md5(f"5:{k}"))
+        n = round(333 * size) if isinstance(size, float) else size
+        assert got == {k: "test" if i < n else "validation" if i < 2 * n else "train" for i, k in enumerate(order)}
+    by_cut = {r.k: r.partition for r in random_stratified_split(df, "y", "k", seed=9).collect()}
+    from hireframe.operators import splitting
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(splitting, "MAX_BROADCAST_CLASSES", 1)
+        assert {r.k: r.partition for r in random_stratified_split(df, "y", "k", seed=9).collect()} == by_cut
+
+
+def test_rows_that_share_a_key_across_a_cut(spark):
+    df = spark.createDataFrame([(f"p{i % 9}", "y", i) for i in range(90)], "k string, y string, i int")
+    for size in (0.15, 0.3):
+        got = {r.partition: r["count"] for r in three_way_split(df, "k", size).groupBy("partition").count().collect()}
+        assert got["test"] == got["validation"] == round(90 * size)
+    got = {r.partition: r["count"] for r in random_stratified_split(df, "y", "k").groupBy("partition").count().collect()}
+    assert got["test"] == 14 and got["validation"] == 19
+
+
+def test_plans_at_cluster_size(spark):
+    """With the partitions of 100 TB: no rows ranked, moved or joined, and no broadcast of offsets."""
+    df = spark.createDataFrame([(f"p{i}", f"c{i % 7}", "ab"[i % 2]) for i in range(60)], "uniq_id string, company_name string, industry string")
+
+    def plan(frame):
+        return frame._jdf.queryExecution().optimizedPlan().toString()
+
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.initialPartitionNum", "8")
+    three, employers = plan(three_way_split(df, "uniq_id", 0.2)), plan(split_by_employers(df))
+    strat = plan(random_stratified_split(df, "industry", "uniq_id"))
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.initialPartitionNum")
+    for p in (three, employers):
+        assert "Window" not in p and "Join" not in p and "Aggregate" not in p and "Sort" not in p
+    assert "Window" not in strat and strat.count("Join") == 1
+    from hireframe.functions.ordering import rank_by_hash
+    spark.conf.set("spark.sql.shuffle.partitions", "409600")
+    try:
+        ranked = rank_by_hash(df.withColumn("o", det(1, "uniq_id")), "o", "uniq_id")
+        p = plan(ranked)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+    assert "broadcast" not in p.lower()
