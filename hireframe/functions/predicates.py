@@ -86,6 +86,12 @@ def decide(prob: str | Column, threshold: float = 0.5) -> Column:
     return (p >= F.lit(threshold)).cast("int")
 
 
+def sigmoid(logit: str | Column) -> Column:
+    """1 / (1 + exp(-x)); exact at both ends (0 and 1), null for null."""
+    x = F.col(logit) if isinstance(logit, str) else logit
+    return F.lit(1.0) / (F.lit(1.0) + F.exp(-x))
+
+
 def one_vs_rest(label: str | Column, target: str) -> Column:
     """1 if label == target else 0 (NULL label -> 0)."""
     lab = F.col(label) if isinstance(label, str) else label

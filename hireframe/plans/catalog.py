@@ -755,6 +755,69 @@ def q_labelled_features(spark, d):
     return data.filter(F.col("partition") == "train").select("row_key", "y", F.array_join("ids", " ").alias("ids"))
 
 
+# ---------------------------------------------------------------- epochs of the English detector
+
+EPOCHS, RATE = 4, 8.0
+
+
+def _epochs_sql(select: str) -> str:
+    """Gradient descent unrolled: logits, errors, gradient and next weights of each epoch."""
+    steps = ["""
+ep_e as (select row_key, partition, y, f from e4_d where partition in ('train', 'validation')),
+ep_r as (select row_key, partition, y, feature, sum(x) as x from (
+    select row_key, partition, y, unnest(f) as feature, 1.0::double / len(f) as x from ep_e where len(f) > 0
+    union all select row_key, partition, y, '<bias>', 1.0::double from ep_e) group by all),
+ep_n as (select greatest(count(*), 1) as n from ep_e where partition = 'train'),
+ep_w0 as (select distinct feature, 0.0::double as w from ep_r)"""]
+    for e in range(EPOCHS + 1):
+        steps.append(f"""ep_p{e} as (select row_key, partition, y, 1.0::double / (1.0::double + exp(-sum(x * w))) as p
+  from ep_r join ep_w{e} using (feature) group by all)""")
+        if e < EPOCHS:
+            steps.append(f"""ep_w{e + 1} as (select w.feature, w.w - {RATE}::double / ep_n.n * coalesce(g.g, 0) as w from ep_n, ep_w{e} w left join
+  (select feature, sum(x * (p - r.y)) as g from ep_r r join ep_p{e} q on q.row_key = r.row_key and r.partition = 'train' group by feature) g using (feature))""")
+        if e:
+            steps.append(f"""ep_h{e} as (select {e} as epoch,
+  avg(loss) filter (partition = 'train') as train_loss, avg(hit) filter (partition = 'train') as train_accuracy,
+  avg(loss) filter (partition = 'validation') as validation_loss, avg(hit) filter (partition = 'validation') as validation_accuracy
+  from (select partition, -(y * greatest(ln(p), -100) + (1 - y) * greatest(ln(1 - p), -100)) as loss,
+        case when (p >= 0.5) = (y = 1) then 1.0::double else 0.0::double end as hit from ep_p{e}))""")
+    return _e4_sql("").rstrip() + "," + ",\n".join(steps) + select
+
+
+_HISTORY = " union all ".join(f"select cast(epoch as integer) as epoch, round(train_loss, 6) as train_loss, round(train_accuracy, 6) as train_accuracy, "
+                              f"round(validation_loss, 6) as validation_loss, round(validation_accuracy, 6) as validation_accuracy from ep_h{e}"
+                              for e in range(1, EPOCHS + 1))
+
+
+def _trained_epochs(spark, d):
+    from ..operators.epochs import train_epochs
+    data = _e4(spark, d).data.withColumn("_feats", F.transform(F.filter(F.col("ids"), lambda x: x != 0), lambda x: x.cast("string")))
+    return train_epochs(data, "row_key", "y", "partition", "_feats", EPOCHS, RATE), data
+
+
+@register("english_epoch_history", _epochs_sql("\n" + _HISTORY))
+def q_english_epoch_history(spark, d):
+    """Loss and accuracy of training and validation rows after every epoch."""
+    h = _trained_epochs(spark, d)[0].history
+    return h.select("epoch", *[F.round(c, 6).alias(c) for c in h.columns[1:]])
+
+
+@register("english_epoch_test", _epochs_sql(f"""
+select e.row_key, e.y, round(1.0::double / (1.0::double + exp(-sum(r.x * coalesce(w.w, 0)))), 6) as p
+from (select row_key, y, f from e4_d where partition = 'test') e
+join (select row_key, feature, sum(x) as x from (
+    select row_key, unnest(f) as feature, 1.0::double / len(f) as x from e4_d where partition = 'test' and len(f) > 0
+    union all select row_key, '<bias>', 1.0::double from e4_d where partition = 'test') group by all) r on r.row_key = e.row_key
+left join ep_w{EPOCHS} w on w.feature = r.feature group by e.row_key, e.y"""))
+def q_english_epoch_test(spark, d):
+    """Sigmoid scores of the test rows with the weights of the last epoch."""
+    from ..operators.epochs import probabilities
+    trained, data = _trained_epochs(spark, d)
+    test = data.filter(F.col("partition") == "test")
+    return test.select("row_key", "y").join(probabilities(trained.weights, test, "row_key", "_feats"), "row_key") \
+        .select("row_key", "y", F.round("p", 6).alias("p"))
+
+
 # ---------------------------------------------------------------- sources and sinks
 
 from ..sources import files  # noqa: E402
