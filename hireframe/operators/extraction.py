@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import contains_name, join_sentences, split_sentences, word_tokens
+from ..session import ship_code
 
 # Fixed values of the extraction step: target labels, the fallback label and
 # the excluded labels offered to the sentence classifier, in this order.
@@ -157,22 +158,26 @@ def _append(d1: Column, d2: Column, compat: bool) -> Column:
         .when(F.length(d1) > 0, d1).otherwise(d2)
 
 
-def _scored_pass(df: DataFrame, key_col: str, sent_col: str, scorer: Callable, targets) -> DataFrame:
-    """M2 through an external scorer: explode, score, keep targets, regroup in order."""
-    long = df.select(F.col(key_col).alias("_k"), F.posexplode(sent_col).alias("_pos", "sentence"))
-    scored = scorer(long)
+def _scored_pass(df: DataFrame, sent_col: str, scorer: Callable, targets) -> DataFrame:
+    """M2 through an external scorer: explode, score, keep targets, regroup in order.
+
+    The sentences alone decide the result, so they are grouped by their digest: rows of one posting with
+    several employers keep their own texts, and rows with equal sentences share one group, in which
+    each (position, sentence) is held once.  Rows without sentences get ''.
+    """
+    digest = F.sha2(F.to_json(F.struct(F.col(sent_col).alias("s"))), 256)
+    work = df.withColumn("_k", F.when(F.size(sent_col) > 0, digest))
+    scored = scorer(work.select("_k", F.posexplode(sent_col).alias("_pos", "sentence")))
     kept = scored.filter(F.col("top_label").isin(list(targets)))
     regrouped = kept.groupBy("_k").agg(
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_pos", "sentence"))),
+        F.array_join(F.transform(F.sort_array(F.collect_set(F.struct("_pos", "sentence"))),
                                  lambda x: x.getField("sentence")), " ").alias("_d2"))
-    return df.join(regrouped, F.col(key_col) == F.col("_k"), "left") \
-        .withColumn("_d2", F.coalesce(F.col("_d2"), F.lit(""))).drop("_k")
+    return work.join(regrouped, "_k", "left").withColumn("_d2", F.coalesce(F.col("_d2"), F.lit(""))).drop("_k")
 
 
 def extract_employer_description(df: DataFrame, text_col: str = "job_description",
                                  name_col: str | None = "company_name", use_cues: bool = True,
-                                 targets=None, excluding=None, scorer: Callable | None = None,
-                                 key_col: str | None = None, compat: bool = False,
+                                 targets=None, excluding=None, scorer: Callable | None = None, compat: bool = False,
                                  out: str = "employer_description") -> DataFrame:
     """M3: name pass, then the classifier pass on the residual text, appended;
     '' becomes NULL.  Adds ``out`` and ``retrieved_by`` (ARRAY of 'name'/'zsc':
@@ -196,9 +201,7 @@ def extract_employer_description(df: DataFrame, text_col: str = "job_description
         if scorer is None:
             work = work.withColumn("_d2", sentences_by_cues(F.col("_resid"), targets, excluding))
         else:
-            if key_col is None:
-                raise ValueError("a custom scorer needs key_col (a unique row key)")
-            work = _scored_pass(work, key_col, "_resid", scorer, targets)
+            work = _scored_pass(work, "_resid", scorer, targets)
         work = work.drop("_resid")
     else:
         work = work.withColumn("_d2", F.lit(""))
@@ -226,6 +229,7 @@ def pandas_scorer(predict: Callable[[list[str], list[str]], list[str]], targets=
             yield pd.Series(predict(s.fillna("").tolist(), labels), index=s.index, dtype="object")
 
     def score(long: DataFrame) -> DataFrame:
+        ship_code(long.sparkSession)               # ``predict`` may live in this package
         return long.withColumn("top_label", top_label(F.col("sentence")))
     return score
 

@@ -1,10 +1,10 @@
 """Weak-supervision labelling of employers (P6, J3, J4, U3) and level relabelling.
 
-Labelling is a narrow per-row step: the company dictionary (D3) is a bounded
-configuration table joined by broadcast hash join, and the name patterns (D4)
-become one compiled ``ILIKE`` chain evaluated on each row.  No shuffle, no
-nested-loop join, and a company holding a third of all postings costs nothing
-extra because nothing is grouped by company.
+The company dictionary (D3) is joined by employer name.  A short list of name patterns (D4) becomes
+one compiled ``ILIKE`` chain evaluated on each row.  A longer list is an inverted index: patterns are
+found by their first characters, which must follow a space of the name, through an equi-join with
+the distinct names; only the candidates are compared in full, and each distinct name is tested once,
+however many postings it has.
 """
 
 from __future__ import annotations
@@ -14,22 +14,55 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.predicates import name_match
+from ..functions.predicates import LIKE_ESCAPE, name_match
 from ..functions.sizing import broadcast_if_small
 
-# A pattern dictionary is configuration; refuse to compile absurdly large ones.
-MAX_PATTERNS = 10_000
+# Patterns up to which the compiled chain is used; more go through the index.
+CHAIN_PATTERNS = 64
+# Longest prefix of a pattern that is indexed.
+INDEXED_CHARS = 16
 
 
-def _pattern_rows(patterns: DataFrame, companies: DataFrame | None, compat: bool) -> list:
-    rows = patterns.select("industry", "industry_rank", "pattern").limit(MAX_PATTERNS + 1).collect()
-    if len(rows) > MAX_PATTERNS:
-        raise ValueError(f"more than {MAX_PATTERNS} name patterns")
+def _pattern_table(patterns: DataFrame, companies: DataFrame | None, compat: bool) -> DataFrame:
+    rows = patterns.select("industry", "industry_rank", "pattern").where(F.col("pattern").isNotNull())
     if compat and companies is not None:
         # Q1: pattern matches of industries that also have a company list are lost.
-        listed = {r[0] for r in companies.select("industry").distinct().collect()}
-        rows = [r for r in rows if r[0] not in listed]
-    return sorted(rows, key=lambda r: (r[1], r[0], r[2]))
+        rows = rows.join(broadcast_if_small(companies.select("industry").distinct()), "industry", "left_anti")
+    return rows
+
+
+def _pattern_rows(patterns: DataFrame, companies: DataFrame | None, compat: bool) -> list | None:
+    """The patterns in rank order, or None when there are too many for a chain."""
+    rows = _pattern_table(patterns, companies, compat).limit(CHAIN_PATTERNS + 1).collect()
+    return sorted(rows, key=lambda r: (r[1], r[0], r[2])) if len(rows) <= CHAIN_PATTERNS else None
+
+
+def indexed_matches(names: DataFrame, patterns: DataFrame, anchor: str = "space") -> DataFrame:
+    """(company_name, industry, industry_rank, pattern) of every match of the distinct non-null names.
+
+    A name offers, after each space (with ``anchor='word'`` also at its start), the prefixes of the
+    lengths that occur among the indexed patterns (at most ``INDEXED_CHARS``); an equi-join finds the patterns that
+    begin so, and the comparison of the whole pattern decides.  Patterns that hold LIKE wildcards are indexed
+    by the characters before the first of them.
+    """
+    if anchor not in ("space", "word"):
+        raise ValueError("anchor must be 'space' or 'word'")
+    wild = F.regexp_substr(F.lower("pattern"), F.lit("^[^%_@]*"))
+    listed = (patterns.select("industry", "industry_rank", "pattern", F.substring(F.coalesce(wild, F.lit("")), 1, INDEXED_CHARS).alias("_key"))
+              .distinct())
+    sizes = sorted(r[0] for r in listed.select(F.length("_key")).distinct().collect())        # at most INDEXED_CHARS + 1
+    low = F.lower("company_name")
+    distinct = names.select("company_name").where(F.col("company_name").isNotNull()).distinct()
+    spots = F.filter(F.sequence(F.lit(0), F.length(low)), lambda i: (F.substr(low, i, F.lit(1)) == F.lit(" ")) if anchor == "space"
+                     else (i == 0) | (F.substr(low, i, F.lit(1)) == F.lit(" ")))
+    keys = F.array_distinct(F.flatten(F.transform(spots, lambda i: F.filter(
+        F.array(*[F.substr(low, i + 1, F.lit(n)) for n in sizes]), lambda k: k.isNotNull()))))
+    offered = distinct.select("company_name", F.explode(keys).alias("_key"))
+    hit = F.ilike(F.col("company_name"), F.concat(F.lit("% "), F.col("pattern"), F.lit("%")), F.lit(LIKE_ESCAPE))
+    if anchor == "word":
+        hit = hit | F.ilike(F.col("company_name"), F.concat(F.col("pattern"), F.lit("%")), F.lit(LIKE_ESCAPE))
+    return (offered.join(broadcast_if_small(listed), "_key").where(hit)
+            .select("company_name", "industry", "industry_rank", "pattern").distinct())
 
 
 def pattern_match(company: Column, rows: list, anchor: str = "space") -> Column:
@@ -59,6 +92,8 @@ def pattern_employers(position_characteristics: DataFrame, patterns: DataFrame,
                       anchor: str = "space") -> DataFrame:
     """Distinct (industry, company_name) pairs whose name matches an industry's patterns."""
     rows = _pattern_rows(patterns, None, False)
+    if rows is None:
+        return indexed_matches(position_characteristics, _pattern_table(patterns, None, False), anchor).select("industry", "company_name").distinct()
     names = position_characteristics.select("company_name").where(F.col("company_name").isNotNull()).distinct()
     return names.select(F.explode(pattern_industries(F.col("company_name"), rows, anchor)).alias("industry"),
                         "company_name")
@@ -77,13 +112,21 @@ def label_employers(postings: DataFrame, companies: DataFrame, patterns: DataFra
 
     Exact, case-sensitive equality for listed names (so 'abbott ' only matches
     itself); ``'% p%'`` ILIKE for patterns.  ``compat=True`` drops pattern
-    labels of industries that also have a company list (Q1).
+    labels of industries that also have a company list (Q1).  Beyond ``CHAIN_PATTERNS`` patterns the
+    matches come from :func:`indexed_matches` over the distinct names.
     """
     rows = _pattern_rows(patterns, companies, compat)
     listed = broadcast_if_small(_first_listed(companies).withColumnRenamed("company_name", "_lname"))
     joined = postings.join(listed, F.col(company_col) == F.col("_lname"), "left")
-    best = F.least(F.col("_listed"), pattern_match(F.col(company_col), rows, anchor))
-    keep = [c for c in joined.columns if c not in ("_lname", "_listed", "industry")]
+    if rows is None:
+        found = indexed_matches(postings.select(F.col(company_col).alias("company_name")), _pattern_table(patterns, companies, compat), anchor)
+        first = found.groupBy(F.col("company_name").alias("_pname")).agg(F.min(F.struct("industry_rank", "industry")).alias("_matched"))
+        joined = joined.join(broadcast_if_small(first), F.col(company_col) == F.col("_pname"), "left")
+        match = F.col("_matched")
+    else:
+        match = pattern_match(F.col(company_col), rows, anchor)
+    best = F.least(F.col("_listed"), match)
+    keep = [c for c in joined.columns if c not in ("_lname", "_listed", "_pname", "_matched", "industry")]
     # emitted through a one-row inline (Generate): a later filter on the label
     # (dropping unlabelled postings) cannot be pushed below it and re-run the patterns
     return joined.select(*keep, F.inline(F.array(F.struct(best.getField("industry").alias("industry")))))
@@ -93,16 +136,10 @@ def labelled_employers(position_characteristics: DataFrame, companies: DataFrame
                        patterns: DataFrame, compat: bool = False) -> DataFrame:
     """The employer dictionary after pattern expansion: (industry, industry_rank, company_name, rule)."""
     listed = companies.select("industry", "industry_rank", "company_name", F.lit("list").alias("rule"))
-    rows = _pattern_rows(patterns, companies, compat)
-    ranks = {ind: rank for ind, rank, _ in rows}
-    matched = pattern_employers(position_characteristics, patterns)
-    if compat:
-        matched = matched.filter(F.col("industry").isin(list(ranks) or [""]))
-    rank_of = F.create_map(*[x for ind, r in ranks.items() for x in (F.lit(ind), F.lit(r))]) if ranks else None
-    pat = matched.select("industry",
-                         (rank_of[F.col("industry")] if rank_of is not None else F.lit(None)).cast("int")
-                         .alias("industry_rank"),
-                         "company_name", F.lit("pattern").alias("rule"))
+    table = _pattern_table(patterns, companies, compat)
+    ranks = broadcast_if_small(table.groupBy("industry").agg(F.min("industry_rank").alias("industry_rank")))
+    pat = (pattern_employers(position_characteristics, table).join(ranks, "industry")
+           .select("industry", F.col("industry_rank").cast("int").alias("industry_rank"), "company_name", F.lit("pattern").alias("rule")))
     return listed.unionByName(pat).distinct()
 
 

@@ -6,7 +6,10 @@ ties by first appearance in dataset order (the row key order, then position).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import json
+import zlib
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
@@ -15,6 +18,8 @@ from ..functions.sizing import broadcast_if_small
 from ..functions.text import pad_ids, word_tokens
 
 PAD, UNK = "<pad>", "<unk>"
+# Largest vocabulary that is held as a constant in each task.
+MAX_IN_ROW_TOKENS, MAX_IN_ROW_BYTES = 100_000, 4 << 20
 POS_RADIX = 10 ** 12   # positions below 10^12 pack exactly next to any 64-bit key
 
 
@@ -76,26 +81,59 @@ def build_vocabulary(df: DataFrame, key_col: str, text_col: str, max_tokens: int
     return vocab
 
 
+def in_row_table(vocabulary: DataFrame, max_rows: int | None = None, max_bytes: int | None = None) -> Column | None:
+    """The vocabulary as one constant: an array of small maps, a token's map being named by its CRC32
+    modulo their number.  Every task holds the constant once and probes it inside the row.  None when
+    the table has more rows or bytes than may be held so (counted in one job before anything is collected).
+    """
+    max_rows = MAX_IN_ROW_TOKENS if max_rows is None else max_rows
+    max_bytes = MAX_IN_ROW_BYTES if max_bytes is None else max_bytes
+    known = vocabulary.where(F.col("token").isNotNull())
+    n, size = known.agg(F.count(F.lit(1)), F.sum(F.octet_length("token"))).first()
+    if n > max_rows or (size or 0) > max_bytes:
+        return None
+    buckets: list[dict[str, int]] = [{} for _ in range(max(1, n // 2))]
+    for r in known.select("token", "id").collect():
+        buckets[zlib.crc32(r["token"].encode()) % len(buckets)][r["token"]] = r["id"]
+    return F.from_json(F.lit(json.dumps(buckets)), "array<map<string,int>>")
+
+
+def token_ids(words: Column, table: Column) -> Column:
+    """Ids of an array of tokens, by ``in_row_table``; unknown tokens are 1."""
+    def probe(w: Column) -> Column:
+        bucket = F.get(table, F.pmod(F.crc32(w.cast("binary")), F.size(table)).cast("int"))
+        return F.coalesce(F.try_element_at(bucket, w), F.lit(1))
+    return F.transform(words, probe)
+
+
 def encode_tokens(df: DataFrame, key_col: str, text_col: str, vocabulary: DataFrame,
                   sequence_length: int | None = None, padding_idx: int = 0, out: str = "ids") -> DataFrame:
     """(key, ids ARRAY<INT>): unknown tokens -> 1; optional truncate/pad.
 
-    Tokens are exploded, joined to the (bounded, size-checked) vocabulary by
-    broadcast hash join and regrouped per row in position order.  With a
-    sequence length, positions past it are dropped before the explode.
+    A vocabulary of bounded size is probed inside each row (:func:`in_row_table`): no explode, no
+    exchange.  With a larger one tokens are exploded, joined to it and regrouped per row in position
+    order.  A sequence length cuts the tokens before either.  Null and empty texts have no ids.
     """
     words = word_tokens(F.col(text_col))
     if sequence_length is not None:
-        words = F.slice(words, 1, sequence_length)   # truncate before exploding: at most L rows per text
+        words = F.slice(words, 1, sequence_length)   # truncate first: at most L tokens per text
+    table = in_row_table(vocabulary)
+    if table is not None:
+        coded, ids = df.select(key_col, token_ids(words, table).alias("_ids")), F.col("_ids")
+    else:
+        coded, ids = _encoded_by_join(df, key_col, words, vocabulary), F.transform(F.col("_items"), lambda x: x.getField("id"))
+    if sequence_length is not None:
+        ids = pad_ids(ids, sequence_length, padding_idx)
+    return coded.select(key_col, ids.alias(out))
+
+
+def _encoded_by_join(df: DataFrame, key_col: str, words: Column, vocabulary: DataFrame) -> DataFrame:
+    """(key, _items) for vocabularies that are too large for a constant."""
     toks = df.select(F.col(key_col), F.posexplode_outer(words).alias("pos", "token"))
     vocab = broadcast_if_small(vocabulary.select("token", F.col("id").alias("_id")))
     j = toks.join(vocab, "token", "left")
     item = F.when(F.col("token").isNotNull(), F.struct("pos", F.coalesce(F.col("_id"), F.lit(1)).alias("id")))
-    g = j.groupBy(key_col).agg(F.sort_array(F.collect_list(item)).alias("_items"))
-    ids = F.transform(F.col("_items"), lambda x: x.getField("id"))
-    if sequence_length is not None:
-        ids = pad_ids(ids, sequence_length, padding_idx)
-    return g.select(key_col, ids.alias(out))
+    return j.groupBy(key_col).agg(F.sort_array(F.collect_list(item)).alias("_items"))
 
 
 def longest_sequence(df: DataFrame, ids_col: str = "ids") -> int:

@@ -889,11 +889,53 @@ def _e2_inputs(spark, d) -> DataFrame:
 def q_scorer_hook(spark, d):
     """The residual pass through an Arrow-batched Python scorer."""
     from ..operators.extraction import pandas_scorer, python_cue_predict
-    out = extract_employer_description(unique_postings(spark, d), scorer=pandas_scorer(python_cue_predict),
-                                       key_col="uniq_id")
+    out = extract_employer_description(unique_postings(spark, d), scorer=pandas_scorer(python_cue_predict))
     return out.select("uniq_id", "employer_description", F.array_join("retrieved_by", ",").alias("retrieved_by"))
 
 
+_TWO_EMPLOYERS = S.with_views("select 1", "unique_postings")[:-len("select 1")].rstrip() + """,
+second as (select concat('p', cast(d.doc_id as varchar(20))) as uniq_id, p_name as company_name from documents d join part on p_partkey = d.doc_id + 1),
+two as (select jp.uniq_id, jp.text_language, jp.job_description, pc.company_name from (select * from job_postings where unique_posting_text = 'yes') jp
+  left join (select * from position_characteristics union all select * from second) pc on jp.uniq_id = pc.uniq_id)"""
+
+
+def two_employers(spark, d) -> DataFrame:
+    """Unique postings whose employer table names a second employer for each of them (J1 as 1:n, Q8)."""
+    docs = fx.table(spark, d, "documents").select("doc_id")
+    part = fx.table(spark, d, "part").select((F.col("p_partkey") - 1).alias("doc_id"), F.col("p_name").alias("company_name"))
+    second = docs.join(part, "doc_id").select(F.concat(F.lit("p"), F.col("doc_id").cast("string")).alias("uniq_id"), "company_name")
+    return postings.get_postings(_jp(spark, d), _pc(spark, d).unionByName(second), institution_name=True)
+
+
+@register("two_employers_scan", _TWO_EMPLOYERS + """
+select uniq_id, company_name, length(job_description) as n_chars from two""")
+def q_two_employers_scan(spark, d):
+    return two_employers(spark, d).select("uniq_id", "company_name", F.length("job_description").cast("bigint").alias("n_chars"))
+
+
+@register("two_employers_description", _TWO_EMPLOYERS + ",\n" + S.extraction("two", "ed") + """
+select uniq_id, company_name, employer_description, retrieved_by from ed""")
+def q_two_employers_description(spark, d):
+    """X1 over postings with two employers: each row keeps its own employer's sentences."""
+    from ..operators.extraction import pandas_scorer, python_cue_predict
+    out = extract_employer_description(two_employers(spark, d), scorer=pandas_scorer(python_cue_predict))
+    return out.select("uniq_id", "company_name", "employer_description", F.array_join("retrieved_by", ",").alias("retrieved_by"))
+
+
+@register("pattern_index", S.with_views("""
+select distinct p.industry, c.company_name, p.pattern
+from (select distinct company_name from position_characteristics where company_name is not null) c
+join (select industry, pattern from label_patterns union select p_brand, substr(split_part(p_name, ' ', 2), 1, 1 + p_size % 4) from part) p
+on c.company_name ilike concat('% ', p.pattern, '%') escape '@'""", "position_characteristics", "label_patterns"))
+def q_pattern_index(spark, d):
+    """J4 by the index: a dictionary with the beginnings of the second words of each brand's part names."""
+    word = F.get(F.split("p_name", " "), F.lit(1))
+    brands = fx.table(spark, d, "part").select(F.col("p_brand").alias("industry"), F.lit(100).alias("industry_rank"),
+                                               F.substr(word, F.lit(1), (F.col("p_size") % 4 + 1).cast("int")).alias("pattern"))
+    table = fx.label_patterns(spark).unionByName(brands)
+    return labelling.indexed_matches(_pc(spark, d), table).select("industry", "company_name", "pattern")
+
+
 @register("retrain_full_report", _e2_sql("nace", "select * from rep").replace(
     "e2_tr as (select * from split where partition = 'train')", "e2_tr as (select * from split)"))
 def q_retrain_full_report(spark, d):

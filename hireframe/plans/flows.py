@@ -142,7 +142,8 @@ def english_detection(corpus: DataFrame, key_col: str = "doc_id", text_col: str
     reb = sampling.rebalance(corpus.select(key_col, label_col), label_col, key_col, target, target_share, seed, copy_col="_copy")  # L6
     reb = reb.withColumn("row_key", F.concat_ws(":", F.col(key_col).cast("string"), F.col("_copy").cast("string")))
     shared_dir(corpus.sparkSession)
-    split = splitting.three_way_split(reb, "row_key", test_size, seed).checkpoint(eager=True)   # L11
+    reb = reb.checkpoint(eager=True)     # the split reads it for its cuts and once more for its rows
+    split = splitting.three_way_split(reb, "row_key", test_size, seed)               # L11
     if fit_on == "all":
         vocab = build_vocabulary(corpus, key_col, text_col, max_tokens)             # W3 on the whole corpus
     else:
@@ -154,7 +155,8 @@ def english_detection(corpus: DataFrame, key_col: str = "doc_id", text_col: str
     feats = F.filter(F.col("ids"), lambda x: x != 0)
     if features == "first_token":
         feats = F.slice(feats, 1, 1)
-    data = data.withColumn("_f", F.transform(feats, lambda x: x.cast("string"))).cache()
+    # written once: training, scoring and the report read ids, not texts and vocabulary again
+    data = data.withColumn("_f", F.transform(feats, lambda x: x.cast("string"))).checkpoint(eager=True)
     model = classify.train_naive_bayes(data.filter(F.col("partition") == "train")
                                        .withColumn("_y", F.col("y").cast("string")), "_y", tokens_col="_f")
     sc = classify.class_scores(model, data.filter(F.col("partition") != "train"), "row_key", tokens_col="_f")

@@ -4,9 +4,28 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import SparkSession
 
+_SHIPPED = "hireframe-code"
+
+
+def ship_code(spark: SparkSession) -> None:
+    """Send this package to the executors once per application, so tasks can import it wherever the
+    driver found it."""
+    sc = spark.sparkContext
+    if any(os.path.basename(f).startswith(_SHIPPED) for f in sc._python_includes):
+        return
+    top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    path = os.path.join(tempfile.mkdtemp(prefix="hireframe-"), f"{_SHIPPED}.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for d, _, names in os.walk(os.path.join(top, "hireframe")):
+            for n in names:
+                if n.endswith(".py"):
+                    z.write(os.path.join(d, n), os.path.relpath(os.path.join(d, n), top))
+    sc.addPyFile(path)
+
 
 def build_session(master: str = "local[*]", shuffle_partitions: int = 8,
                   app_name: str = "hireframe") -> SparkSession:
