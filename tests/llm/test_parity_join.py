@@ -117,3 +117,37 @@ def test_near_misses_and_hot_shingles(spark, docs_of, monkeypatch, hot, tile):
             w[p] = f"x{i}_{p}"
         rows.append((i, " ".join(w)))
     check(docs_of(rows).repartition(4), rows)
+
+
+@pytest.mark.parametrize("hot,tile,often", [(2, 5, 400_000), (64, 512, 3)])
+def test_two_hot_components_and_a_common_passage(spark, docs_of, monkeypatch, hot, tile, often):
+    """A third of the rows in one component, another large one and many single documents share a passage."""
+    monkeypatch.setattr(P, "HOT", hot)
+    monkeypatch.setattr(P, "TILE", tile)
+    monkeypatch.setattr(P, "FREQUENT", often)          # how prefixes are ordered changes no link
+    rng = np.random.default_rng(11)
+    passage = " ".join(f"common{i}" for i in range(25))
+    rows = []
+    for i in range(90):
+        kind = i % 3
+        own = [f"k{kind}w{j}" for j in range(45)] if kind < 2 else [f"s{i}w{j}" for j in range(int(rng.integers(3, 30)))]
+        for p in rng.choice(len(own), int(rng.integers(0, 3)), replace=False):
+            own[p] = f"x{i}_{p}"
+        rows.append((i, " ".join(own) + " " + passage))
+    check(docs_of(rows).repartition(4), rows)
+
+
+def test_groups_that_cross_batches(spark, monkeypatch):
+    monkeypatch.setattr(P, "HOT", 6)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    try:
+        rng, rows = np.random.default_rng(1), []
+        for g, size in enumerate([1, 2, 6, 7, 30, 1, 5, 3, 12, 2]):
+            rows += [(g, 1000 * g + i, int(rng.integers(0, 3)) + 10 * g, 100) for i in range(size)]
+        got = P._meetings(spark.createDataFrame(rows, "g long, id long, component long, n long"), 85).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want_hot = {(g, i, c) for g, i, c, _ in rows if sum(r[0] == g for r in rows) > 6}
+    want = {(g, min(i, j), max(i, j)) for g, i, c, _ in rows for h, j, d, _ in rows if g == h and i < j and c != d and sum(r[0] == g for r in rows) <= 6}
+    assert {(r["g"], r["a"], r["b"]) for r in got if r["hot"]} == want_hot
+    assert {(r["g"], r["a"], r["b"]) for r in got if not r["hot"]} == want
