@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
-import zipfile
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -14,31 +11,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import shared_path
+from ..session import shared_path, ship_code  # noqa: F401
 
 #: Java and Python form of "a word": a run without space, tab, newline, VT, FF, CR.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-_SHIPPED = "hireframe-code"
-
-
-def ship_code(spark: SparkSession) -> None:
-    """Send this package to the executors once per application, so tasks can import it wherever the
-    driver found it."""
-    sc = spark.sparkContext
-    if any(os.path.basename(f).startswith(_SHIPPED) for f in sc._python_includes):
-        return
-    top = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    path = os.path.join(tempfile.mkdtemp(prefix="hireframe-"), f"{_SHIPPED}.zip")
-    with zipfile.ZipFile(path, "w") as z:
-        for d, _, names in os.walk(os.path.join(top, "hireframe")):
-            for n in names:
-                if n.endswith(".py"):
-                    z.write(os.path.join(d, n), os.path.relpath(os.path.join(d, n), top))
-    sc.addPyFile(path)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
