@@ -109,8 +109,10 @@ def op8_toxicity(spark: SparkSession, d: str) -> DataFrame:
 
 @register
 def op9_mix_schedule(spark: SparkSession, d: str) -> DataFrame:
+    """first_slot, second_slot: the slot of the schedule at which each pass first takes words of the row (-1: none)."""
     rows = mixing.mix(table(spark, d, "documents"))
-    return rows.select("doc_id", "size", "source_size", "target", "taken")
+    slot = lambda i: F.coalesce(F.get("first_slots", F.lit(i)), F.lit(-1)).cast("long")
+    return rows.select("doc_id", "size", "source_size", "target", "taken", slot(0).alias("first_slot"), slot(1).alias("second_slot"))
 
 
 @register

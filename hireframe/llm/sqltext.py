@@ -49,18 +49,24 @@ iv as (select source, cast(hi - goal as hugeint) * {mixing.ONE} // total as lo,
    from tt where goal > 0),
 sl as (select id, (cast(id as hugeint) * {mixing.PHI}) % {mixing.ONE} as u
    from range(cast(round(1.5 * (select sum(size) from k) / {mixing.BLOCK_WORDS}) as bigint)) t(id)),
-sc as (select source, row_number() over (partition by source order by id) - 1 as r from sl join iv on u >= lo and u < up),
+sc as (select id as slot, source, row_number() over (partition by source order by id) - 1 as r from sl join iv on u >= lo and u < up),
 q as (select source, source_size, goal, (source_size + {mixing.BLOCK_WORDS - 1}) // {mixing.BLOCK_WORDS} as blocks from tt where goal > 0),
 q2 as (select *, (goal // source_size) * blocks + (goal % source_size + {mixing.BLOCK_WORDS - 1}) // {mixing.BLOCK_WORDS} as quota from q),
 came as (select source, count(*) as n from sc group by source),
-tail as (select q2.source, unnest(range(coalesce(n, 0), quota)) as r from q2 left join came on came.source is not distinct from q2.source),
-s as (select q2.source, r % blocks as block, least({mixing.BLOCK_WORDS}, goal - ((r // blocks) * source_size + (r % blocks) * {mixing.BLOCK_WORDS})) as words
+short as (select q2.source, quota, coalesce(n, 0) as n,
+   (select count(*) from sl) - coalesce(n, 0) + coalesce(sum(quota - coalesce(n, 0)) over (order by q2.source is null, q2.source
+   rows between unbounded preceding and 1 preceding), 0) as first
+   from q2 left join came on came.source is not distinct from q2.source where coalesce(n, 0) < quota),
+tail as (select cast(first + r as bigint) as slot, source, r from (select *, unnest(range(n, quota)) as r from short)),
+s as (select slot, q2.source, r % blocks as block, r // blocks as pass, least({mixing.BLOCK_WORDS}, goal - ((r // blocks) * source_size + (r % blocks) * {mixing.BLOCK_WORDS})) as words
    from (select * from sc union all select * from tail) x join q2 on q2.source is not distinct from x.source where r < quota),
 lay as (select *, cast(sum(size) over (partition by source order by key, doc_id, size rows between unbounded preceding and current row) as bigint) as e from k),
 pc as (select rid, source, e - size as st, e, unnest(range((e - size) // {mixing.BLOCK_WORDS}, (e - 1) // {mixing.BLOCK_WORDS} + 1)) as block from lay where size > 0),
-got as (select rid, cast(sum(greatest(0, least(e, pc.block * {mixing.BLOCK_WORDS} + words) - greatest(st, pc.block * {mixing.BLOCK_WORDS}))) as bigint) as taken
-   from pc join s on s.source is not distinct from pc.source and s.block = pc.block group by rid)
-select doc_id, size, tg.source_size, target, coalesce(taken, 0) as taken
+got as (select rid, cast(sum(w) as bigint) as taken, min(case when pass = 0 then slot end) as first_slot, min(case when pass = 1 then slot end) as second_slot
+   from (select rid, slot, pass, least(e, pc.block * {mixing.BLOCK_WORDS} + words) - greatest(st, pc.block * {mixing.BLOCK_WORDS}) as w
+         from pc join s on s.source is not distinct from pc.source and s.block = pc.block) where w > 0 group by rid)
+select doc_id, size, tg.source_size, target, coalesce(taken, 0) as taken,
+  coalesce(first_slot, -1) as first_slot, coalesce(second_slot, -1) as second_slot
 from k join tg on tg.source is not distinct from k.source left join got on got.rid = k.rid
 """
 

@@ -150,3 +150,13 @@ def test_slots_order_the_mix(spark, docs_of):
         at.append(got[i]["first_slots"][seen[i]])
         seen[i] += 1
     assert at == sorted(at) and max(seen.values()) == 2
+
+
+def test_first_slots_follow_the_schedule(spark, docs_of, monkeypatch):
+    df = docs_of([(i, "w " * (1 + i * 31 % 400), ["a", "b", None][i % 3]) for i in range(300)])
+    run = lambda: {r["doc_id"]: (r["taken"], r["first_slots"]) for r in mixing.mix(df).collect()}
+    golden = run()
+    monkeypatch.setattr(mixing, "PHI", 1)
+    other = run()
+    assert {i: x[0] for i, x in golden.items()} == {i: x[0] for i, x in other.items()}      # targets alone
+    assert sum(golden[i][1] != other[i][1] for i in golden) > 200
