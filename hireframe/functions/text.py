@@ -35,13 +35,43 @@ def split_sentences(col: str | Column) -> Column:
     """text -> ARRAY<STRING> of sentences (order kept, empty pieces dropped).
 
     A sentence ends at '.', '!' or '?' (runs allowed) followed by whitespace;
-    abbreviations are not known.  NULL text -> empty array.  One look-behind
+    abbreviations are not known (``operators.abbreviations`` learns and
+    heeds them).  NULL text -> empty array.  One look-behind
     split on the trimmed text: no marker pass and no per-sentence lambda.
     """
     text = F.trim(F.coalesce(_c(col), F.lit("")), F.lit(" \t\r\n"))
     return F.array_remove(F.split(text, _SENT_SPLIT), F.lit(""))
 
 
+# Punctuation around a word (fixed values): brackets and quotation marks before it, these and commas, colons,
+# question and exclamation marks behind it.
+_BEFORE = r"[(\[{\"'\u00AB\u201E\u201C\u2018]+"
+_BEHIND = r"[)\]}\"'\u00BB\u201C\u201D\u2019,;:!?]+"
+# Joins sentences while they are put together; a noncharacter, read as a space where a text holds it.
+_SENT_MARK = "\uFFFF"
+
+
+def stop_words(col: str | Column) -> Column:
+    """ARRAY<STRUCT<word, stop>>: every word with a letter in lower case, without its final full stop
+    (``stop`` says whether it had one) and without punctuation around it."""
+    parts = F.split(F.lower(F.coalesce(_c(col), F.lit(""))), r"[ \t\r\n]+")
+    bare = F.transform(parts, lambda w: F.regexp_replace(w, f"^{_BEFORE}|{_BEHIND}$", ""))
+    words = F.filter(bare, lambda w: w.rlike(r"\p{L}"))
+    return F.transform(words, lambda w: F.struct(F.regexp_replace(w, r"\.$", "").alias("word"), w.endswith(".").alias("stop")))
+
+
+def end_word(sentence: Column) -> Column:
+    """The word before a sentence's final full stop, as in :func:`stop_words`; '' if it ends otherwise."""
+    return F.regexp_replace(F.regexp_extract(F.lower(sentence), r"([^ \t\r\n]+)\.$", 1), f"^{_BEFORE}", "")
+
+
+def merge_sentences(pieces: Column, joins) -> Column:
+    """Sentences of an array, put together with one space where ``joins`` holds for the first of two."""
+    marked = F.transform(pieces, lambda s: F.concat(F.replace(s, F.lit(_SENT_MARK), F.lit(" ")),
+                                                    F.when(joins(s), F.lit(" ")).otherwise(F.lit(_SENT_MARK))))
+    return F.array_remove(F.split(F.rtrim(F.array_join(marked, "")), _SENT_MARK), "")
+
+
 def join_sentences(arr: str | Column) -> Column:
     """sentences joined with one space."""
     return F.array_join(_c(arr), " ")

@@ -14,6 +14,7 @@ the vocabulary; ties go to the lowest label.
 from __future__ import annotations
 
 import math
+import uuid
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
@@ -26,6 +27,7 @@ from ..functions.text import truncate_tokens, word_tokens
 
 # Report-sized: more classes than this is not a classification task we serve.
 MAX_CLASSES = 10_000
+CLASS_SCHEMA = "idx int, label string, prior double, n_tokens bigint, docs bigint"
 
 
 @dataclass
@@ -86,6 +88,9 @@ def train_naive_bayes(df: DataFrame, label_col: str, text_col: str | None = None
     if len(cls) > MAX_CLASSES:
         raise ValueError(f"more than {MAX_CLASSES} classes")
     labels = [r["label"] for r in cls]
+    if not labels:                                  # no labelled row: a model without classes
+        return NaiveBayesModel(spark.createDataFrame([], "token string, w array<double>"),
+                               spark.createDataFrame([], CLASS_SCHEMA), [], [], 0)
     total_docs = sum(r["docs"] for r in cls)
     priors = [math.log(r["docs"] / total_docs) for r in cls]
     ntoks = [int(r["n_tokens"]) for r in cls]
@@ -101,7 +106,7 @@ def train_naive_bayes(df: DataFrame, label_col: str, text_col: str | None = None
     tokens = raw.select("token", w.alias("w"))
     classes = spark.createDataFrame(
         [(i, lab, priors[i], ntoks[i], int(cls[i]["docs"])) for i, lab in enumerate(labels)],
-        "idx int, label string, prior double, n_tokens bigint, docs bigint")
+        CLASS_SCHEMA)
     return NaiveBayesModel(tokens, classes, labels, priors, V)
 
 
@@ -197,20 +202,48 @@ def _level_path(path: str, level: str) -> str:
     return f"{path.rstrip('/')}/level={level}"
 
 
-def save_model(model: NaiveBayesModel, path: str, level: str = "nace", mode: str = "overwrite") -> None:
-    """Token and class tables as parquet in a folder of the level; other levels are not touched."""
-    base = _level_path(path, level)
-    model.tokens.write.mode(mode).parquet(f"{base}/tokens")
-    model.classes.withColumn("vocab_size", F.lit(model.vocab_size)).write.mode(mode).parquet(f"{base}/classes")
+def _committed(spark, path: str, level: str) -> tuple[int, str] | None:
+    """(number, version) of the newest committed version of a level, or None."""
+    try:
+        rows = spark.read.schema("number long, version string").parquet(f"{_level_path(path, level)}/committed")
+        return rows.agg(F.max(F.struct("number", "version")).alias("m")).select("m.*").where("number is not null").first()
+    except AnalysisException:
+        return None
+
 
+def save_model(model: NaiveBayesModel, path: str, level: str = "nace", mode: str = "overwrite") -> str:
+    """Token and class tables as Parquet in a new version of the level; returns the version.
 
-def load_model(spark, path: str, level: str = "nace") -> NaiveBayesModel:
-    """Reload the model of a level; a level that was never saved raises."""
-    base = _level_path(path, level)
+    The version counts once its row stands in the level's ``committed`` table, which is written last,
+    so a save that fails, or runs while others read, leaves the model before it in force.  Older
+    versions and other levels are not touched.  With mode "error" a level that has a model raises.
+    """
+    if mode not in ("overwrite", "error"):
+        raise ValueError("mode must be 'overwrite' or 'error'")
+    spark, base = model.classes.sparkSession, _level_path(path, level)
+    last = _committed(spark, path, level)
+    if last and mode == "error":
+        raise ValueError(f"{path} has a model of level {level!r}")
+    version = uuid.uuid4().hex
+    model.tokens.write.parquet(f"{base}/version={version}/tokens")
+    model.classes.withColumn("vocab_size", F.lit(model.vocab_size)).write.parquet(f"{base}/version={version}/classes")
+    row = spark.createDataFrame([(last["number"] + 1 if last else 0, version)], "number long, version string")
+    row.coalesce(1).write.mode("append").parquet(f"{base}/committed")
+    return version
+
+
+def load_model(spark, path: str, level: str = "nace", version: str | None = None) -> NaiveBayesModel:
+    """Reload the newest committed model of a level, or a version by name; a level that was never saved raises."""
+    if version is None:
+        last = _committed(spark, path, level)
+        if not last:
+            raise ValueError(f"no model of level {level!r} in {path}")
+        version = last["version"]
+    base = f"{_level_path(path, level)}/version={version}"
     try:
         tokens, classes = spark.read.parquet(f"{base}/tokens"), spark.read.parquet(f"{base}/classes")
     except AnalysisException as e:
-        raise ValueError(f"no model of level {level!r} in {path}") from e
+        raise ValueError(f"no version {version!r} of level {level!r} in {path}") from e
     rows = classes.orderBy("idx").collect()
     V = int(rows[0]["vocab_size"]) if rows else 0
     return NaiveBayesModel(tokens, classes.drop("vocab_size"), [r["label"] for r in rows],

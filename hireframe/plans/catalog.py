@@ -1073,3 +1073,106 @@ def q_predict_english_new(spark, d):
     conv = fx.table(spark, d, "conversations").select(
         F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("row_key"), "text")
     return flows.predict_english(_e4(spark, d), conv, "row_key").select("row_key", "is_english")
+
+
+# ---------------------------------------------------------------- text files, level maps, abbreviations, learned sentences
+
+from ..operators import abbreviations, sentence_model  # noqa: E402
+from ..session import shared_dir  # noqa: E402
+from ..sources import labels  # noqa: E402
+
+_FILE_TEXT = "replace(concat(job_description, chr(10)), chr(10), ' ')"      # a text file ends its last line
+
+
+def posting_files(spark, d) -> DataFrame:
+    """Every unique posting written to a text file of its own and read back (posting, job_description)."""
+    path = files.scratch_table_path(spark, "posting_files")
+    files.write_text_postings(postings.get_postings(_jp(spark, d)), path, "uniq_id", "job_description")
+    return files.read_posting_folders(spark, path)
+
+
+@register("text_file_scan", S.with_views(f"""
+select uniq_id as posting, {_FILE_TEXT} as job_description from job_postings where unique_posting_text = 'yes'""", "job_postings"))
+def q_text_file_scan(spark, d):
+    """Postings as text files."""
+    return posting_files(spark, d)
+
+
+def _predict_files_sql() -> str:
+    head = _e1_sql_head("unique_postings") + _MODEL_TRAIN + f""",
+tf as (select uniq_id, {_FILE_TEXT} as job_description, cast(null as varchar) as company_name from job_postings where unique_posting_text = 'yes'),
+""" + S.extraction("tf", "ed") + f""",
+p_in as (select uniq_id, list_slice({S.tokens("coalesce(nullif(employer_description, ''), 'no relevant information')")},
+  1, 128) as toks from ed),
+"""
+    return (head + S.naive_bayes("nb", "m_train", "industry", _TRUNC_DESC, "p_in", "uniq_id", "toks")
+            + "\nselect _k as posting, prediction from nb_pred")
+
+
+@register("predict_text_files", _predict_files_sql())
+def q_predict_text_files(spark, d):
+    """S7, M5 without employer names: text files classified by their sentences alone."""
+    return flows.classify_postings(industry_model(spark, d), posting_files(spark, d), key_col="posting",
+                                   name_col=None).select("posting", "prediction")
+
+
+@register("relabel_json_maps", ORACLE["relabel_level"])
+def q_relabel_json_maps(spark, d):
+    """The level maps written and read as JSON, then used to relabel all labelled postings."""
+    base = files.scratch_table_path(spark, "level_maps")
+    maps = None
+    for level, entries in (("meso", MESO_MAPPING), ("macro", MACRO_MAPPING), ("pharma", PHARMA_MAPPING)):
+        labels.write_level_mapping(spark, entries, f"{base}/{level}")
+        one = labels.load_level_mapping(spark, f"{base}/{level}", level)
+        maps = one if maps is None else maps.unionByName(one)
+    return labelling.relabel_levels(labelled_only(spark, d).select("uniq_id", "industry"), maps).select("uniq_id", "level", "industry")
+
+
+@register("abbreviations", "with " + S.abbreviations("documents") + """
+select abbreviation, cast(n_stop as bigint) as n_stop, cast(n_plain as bigint) as n_plain, round(score, 6) as score from abbr""")
+def q_abbreviations(spark, d):
+    """abbreviations learned from all documents."""
+    rows = abbreviations.learn_abbreviations(fx.table(spark, d, "documents"))
+    return rows.select("abbreviation", "n_stop", "n_plain", F.round("score", 6).alias("score"))
+
+
+@register("sentences_abbreviations", "with " + S.abbreviations("documents") + f""",
+known as (select coalesce(list(abbreviation), []) as known from abbr),
+pieces as (select doc_id, {S.sentences('text')} as pieces from documents),
+merged as (select doc_id, len(pieces) as n, {S.merged_sentences('pieces', 'known')} as ss from pieces, known)
+select doc_id, cast(n as bigint) as n_pieces, cast(len(ss) as bigint) as n_sentences, md5(array_to_string(ss, chr(10))) as digest from merged""")
+def q_sentences_abbreviations(spark, d):
+    """F1 with learned abbreviations: sentences of all documents."""
+    docs = fx.table(spark, d, "documents").select("doc_id", "text")
+    rows = abbreviations.sentences_knowing(docs, abbreviations.learn_abbreviations(docs), "doc_id")
+    return rows.select("doc_id", F.size(T.split_sentences("text")).cast("bigint").alias("n_pieces"),
+                       F.size("sentences").cast("bigint").alias("n_sentences"), F.md5(F.array_join("sentences", "\n")).alias("digest"))
+
+
+#: A cue table for the fixture's postings: their opening and closing sentences and the goods that employers are named after.
+POSTING_CUES = {"who we are": ["join"], "who this is": ["hiring"],
+                "industry or sector": ["widget", "bolt", "gizmo", "gear", "ring", "anvil", "plate", "rod"]}
+_CUES = "[" + ", ".join(S.q(w) for ws in POSTING_CUES.values() for w in ws) + "]"
+_PLAIN = f"list_filter({S.tokens('sentence')}, lambda t: not list_contains({_CUES}, t))"
+
+
+@register("learned_sentences", S.with_views(f"""
+select 1""", "unique_postings")[:-len("select 1")].rstrip() + f""",
+ls_a as (select uniq_id, unnest(ss) as sentence, generate_subscripts(ss, 1) - 1 as pos
+  from (select uniq_id, {S.sentences("replace(job_description, chr(10), ' ')")} as ss from unique_postings)),
+ls as (select *, {S.cue_top_label('sentence', cues=POSTING_CUES)} as cue from ls_a),
+ls_train as (select distinct sentence, cue from ls where cue <> 'other'),
+ls_open as (select uniq_id || '#' || pos as k, sentence from ls where cue = 'other'),
+""" + S.naive_bayes("sm", "ls_train", "cue", _PLAIN, "ls_open", "k", _PLAIN) + """,
+sure as (select p._k, p.prediction from sm_pred p join (select _k, max(prob) as prob from sm_prob group by 1) m using (_k) where prob > 0.9)
+select uniq_id, cast(pos as bigint) as pos, coalesce(prediction, cue) as label
+from ls left join sure on cue = 'other' and _k = uniq_id || '#' || pos""")
+def q_learned_sentences(spark, d):
+    """M2: the label of every sentence by cue words and, without one, by the model trained on those that have one."""
+    u = unique_postings(spark, d)
+    long = u.select("uniq_id", F.posexplode(T.split_sentences(T.newline_to_space("job_description"))).alias("pos", "sentence"))
+    shared_dir(spark)
+    long = long.checkpoint(eager=True)      # read by the training, the scoring and the result
+    model = sentence_model.train_sentence_model(long, cues=POSTING_CUES)
+    score = sentence_model.learned_scorer(model, cues=POSTING_CUES, keys=("uniq_id", "pos"))
+    return score(long).select("uniq_id", F.col("pos").cast("bigint").alias("pos"), F.col("top_label").alias("label"))

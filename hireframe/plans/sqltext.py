@@ -74,6 +74,30 @@ def sentences(expr: str) -> str:
             f"lambda s: s <> '')")
 
 
+_BEFORE = r"""[(\[{"''\x{AB}\x{201E}\x{201C}\x{2018}]+"""
+_BEHIND = r"""[)\]}"''\x{BB}\x{201C}\x{201D}\x{2019},;:!?]+"""
+
+
+def abbreviations(src: str, text: str = "text", out: str = "abbr") -> str:
+    """CTEs for the learned abbreviations of ``src`` (abbreviation, n_stop, n_plain, score)."""
+    return f"""{out}_w as (select regexp_replace(regexp_replace(w, '^{_BEFORE}', ''), '{_BEHIND}$', '') as w
+  from (select unnest(regexp_split_to_array(lower(coalesce({text}, '')), '[ \t\r\n]+')) as w from {src})),
+{out}_c as (select regexp_replace(w, '\\.$', '') as abbreviation, count(*) filter (w like '%.') as n_stop,
+  count(*) filter (w not like '%.') as n_plain from {out}_w where regexp_matches(w, '\\p{{L}}') group by 1),
+{out}_t as (select cast(sum(n_stop + n_plain) as double) as n, cast(sum(n_stop) as double) as k from {out}_c),
+{out}_s as (select abbreviation, n_stop, n_plain, cast(length(replace(abbreviation, '.', '')) as double) as letters,
+  -2 * (n_stop * ln(k / n) + n_plain * ln(1 - k / n) - n_stop * ln(0.99) - n_plain * ln(0.01)) as ratio from {out}_c, {out}_t where n_stop > 0),
+{out} as (select abbreviation, n_stop, n_plain, ratio * exp(-letters) * (length(abbreviation) - letters + 1) * pow(letters, -n_plain) as score
+  from {out}_s where ratio * exp(-letters) * (length(abbreviation) - letters + 1) * pow(letters, -n_plain) >= 0.3)"""
+
+
+def merged_sentences(pieces: str, known: str) -> str:
+    """Sentences of a list, put together where one ends in a word of the list ``known``."""
+    end = f"regexp_replace(regexp_extract(lower(s), '([^ \\t\\r\\n]+)\\.$', 1), '^{_BEFORE}', '')"
+    marked = f"list_transform({pieces}, lambda s: s || case when list_contains({known}, {end}) then ' ' else chr(1) end)"
+    return f"list_filter(string_split(rtrim(array_to_string({marked}, ''), ' '), chr(1)), lambda s: s <> '')"
+
+
 UNICODE_SPACE = r"[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
 
 
@@ -83,13 +107,14 @@ def tokens(expr: str) -> str:
     return f"list_filter(regexp_split_to_array({cleaned}, '{UNICODE_SPACE}'), lambda t: t <> '')"
 
 
-def cue_top_label(sent: str, var: str = "t") -> str:
+def cue_top_label(sent: str, var: str = "t", cues: dict | None = None) -> str:
     """Top label of a sentence under the cue table (DuckDB)."""
+    cues = CUE_WORDS if cues is None else cues
     labels = candidate_labels()
     toks = tokens(sent)
     parts = []
     for i, label in enumerate(labels):
-        words = CUE_WORDS.get(label, [])
+        words = cues.get(label, [])
         if words:
             lst = "[" + ", ".join(q(w) for w in words) + "]"
             score = f"len(list_filter({toks}, lambda {var}: list_contains({lst}, {var})))"

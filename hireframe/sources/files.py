@@ -55,6 +55,21 @@ def read_text_postings(spark: SparkSession, path: str) -> DataFrame:
                       newline_to_space("value").alias("job_description"))
 
 
+def write_text_postings(df: DataFrame, path: str, name_col: str, text_col: str) -> str:
+    """One text file for every row, in a folder named by ``name_col`` (the layout :func:`read_posting_folders`
+    reads).  Small files are what this format is; tables belong in :func:`write_table`."""
+    df.select(F.col(name_col).cast("string").alias("posting"), F.col(text_col).alias("value")) \
+        .write.mode("overwrite").option("maxRecordsPerFile", 1).partitionBy("posting").text(path)
+    return path
+
+
+def read_posting_folders(spark: SparkSession, path: str) -> DataFrame:
+    """S7 with the names in folders: (posting, job_description), one row for every file below ``path``;
+    newlines become spaces (F6).  A null name stays null, a null text reads as an empty line."""
+    raw = spark.read.schema("value string, posting string").text(path, wholetext=True)
+    return raw.select("posting", newline_to_space("value").alias("job_description"))
+
+
 def read_splits(spark: SparkSession, paths: dict[str, str], fmt: str = "parquet",
                 schema: str | None = None) -> DataFrame:
     """Read every named split and stack them with a ``partition`` column."""

@@ -1,4 +1,8 @@
-from hireframe.sources import files
+import pytest
+from pyspark.sql import functions as F
+
+from hireframe.operators import classify
+from hireframe.sources import files, labels
 from hireframe.sources.postings import flatten_companies, get_company_postings, get_postings
 
 
@@ -33,3 +37,37 @@ def test_text_files_and_csv_roundtrip(spark, tmp_path):
     files.write_table(df, path, fmt="csv")
     back = files.read_csv(spark, path, files.INDUSTRY_TRAIN_SCHEMA).collect()
     assert [tuple(r) for r in back] == [tuple(r) for r in df.collect()]
+
+
+def test_one_text_file_per_row(spark, tmp_path):
+    rows = [("p1", "Line one.\nLine two."), ("p1", "again"), ("a/b c", "x"), (None, "no name"), ("p2", None), ("007", "")]
+    path = files.write_text_postings(spark.createDataFrame(rows, "uniq_id string, posting string"), str(tmp_path / "p"), "uniq_id", "posting")
+    got = sorted((r["posting"] or "", r["job_description"]) for r in files.read_posting_folders(spark, path).collect())
+    assert got == [("", "no name "), ("007", " "), ("a/b c", "x "), ("p1", "Line one. Line two. "), ("p1", "again "), ("p2", " ")]
+
+
+def test_a_save_counts_once_committed(spark, tmp_path, monkeypatch):
+    docs = spark.createDataFrame([("a", "x y"), ("b", "z")], "label string, text string")
+    model = classify.train_naive_bayes(docs, "label", text_col="text")
+    path = str(tmp_path / "models")
+    first = classify.save_model(model, path)
+    other = classify.train_naive_bayes(docs.where("label = 'a'"), "label", text_col="text")
+    broken = classify.NaiveBayesModel(other.tokens, other.classes.withColumn("idx", F.raise_error(F.lit("lost")).cast("int")), other.labels, other.priors, other.vocab_size)
+    with pytest.raises(Exception, match="lost"):
+        classify.save_model(broken, path)
+    assert classify.load_model(spark, path).labels == ["a", "b"]
+    classify.save_model(other, path)
+    assert classify.load_model(spark, path).labels == ["a"]
+    assert classify.load_model(spark, path, version=first).labels == ["a", "b"]
+    with pytest.raises(ValueError, match="has a model"):
+        classify.save_model(model, path, mode="error")
+    with pytest.raises(ValueError, match="no model of level"):
+        classify.load_model(spark, path, "meso")
+    with pytest.raises(ValueError, match="no version"):
+        classify.load_model(spark, path, version="none")
+
+
+def test_level_maps_as_json(spark, tmp_path):
+    path = str(tmp_path / "map")
+    labels.write_level_mapping(spark, {"baü": "x, \"y\"", "z": "w"}, path)
+    assert sorted(map(tuple, labels.load_level_mapping(spark, path, "meso").collect())) == [("meso", "baü", "x, \"y\""), ("meso", "z", "w")]
