@@ -23,7 +23,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,15 +32,16 @@ from .common import connected_components, release, saved
 #: Bounds of the fit: sampled vectors of a label, centres in all, members of a shard (part of a cell).
 SAMPLE_PER_LABEL = 4000
 MAX_CENTRES = 4096
-SHARD = 2000
+#: A search costs little more in a larger shard, but every visit starts anew: 8,000 vectors of 1,000 parts are 64 MB.
+SHARD = 8000
 #: Near and far neighbours kept of each vector, and the pruning factor.
 NEAR, FAR, ALPHA = 24, 12, 1.2
 #: Nearest members in whose lists a vector is entered.
 BACK = 6
 BEAM = 32
-#: Of so many vectors one is audited by brute force, but at least about ``AUDIT`` (of fewer, all).
+#: Of so many vectors one is audited by brute force, but at least ``AUDIT`` (of fewer, all).
 AUDIT_EVERY = 50
-AUDIT = 200
+AUDIT = 20_000
 
 
 def _unit(rows: list | np.ndarray) -> np.ndarray:
@@ -55,24 +56,33 @@ def usable(vec: str, label: str):
 
 
 def centres(classes: DataFrame, seed: int = 3) -> dict:
-    """group -> centre matrix, by a few k-means rounds on a bounded, seeded sample of each group."""
-    counts = {r["grp"]: r["n"] for r in classes.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).collect()}
-    total = max(1, sum(counts.values()))
-    rng, out = np.random.default_rng(seed), {}
-    for grp in sorted(counts):
-        n = counts[grp]
-        k = max(1, min(-(-n // SHARD), int(MAX_CENTRES * n / total) or 1, SAMPLE_PER_LABEL // 8))
-        rows = classes.where(F.col("grp") == grp).orderBy(F.xxhash64("id"), "id").limit(SAMPLE_PER_LABEL).select("v").collect() if k > 1 else []
-        if k == 1:
-            out[grp] = None
-            continue
-        x = _unit([r["v"] for r in rows])
-        c = x[rng.choice(len(x), min(k, len(x)), replace=False)]
+    """group -> centre matrix, by a few k-means rounds on a bounded, seeded sample of each group.
+
+    Groups that need one cell only are left out.  One job fits all groups, each in a task of its own;
+    at most ``MAX_CENTRES`` centres (of at most half as many groups) reach the driver.
+    """
+    sizes = classes.groupBy("grp").agg(F.count(F.lit(1)).alias("n"))
+    total = classes.count()
+    share = F.floor(F.lit(MAX_CENTRES) * F.col("n") / F.lit(max(1, total)))
+    sizes = sizes.select("grp", F.least(F.ceil(F.col("n") / SHARD), share, F.lit(SAMPLE_PER_LABEL // 8)).cast("int").alias("k")).where("k > 1")
+    order = Window.partitionBy("grp").orderBy(F.xxhash64("id"), "id")
+    some = (classes.select("id", "grp", "v").join(sizes, "grp").withColumn("place", F.row_number().over(order))
+            .where(F.col("place") <= SAMPLE_PER_LABEL))
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("place")
+        x, k = _unit(pdf["v"].tolist()), int(pdf["k"].iloc[0])
+        c = x[np.random.default_rng(seed).choice(len(x), min(k, len(x)), replace=False)]
         for _ in range(8):
             near = np.argmax(x @ c.T - 0.5 * (c * c).sum(1), axis=1)
             c = np.stack([x[near == i].mean(0) if (near == i).any() else c[i] for i in range(len(c))])
-        out[grp] = c
-    return out
+        return pd.DataFrame({"grp": pdf["grp"].iloc[0], "cell": np.arange(len(c), dtype=np.int32), "c": c.tolist()})
+
+    rows = some.groupBy("grp").applyInPandas(fit, "grp string, cell int, c array<double>").collect()
+    out: dict = {}
+    for r in sorted(rows, key=lambda r: (r["grp"], r["cell"])):
+        out.setdefault(r["grp"], []).append(r["c"])
+    return {g: np.array(c) for g, c in out.items()}
 
 
 def route(classes: DataFrame, cells: dict, radius: float) -> DataFrame:
@@ -101,9 +111,12 @@ def route(classes: DataFrame, cells: dict, radius: float) -> DataFrame:
 
 
 def prune(x: np.ndarray, point: np.ndarray, pool: np.ndarray, keep: int, alpha: float) -> np.ndarray:
-    """Robust pruning, row by row: from ``pool`` (candidates by distance) take the nearest left, drop the
+    """Robust pruning, row by row: from ``pool`` (candidates) take the nearest left, drop the
     candidates that are ``alpha`` times nearer to it than to the point, and go on.  -1 fills the rest."""
-    d = np.linalg.norm(x[pool] - x[point][:, None], axis=2)
+    rows = x[pool]
+    apart = lambda dots: np.sqrt(np.maximum(2 - 2 * dots, 0))  # noqa: E731  (unit vectors)
+    d = apart(np.einsum("ijk,ik->ij", rows, x[point]))
+    among = apart(rows @ rows.transpose(0, 2, 1))
     alive = pool != point[:, None]
     out = np.full((len(point), keep), -1)
     at = np.arange(len(point))
@@ -112,10 +125,8 @@ def prune(x: np.ndarray, point: np.ndarray, pool: np.ndarray, keep: int, alpha:
         some = alive[at, first]
         if not some.any():
             break
-        star = pool[at, first]
-        out[some, k] = star[some]
-        near = np.linalg.norm(x[pool] - x[star][:, None], axis=2)
-        alive &= ~((alpha * near <= d) & some[:, None])
+        out[some, k] = pool[at, first][some]
+        alive &= ~((alpha * among[at, first] <= d) & some[:, None])
         alive[at, first] = False
     return out
 
@@ -144,43 +155,82 @@ def build_shard(ids: np.ndarray, x: np.ndarray, seed: int = 5) -> list[np.ndarra
     return np.split(ids[end], np.cumsum(np.bincount(start, minlength=n))[:-1]) if n else []
 
 
-def search_shard(x: np.ndarray, adj: np.ndarray, q: np.ndarray, radius: float, beam: int) -> tuple[np.ndarray, np.ndarray]:
+def search_shard(x: np.ndarray, ends: np.ndarray, nb: np.ndarray, q: np.ndarray, radius: float, beam: int) -> tuple[np.ndarray, np.ndarray]:
     """(query, member) pairs within ``radius``: greedy beam search from the medoid for all queries in
-    step, then range expansion from every member in range (or a little beyond) until none is new."""
+    step, then range expansion from every member in range (or a little beyond) until none is new.
+
+    Member i's neighbours are ``nb[ends[i]:ends[i + 1]]``.  A query keeps the ``beam`` nearest members
+    met so far; one without an unexpanded member in its list is finished and takes no further part.
+    """
     n, m = len(x), len(q)
+    seen, done = np.zeros(m * n, bool), np.zeros(m * n, bool)
+    turn = np.zeros(m * n, np.int32)
+    in_range, to_expand = [], []
+
+    def measure(flat: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distances of pairs (query * n + member), noted where they are in or near the range."""
+        seen[flat] = True
+        rows, cols = flat // n, flat % n
+        d = np.sqrt(np.maximum(2 - 2 * np.einsum("ij,ij->i", q[rows], x[cols]), 0))
+        in_range.append(flat[d <= radius + 1e-3])
+        to_expand.append(flat[d <= 1.5 * radius])
+        return rows, cols, d
+
+    def expand(flat: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Measures the neighbours of pairs' members that their query has not met yet, each once."""
+        done[flat] = True
+        node = flat % n
+        many = ends[node + 1] - ends[node]
+        at = np.arange(many.sum()) + np.repeat(ends[node] - (np.cumsum(many) - many), many)
+        new = np.repeat(flat - node, many) + nb[at]
+        new = new[~seen[new]]
+        order = np.arange(len(new), dtype=np.int32)
+        turn[new] = order
+        return measure(new[turn[new] == order])
+
+    width = min(beam, n)
+    near_d, near_i, is_open = np.full((m, width), np.inf, np.float32), np.zeros((m, width), np.int64), np.zeros((m, width), bool)
     medoid = int(np.argmax(x @ x.mean(0)))
-    dist = np.full((m, n), np.inf, np.float32)
-    dist[:, medoid] = np.linalg.norm(q - x[medoid], axis=1)
-    done = np.zeros((m, n), bool)
-
-    def expand(qi: np.ndarray, node: np.ndarray) -> None:
-        done[qi, node] = True
-        nb = adj[node]
-        rows, cols = np.repeat(qi, nb.shape[1]), nb.ravel()
-        new = cols >= 0
-        rows, cols = rows[new], cols[new]
-        new = np.isinf(dist[rows, cols])
-        rows, cols = rows[new], cols[new]
-        dist[rows, cols] = np.linalg.norm(q[rows] - x[cols], axis=1)
-
+    near_d[:, 0], near_i[:, 0], is_open[:, 0] = measure(np.arange(m) * n + medoid)[2], medoid, True
+    active = np.arange(m)
     for _ in range(4 * beam):
-        width = min(beam, n)
-        front = np.argpartition(dist, width - 1, axis=1)[:, :width]
-        d = np.take_along_axis(dist, front, 1)
-        d[np.take_along_axis(done, front, 1)] = np.inf
-        best = np.argsort(d, axis=1)[:, :4]
+        d = np.where(is_open[active], near_d[active], np.inf)
+        best = np.argpartition(d, min(4, width) - 1, axis=1)[:, :4]
         ok = np.isfinite(np.take_along_axis(d, best, 1))
-        if not ok.any():
+        some = ok.any(1)
+        active, best, ok = active[some], best[some], ok[some]
+        if not len(active):
             break
-        qi, slot = np.nonzero(ok)
-        expand(qi, front[qi, best[qi, slot]])
+        row, slot = np.nonzero(ok)
+        qi, place = active[row], best[row, slot]
+        is_open[qi, place] = False
+        rows, cols, d = expand(qi * n + near_i[qi, place])
+        nearer = d < near_d.max(1)[rows]
+        rows, cols, d = rows[nearer], cols[nearer], d[nearer]
+        if not len(rows):
+            continue
+        # the new members beside the list of their query; the nearest of both stay
+        count = np.bincount(rows, minlength=m)
+        hit = np.flatnonzero(count)
+        line = np.searchsorted(hit, rows)
+        by = np.argsort(line, kind="stable")
+        col = np.arange(len(rows)) - np.repeat(np.cumsum(count[hit]) - count[hit], count[hit])
+        shape = (len(hit), width + int(count.max()))
+        all_d, all_i, all_open = np.full(shape, np.inf, np.float32), np.zeros(shape, np.int64), np.zeros(shape, bool)
+        all_d[:, :width], all_i[:, :width], all_open[:, :width] = near_d[hit], near_i[hit], is_open[hit]
+        all_d[line[by], width + col], all_i[line[by], width + col], all_open[line[by], width + col] = d[by], cols[by], True
+        stay = np.argpartition(all_d, width - 1, axis=1)[:, :width]
+        near_d[hit], near_i[hit], is_open[hit] = (np.take_along_axis(v, stay, 1) for v in (all_d, all_i, all_open))
     while True:
-        qi, node = np.nonzero((dist <= 1.5 * radius) & ~done)
-        if not len(qi):
+        flat = np.unique(np.concatenate([np.zeros(0, np.int64), *to_expand]))
+        flat = flat[~done[flat]]
+        to_expand.clear()
+        if not len(flat):
             break
-        for a in range(0, len(qi), 20_000):
-            expand(qi[a: a + 20_000], node[a: a + 20_000])
-    return np.nonzero(dist <= radius + 1e-3)
+        for a in range(0, len(flat), 20_000):
+            expand(flat[a: a + 20_000])
+    found = np.sort(np.concatenate(in_range))
+    return found // n, found % n
 
 
 def _labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -238,16 +288,16 @@ def links(routed: DataFrame, graph: DataFrame, cosine: float, beam: int) -> Data
         flat = np.concatenate([np.asarray(v, np.int64) for v in members["nb"]] + [np.zeros(0, np.int64)])
         where = np.searchsorted(ids, flat)
         where = np.where((where < len(ids)) & (ids[np.minimum(where, len(ids) - 1)] == flat), where, -1)
-        lens = np.array([len(v) for v in members["nb"]])
-        adj = np.full((len(ids), max(1, lens.max())), -1)
-        adj[np.repeat(np.arange(len(ids)), lens), np.arange(len(flat)) - np.repeat(np.cumsum(lens) - lens, lens)] = where
+        owner = np.repeat(np.arange(len(ids)), [len(v) for v in members["nb"]])[where >= 0]
+        ends, nb = np.r_[0, np.cumsum(np.bincount(owner, minlength=len(ids)))], where[where >= 0]
+        x = x.astype(np.float32)
         own, copies = members["own"].to_numpy(bool), members["copies"].to_numpy()
         got_id, got_n, got_root = [], [], []
         qid, qraw = queries["q_id"].to_numpy(), np.stack([np.asarray(v, np.float64) for v in queries["q_v"]])
         qnorm = np.linalg.norm(qraw, axis=1)
         pa_, pb_ = [], []
         for a in range(0, len(qid), 256):
-            qi, mi = search_shard(x.astype(np.float32), adj, (qraw[a: a + 256] / qnorm[a: a + 256, None]).astype(np.float32), radius, beam)
+            qi, mi = search_shard(x, ends, nb, (qraw[a: a + 256] / qnorm[a: a + 256, None]).astype(np.float32), radius, beam)
             qi = qi + a
             fine = own[mi] & (qid[qi] != ids[mi])
             qi, mi = qi[fine], mi[fine]
