@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 
 from ..functions.ordering import det, first_n, hashed_index, rank_by_hash
 
+#: Copies of one drawn row that leave in one piece.
+COPIES_PER_PIECE = 1024
+
 
 def subsample(df: DataFrame, group_col: str, key_col: str, seed: int = 4082023,
               max_n_per_group: int = 500, max_n_overall: int | None = None) -> DataFrame:
@@ -53,7 +56,8 @@ def sample_with_replacement(df: DataFrame, n: int, key_col: str, seed: int = 1,
     Rows get a global index 1..N in seeded order (two-level rank); draw i picks
     index ``md5('<seed>:draw:i') mod N + 1``.  Draws are counted per index
     first, so the join moves one row per distinct index, and a row drawn k
-    times is repeated k times after the join.
+    times is repeated after the join, in pieces of at most ``COPIES_PER_PIECE``
+    copies, so no array grows with k.
     """
     if not isinstance(n, int) or n < 0:
         raise ValueError("n must be a non-negative int")
@@ -67,9 +71,10 @@ def sample_with_replacement(df: DataFrame, n: int, key_col: str, seed: int = 1,
              .select((hashed_index(f"{seed}:draw", F.col("id"), total) + 1).alias("_idx"))
              .groupBy("_idx").agg(F.count(F.lit(1)).alias("_k")))
     picked = indexed.join(draws, "_idx", "inner")
-    out = (picked.select("*", F.posexplode(F.array_repeat(F.lit(1), F.col("_k").cast("int")))
-                         .alias("_copy", "_rep"))
-           .drop("_idx", "_k", "_rep"))
+    piece = F.lit(COPIES_PER_PIECE).cast("bigint")
+    pieces = picked.withColumn("_from", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_k") - 1, piece)))
+    out = (pieces.withColumn("_copy", F.explode(F.sequence(F.col("_from"), F.least(F.col("_from") + piece, F.col("_k")) - 1)))
+           .withColumn("_copy", F.col("_copy").cast("int")).drop("_idx", "_k", "_from"))
     if copy_col:
         return out.withColumnRenamed("_copy", copy_col)
     return out.drop("_copy")

@@ -1079,7 +1079,7 @@ def q_predict_english_new(spark, d):
 
 from ..operators import abbreviations, sentence_model  # noqa: E402
 from ..session import shared_dir  # noqa: E402
-from ..sources import labels  # noqa: E402
+from ..sources import bucketed, labels  # noqa: E402
 
 _FILE_TEXT = "replace(concat(job_description, chr(10)), chr(10), ' ')"      # a text file ends its last line
 
@@ -1176,3 +1176,24 @@ def q_learned_sentences(spark, d):
     model = sentence_model.train_sentence_model(long, cues=POSTING_CUES)
     score = sentence_model.learned_scorer(model, cues=POSTING_CUES, keys=("uniq_id", "pos"))
     return score(long).select("uniq_id", F.col("pos").cast("bigint").alias("pos"), F.col("top_label").alias("label"))
+
+
+@register("bucketed_postings", S.with_views("""
+select jp.uniq_id, jp.text_language, jp.job_description, pc.company_name
+from (select * from job_postings where unique_posting_text='yes') jp
+left join position_characteristics pc on jp.uniq_id=pc.uniq_id""", "job_postings", "position_characteristics"))
+def q_bucketed_postings(spark, d):
+    """Postings and employers written in buckets of the posting id and joined without an exchange."""
+    jp = bucketed.write_bucketed(_jp(spark, d).drop("html_job_description"), "postings", "uniq_id")
+    pc = bucketed.write_bucketed(_pc(spark, d), "employers", "uniq_id")
+    return postings.get_postings(bucketed.read_bucketed(spark, jp), bucketed.read_bucketed(spark, pc), institution_name=True)
+
+
+@register("predict_subwords")
+def q_predict_subwords(spark, d, tokenizer_path: str | None = None):
+    """Postings classified by what their first 128 subwords cover (no SQL: the tokenizer's ids)."""
+    import public_tokenizers
+
+    path = tokenizer_path or str(public_tokenizers.path("byte_bpe_50k.json"))
+    return flows.classify_postings(industry_model(spark, d), unique_postings(spark, d), tokenizer_path=path).select(
+        "uniq_id", "company_name", "prediction")

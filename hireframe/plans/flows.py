@@ -15,11 +15,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.predicates import default_text, one_vs_rest
+from ..functions.subwords import first_subwords
 from ..functions.text import blind_names, truncate_tokens, word_tokens
 from ..operators import classify, evaluate, labelling, sampling, splitting, voting
 from ..operators.extraction import extract_employer_description
 from ..operators.vocabulary import build_vocabulary, encode_tokens
-from ..session import shared_dir
+from ..session import shared_dir, ship_code
 from ..sources import postings
 
 MODEL_MAX_TOKENS = 128   # F11: model input truncated to 128 word tokens
@@ -97,11 +98,17 @@ def train_eval_level(train: DataFrame, mapping: DataFrame, level: str | None = "
 
 def classify_postings(model: classify.NaiveBayesModel, df: DataFrame, key_col: str = "uniq_id",
                       text_col: str = "job_description", name_col: str | None = "company_name",
-                      return_probas: bool = False) -> DataFrame:
-    """M5: extract -> default text -> first 128 tokens -> score -> label."""
+                      return_probas: bool = False, tokenizer_path: str | None = None) -> DataFrame:
+    """M5: extract -> default text -> first 128 tokens -> score -> label.
+
+    Tokens are words; with ``tokenizer_path`` the text is cut after 128 subwords of that tokenizer
+    (F11) and the words of what is left are scored."""
     desc = extract_employer_description(df, text_col=text_col, name_col=name_col)
-    desc = desc.withColumn("_toks", truncate_tokens(word_tokens(default_text("employer_description")),
-                                                    MODEL_MAX_TOKENS))
+    if tokenizer_path:
+        ship_code(df.sparkSession)
+        desc = desc.withColumn("_toks", word_tokens(first_subwords(default_text("employer_description"), tokenizer_path, MODEL_MAX_TOKENS)))
+    else:
+        desc = desc.withColumn("_toks", truncate_tokens(word_tokens(default_text("employer_description")), MODEL_MAX_TOKENS))
     keys = [key_col] + ([name_col] if name_col else [])   # a posting may have several employers: one row each
     return classify.predict(model, desc, keys, tokens_col="_toks", return_probas=return_probas)
 

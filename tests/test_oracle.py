@@ -13,7 +13,7 @@ FAST = ["postings_scan", "company_postings", "label_employers", "label_employers
         "sample_with_replacement", "vocabulary_top", "pad_sequences", "detect_language", "majority_vote",
         "classification_report", "english_eval", "predict_industry", "predict_all_levels", "json_dictionary_labels",
         "vocabulary", "vocabulary_full", "partition_random", "partition_leakage_random", "predict_english_new", "relabel_level",
-        "text_file_scan", "predict_text_files", "relabel_json_maps", "abbreviations", "sentences_abbreviations", "learned_sentences",
+        "text_file_scan", "predict_text_files", "relabel_json_maps", "abbreviations", "sentences_abbreviations", "learned_sentences", "bucketed_postings",
         "residual_text", "rebalance_target_share", "model_roundtrip", "baseline_accuracy"]
 NAMES = list(E.oracle_sql()) if os.environ.get("HIREFRAME_ALL_ORACLES") else FAST
 
