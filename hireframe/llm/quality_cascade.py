@@ -1,23 +1,28 @@
 """Quality rules as a short-circuit cascade (DataFrame operations only).
 
 Base counts are array and regular-expression functions inside one row, so the texts are never
-shuffled.  Each further rule is a boolean column "this row fails".  On a sample the rules are run
-one by one: seconds give the cost, failing rows the selectivity, and the cascade tests the rule
-with most rejections per second first.  The order changes the time only: a row is kept when no
+shuffled.  Each further rule is a boolean column "this row fails".  On a sample of the rows that pass
+the base the rules are run one by one: seconds give the cost, failing rows the selectivity, and the
+cascade tests the rule with most rejections per second first, then the one with most among the rows
+that are left.  The order changes the time only: a row is kept when no
 rule rejects it, whichever rule is asked first.
 """
 
 from __future__ import annotations
 
 import time
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, saved
+from .common import WORD, release, saved
 
 #: Rows aimed at by the sample on which rules are measured (it sets their order only).
 SAMPLE_ROWS = 2000
+#: Timed runs of a rule (the quickest counts), and the least cost a rule is given.
+REPEATS = 3
+LEAST_SECONDS = 1e-4
 #: Words in a window of the repetition count.
 WINDOW = 8
 SYMBOLS = "[#*$%&|<>]"
@@ -85,22 +90,51 @@ def default_rules(text: Column) -> dict[str, Column]:
     }
 
 
-def measured_order(rows: DataFrame, rules: dict[str, Column], sample_rows: int = SAMPLE_ROWS, seed: int = 4) -> list[dict]:
-    """Rules with sampled cost (seconds) and rejections, most rejections per second first.
+def greedy_order(seconds: dict[str, float], outcomes: dict[tuple[bool, ...], int]) -> list[dict]:
+    """Rules by rejections per second among the rows that no earlier rule rejects.
 
-    ``rows`` must carry what the rules read.  Rules that reject nothing come last, cheapest first.
-    An empty table keeps the given order.
+    ``seconds`` names the rules with their costs; ``outcomes`` counts rows by which rules they fail, in
+    the same order.  Rules that reject nothing more come last, cheapest first.
+    """
+    place, left, out = {k: i for i, k in enumerate(seconds)}, dict(outcomes), []
+    while len(out) < len(seconds):
+        rejects = {k: sum(n for fails, n in left.items() if fails[i]) for k, i in place.items()}
+        best = max(place, key=lambda k: (rejects[k] / seconds[k], -seconds[k]))
+        out.append({"rule": best, "seconds": seconds[best], "rejects": rejects[best]})
+        left = {fails: n for fails, n in left.items() if not fails[place[best]]}
+        del place[best]
+    return out
+
+
+def measured_order(rows: DataFrame, rules: dict[str, Column], sample_rows: int = SAMPLE_ROWS, seed: int = 4,
+                   prepare: Callable[[DataFrame], DataFrame] = lambda df: df) -> list[dict]:
+    """Rules with sampled cost (seconds) and rejections, in the order of ``greedy_order``.
+
+    ``prepare`` turns sampled rows into those that reach the cascade, with the columns the rules read.
+    A rule's cost is the quickest of ``REPEATS`` runs after one that warms up, less the same for an
+    aggregate that only reads the columns.  A rule that is null for a row does not reject it.  Without
+    any row the given order is kept.
     """
     n = rows.count()
-    if n == 0:
+    sample = saved(prepare(rows.sample(min(1.0, 1.5 * sample_rows / max(n, 1)), seed=seed)), "cascade-sample")
+    fails = [F.coalesce(c, F.lit(False)) for c in rules.values()]
+    seen = sample.groupBy(F.array(*fails).alias("fails")).agg(F.count(F.lit(1)).alias("n")).collect()
+    if not seen:
+        release(sample)
         return [{"rule": k, "seconds": 0.0, "rejects": 0} for k in rules]
-    sample = saved(rows.sample(min(1.0, 1.5 * sample_rows / n), seed=seed), "cascade-sample")
-    out = []
-    for name, fails in rules.items():
-        began = time.perf_counter()
-        hits = sample.agg(F.count(F.when(fails, 1))).first()[0]
-        out.append({"rule": name, "seconds": time.perf_counter() - began, "rejects": hits})
-    return sorted(out, key=lambda r: (-r["rejects"] / max(r["seconds"], 1e-9), r["seconds"]))
+
+    def quickest(value: Column) -> float:
+        took = []
+        for _ in range(REPEATS + 1):
+            began = time.perf_counter()
+            sample.agg(value).first()
+            took.append(time.perf_counter() - began)
+        return min(took[1:])
+
+    idle = quickest(F.max(F.xxhash64(*sample.columns)))
+    seconds = {k: max(quickest(F.count(F.when(c, 1))) - idle, LEAST_SECONDS) for k, c in rules.items()}
+    release(sample)
+    return greedy_order(seconds, {tuple(r["fails"]): r["n"] for r in seen})
 
 
 def cascade(rules: dict[str, Column], order: list[str]) -> Column:
@@ -119,10 +153,12 @@ def quality_filter(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = docs.select(F.col(id_col), F.col(text_col).alias("_text"))
     counts = base_counts(F.col("_text"))
     r = rules(F.col("_text"))
-    light = rows.select("_text", *[counts[k].alias(k) for k in ("n_words", "word_chars", "n_symbols")])
-    order = [x["rule"] for x in measured_order(light, r, sample_rows)]
-    out = rows.select(id_col, "_text", *[v.alias(k) for k, v in counts.items()])
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_pct * F.col("n_words"))
-    out = out.withColumn("base_failed", failed)
+
+    def counted(df: DataFrame) -> DataFrame:
+        return df.select(*df.columns, *[v.alias(k) for k, v in counts.items()])
+
+    order = [x["rule"] for x in measured_order(rows.select("_text"), r, sample_rows, prepare=lambda df: counted(df).where(~failed))]
+    out = counted(rows).withColumn("base_failed", failed)
     out = out.withColumn("first_failed", F.when(F.col("base_failed"), F.lit("base")).otherwise(cascade(r, order)))
     return out.select(id_col, *counts, "base_failed", "first_failed", F.col("first_failed").isNull().alias("kept"))

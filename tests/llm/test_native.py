@@ -45,6 +45,35 @@ def test_order_changes_nothing_but_the_order(spark, docs_of):
     assert [x["rule"] for x in quality_cascade.measured_order(rows.limit(0), rules)] == names
 
 
+def test_greedy_order_counts_what_is_left():
+    # a rejects 50 rows, b 40 of the same, c 20 others: c comes before b
+    outcomes = {(True, True, False): 40, (True, False, False): 10, (False, False, True): 20, (False, False, False): 500}
+    got = quality_cascade.greedy_order({"a": 1.0, "b": 1.0, "c": 1.0}, outcomes)
+    assert [(x["rule"], x["rejects"]) for x in got] == [("a", 50), ("c", 20), ("b", 0)]
+    # a costs so much that b goes first, and a has ten rows left; of rules that reject nothing the cheaper comes first
+    got = quality_cascade.greedy_order({"a": 2.0, "b": 1.0, "c": 1.0}, outcomes)
+    assert [(x["rule"], x["rejects"]) for x in got] == [("b", 40), ("c", 20), ("a", 10)]
+    assert [x["rule"] for x in quality_cascade.greedy_order({"a": 2.0, "b": 1.0}, {(False, False): 3})] == ["b", "a"]
+
+
+def test_the_cheaper_of_two_like_rules_goes_first(spark, docs_of):
+    text = " ".join(f"w{i}" for i in range(3000))
+    rows = docs_of([(i, text if i % 4 else "bad " + text) for i in range(200)] + [(900, None), (901, "")]).select("doc_id", F.col("text").alias("_text"))
+    words = F.transform(F.split("_text", " "), lambda w: F.sha2(F.sha2(F.sha2(w, 512), 512), 512))
+    rules = {"dear": F.array_contains(words, F.sha2(F.sha2(F.sha2(F.lit("bad"), 512), 512), 512)), "cheap": F.col("_text").startswith("bad")}
+    order = quality_cascade.measured_order(rows, rules)
+    assert [(x["rule"], x["rejects"]) for x in order] == [("cheap", 50), ("dear", 0)]
+    assert order[0]["seconds"] < order[1]["seconds"]
+    # rows that do not reach the cascade are not counted
+    some = quality_cascade.measured_order(rows, rules, prepare=lambda df: df.where("doc_id < 100"))
+    assert [(x["rule"], x["rejects"]) for x in some] == [("cheap", 25), ("dear", 0)]
+
+
+def test_cascade_of_an_empty_table(spark, docs_of):
+    out = quality_cascade.quality_filter(docs_of([]))
+    assert out.count() == 0 and "kept" in out.columns
+
+
 def test_cascade_is_native(spark, docs_of):
     for df in (quality_cascade.quality_filter(docs_of([(1, "a b")])), mixing.mix(docs_of([(1, "a b")]))):
         plan = df._jdf.queryExecution().executedPlan().toString()
