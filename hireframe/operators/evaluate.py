@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.sizing import broadcast_if_small
+
 
 def class_distribution(df: DataFrame, label_col: str = "industry") -> DataFrame:
     """A2: rows per class, largest first (ties by label)."""
@@ -26,13 +28,13 @@ def label_index(df: DataFrame, label_col: str = "industry") -> DataFrame:
 
 def encode_labels(df: DataFrame, index: DataFrame, label_col: str = "industry", out: str = "target") -> DataFrame:
     """A4: add the class index; an unseen label gets NULL (the caller may reject it)."""
-    return df.join(F.broadcast(index.select(F.col("label").alias(label_col), F.col("idx").alias(out))),
+    return df.join(broadcast_if_small(index.select(F.col("label").alias(label_col), F.col("idx").alias(out))),
                    label_col, "left")
 
 
 def decode_labels(df: DataFrame, index: DataFrame, idx_col: str = "target", out: str = "label") -> DataFrame:
     """Class index -> label."""
-    return df.join(F.broadcast(index.select(F.col("idx").alias(idx_col), F.col("label").alias(out))),
+    return df.join(broadcast_if_small(index.select(F.col("idx").alias(idx_col), F.col("label").alias(out))),
                    idx_col, "left")
 
 

@@ -43,3 +43,16 @@ def test_baselines_of_ten_billion_rows(spark):
     t = F.sum("n").cast("double")
     r = rows.agg((F.sum(F.col("n") * F.col("n")).cast("double") / (t * t)).alias("x")).first()
     assert abs(r.x - 0.82) < 1e-12
+
+
+def test_label_index_both_ways_at_any_size(spark, monkeypatch):
+    from hireframe.functions import sizing
+    from hireframe.operators.evaluate import decode_labels, encode_labels, label_index
+
+    df = spark.createDataFrame([("b", 1), ("a", 2), ("c", 3), (None, 4)], "industry string, k int")
+    index = label_index(df.where("k < 3"))
+    for most in (10, 1):                          # 1: the index is too large to be broadcast
+        monkeypatch.setattr(sizing, "MAX_BROADCAST_ROWS", most)
+        coded = encode_labels(df, index)
+        assert {r.k: r.target for r in coded.collect()} == {1: 1, 2: 0, 3: None, 4: None}
+        assert {r.k: r.label for r in decode_labels(coded, index).collect()} == {1: "b", 2: "a", 3: None, 4: None}
