@@ -94,6 +94,13 @@ def test_toxic_stage(spark):
     assert sum(i in ids for i in clean) >= 0.98 * len(clean) and sum(i in ids for i in toxic) <= 0.15 * len(toxic)
 
 
+@pytest.mark.parametrize("name, stage", corpus_pipeline.STAGES)
+def test_stage_of_an_empty_table(spark, docs_of, name, stage):
+    docs = docs_of([])
+    out = stage(spark, docs, SF)
+    assert out.count() == 0 and set(docs.columns) <= set(out.columns)
+
+
 def test_run(spark):
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     again = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
