@@ -6,14 +6,19 @@ Text columns may hold newlines and quotes, so CSV is written and read with
 
 from __future__ import annotations
 
+import os
 import uuid
+from collections import Counter
+from urllib.parse import unquote, urlsplit
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..functions.text import newline_to_space
-from ..session import shared_path
+from ..session import shared_path, ship_code
 
 INDUSTRY_TRAIN_SCHEMA = "uniq_id string, employer_description string, company_name string, industry string"
 LANGUAGE_SCHEMA = "labels string, text string"
@@ -55,11 +60,48 @@ def read_text_postings(spark: SparkSession, path: str) -> DataFrame:
                       newline_to_space("value").alias("job_description"))
 
 
+def folder_name(value: str | None) -> str:
+    """The folder of a partition value, escaped as Spark escapes it."""
+    if not value:
+        return "__HIVE_DEFAULT_PARTITION__"
+    return "".join(f"%{ord(c):02X}" if c < " " or c in "\"#%'*/:=?\\{[]^\x7f" else c for c in value)
+
+
 def write_text_postings(df: DataFrame, path: str, name_col: str, text_col: str) -> str:
     """One text file for every row, in a folder named by ``name_col`` (the layout :func:`read_posting_folders`
-    reads).  Small files are what this format is; tables belong in :func:`write_table`."""
-    df.select(F.col(name_col).cast("string").alias("posting"), F.col(text_col).alias("value")) \
-        .write.mode("overwrite").option("maxRecordsPerFile", 1).partitionBy("posting").text(path)
+    reads).  Small files are what this format is; tables belong in :func:`write_table`.
+
+    In a shared folder that is mounted on every machine the tasks write the files themselves: Hadoop's
+    local file system starts two processes to set permissions for each file, and its commit moves every
+    folder on the driver.  A file appears whole under a name given by its task and its number among the
+    task's files of that name, so a task that runs again replaces its files.  Other stores get them by
+    Spark's writer."""
+    rows = df.select(F.col(name_col).cast("string").alias("posting"), F.col(text_col).alias("value"))
+    where = urlsplit(path)
+    if where.scheme not in ("", "file"):
+        rows.write.mode("overwrite").option("maxRecordsPerFile", 1).partitionBy("posting").text(path)
+        return path
+    # Spark clears the folder and makes it
+    rows.sparkSession.createDataFrame([], "posting string, value string").write.mode("overwrite").partitionBy("posting").text(path)
+    base = unquote(where.path) if where.scheme else path
+
+    def run(batches):
+        task, seen, n = TaskContext.get(), Counter(), 0
+        for b in batches:
+            for name, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                folder = f"{base}/posting={folder_name(name)}"
+                file = f"part-{task.partitionId():05d}-{seen[name]:03d}.txt"
+                seen[name] += 1
+                os.makedirs(folder, exist_ok=True)
+                hidden = f"{folder}/_{file}.{task.taskAttemptId()}"
+                with open(hidden, "wb") as f:
+                    f.write((text or b"") + b"\n")
+                os.replace(hidden, f"{folder}/{file}")
+                n += 1
+        yield pa.RecordBatch.from_pydict({"n": [n]})
+
+    ship_code(df.sparkSession)
+    rows.select("posting", F.col("value").cast("binary")).mapInArrow(run, "n long").agg(F.sum("n")).collect()
     return path
 
 
