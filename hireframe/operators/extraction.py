@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import contains_name, join_sentences, split_sentences, word_tokens
+from ..functions.text import contains_name, join_sentences, name_key, split_sentences, word_tokens
 from ..session import ship_code
 
 # Fixed values of the extraction step: target labels, the fallback label and
@@ -68,19 +68,20 @@ def _disjoint(cues: dict, labels: list[str]) -> bool:
 
 
 def cue_codes(tokens: Column, labels: list[str], cues: dict | None = None) -> Column | None:
-    """ARRAY<INT>: the label index of every cue token (-1 for other tokens),
-    one lambda per token; None when cue lists overlap."""
+    """ARRAY<INT>: the label index of every cue token, other tokens left out by one
+    lookup among all cue words; None when cue lists overlap."""
     cues = CUE_WORDS if cues is None else cues
     cued = [(i, cues[lab]) for i, lab in enumerate(labels) if cues.get(lab)]
     if not cued or not _disjoint(cues, labels):
         return None
+    every = sorted({w for _, words in cued for w in words})
 
     def code(t):
         expr = F.when(t.isin(cued[0][1]), F.lit(cued[0][0]))
         for i, words in cued[1:]:
             expr = expr.when(t.isin(words), F.lit(i))
         return expr.otherwise(F.lit(-1))
-    return F.transform(tokens, code)
+    return F.transform(F.filter(tokens, _member_of(every)), code)
 
 
 def _best(counts: list[Column], labels: list[str]) -> Column:
@@ -106,8 +107,17 @@ def cue_top_label(sentence: Column, labels: list[str], cues: dict | None = None)
     """Top label of one sentence under the cue table: most cue tokens wins,
     ties go to the earlier label, no cue -> 'other'.  (Row-level form; the
     array form used by the extractor is :func:`sentences_by_cues`.)"""
+    return F.get(F.transform(F.array(word_tokens(sentence)), lambda toks: top_label_of(toks, labels, cues)), F.lit(0))
+
+
+def top_label_of(toks: Column, labels: list[str], cues: dict | None = None) -> Column:
+    """:func:`cue_top_label` of a sentence's tokens.  Codes and best label are bound to lambda variables,
+    so they are found once and not once a label."""
     cues = CUE_WORDS if cues is None else cues
-    return _top(_best(_counts_from_tokens(word_tokens(sentence), labels, cues), labels))
+    codes = cue_codes(toks, labels, cues)
+    best = F.transform(F.array(toks if codes is None else codes), lambda c: _best(
+        _counts_from_tokens(c, labels, cues) if codes is None else _counts_from_codes(c, len(labels)), labels))
+    return F.get(F.transform(best, _top), F.lit(0))
 
 
 def sentences_by_name(sentences: Column, name: Column, compat: bool = False) -> Column:
@@ -140,6 +150,8 @@ def sentences_by_cues(sentences: Column, targets=None, excluding=None, cues=None
         s.alias("s"), (cue_codes(word_tokens(s), labels, cues) if _disjoint(cues, labels)
                        else word_tokens(s)).alias("c")))
     if _disjoint(cues, labels):
+        if OTHER_LABEL not in tset:                  # a sentence without cue words is 'other'
+            first = F.filter(first, lambda x: F.size(x.getField("c")) > 0)
         second = F.transform(first, lambda x: F.struct(
             x.getField("s").alias("s"), _best(_counts_from_codes(x.getField("c"), len(labels)), labels).alias("b")))
     else:
@@ -185,14 +197,17 @@ def extract_employer_description(df: DataFrame, text_col: str = "job_description
     targets = list(DESC_TARGETS if targets is None else targets)
     work = df.withColumn("_sents", split_sentences(F.col(text_col)))
     if name_col is not None:
+        # each sentence is tested once, with the name lower-cased once a row (bound to a lambda variable)
         name = F.col(name_col)
-        work = work.withColumn("_d1", sentences_by_name(F.col("_sents"), name, compat))
+        told = F.transform(F.array(name_key(name, compat)), lambda n: F.transform(
+            F.col("_sents"), lambda x: F.struct(x.alias("s"), F.coalesce(F.contains(F.lower(x), n), F.lit(False)).alias("hit"))))
+        work = work.withColumn("_told", F.get(told, F.lit(0)))
+        work = work.withColumn("_d1", join_sentences(F.filter("_told", lambda x: x.getField("hit")).getField("s")))
         # J9 for this pass: the extracted text is a sub-list of the sentences
         # chosen by a test on the sentence text, and re-splitting joined
         # sentences gives them back, so "not among the extracted sentences"
         # is exactly "fails the name test" (no re-split, no membership scan).
-        resid = F.filter(F.col("_sents"),
-                         lambda x: ~F.coalesce(contains_name(x, name, compat), F.lit(False)))
+        resid = F.filter("_told", lambda x: ~x.getField("hit")).getField("s")
     else:
         work = work.withColumn("_d1", F.lit(""))
         resid = F.col("_sents")
@@ -211,7 +226,7 @@ def extract_employer_description(df: DataFrame, text_col: str = "job_description
     # The outputs leave through a one-row ``inline`` (a Generate node): a later
     # filter on them (e.g. dropping NULL descriptions) cannot be pushed below
     # it, so Catalyst never copies the sentence passes into that filter.
-    keep = [c for c in work.columns if c not in ("_sents", "_d1", "_d2")]
+    keep = [c for c in work.columns if c not in ("_sents", "_told", "_d1", "_d2")]
     row = F.struct(F.nullif(desc, F.lit("")).alias(out), by.alias("retrieved_by"))
     return work.select(*keep, F.inline(F.array(row)))
 
