@@ -998,15 +998,14 @@ p_in as (select uniq_id, list_slice({S.tokens("coalesce(nullif(employer_descript
 def q_predict_all_levels(spark, d):
     """M9, S9, M5 at every level: fit, save under one path, reload each, classify all postings."""
     path = files.scratch_table_path(spark, "nb_levels")
-    train, mapping = industry_train(spark, d), level_mapping(spark)
+    shared_dir(spark)
+    train, mapping = industry_train(spark, d).checkpoint(eager=True), level_mapping(spark)     # read by every level
     for level in LEVELS:
         df = flows.blinded(sampling.subsample(labelling.relabel(train, mapping, level), "industry", "uniq_id"))
         model = classify.train_naive_bayes(df.withColumn("_toks", flows.model_tokens()), "industry", tokens_col="_toks")
         classify.save_model(model, path, level)
-    posts = unique_postings(spark, d)
-    outs = [flows.classify_postings(classify.load_model(spark, path, level), posts)
-            .select(F.lit(level).alias("level"), "uniq_id", "prediction") for level in LEVELS]
-    return outs[0].unionByName(outs[1]).unionByName(outs[2]).unionByName(outs[3])
+    models = {level: classify.load_model(spark, path, level) for level in LEVELS}
+    return flows.classify_levels(models, unique_postings(spark, d)).select("level", "uniq_id", "prediction")
 
 
 # Label files of the JSON query: the pattern file has its own industry order, and "rod" and "ring" match several.
@@ -1172,7 +1171,7 @@ def q_learned_sentences(spark, d):
     u = unique_postings(spark, d)
     long = u.select("uniq_id", F.posexplode(T.split_sentences(T.newline_to_space("job_description"))).alias("pos", "sentence"))
     shared_dir(spark)
-    long = long.checkpoint(eager=True)      # read by the training, the scoring and the result
+    long = sentence_model.told(long, cues=POSTING_CUES).checkpoint(eager=True)      # read by the training, the scoring and the result
     model = sentence_model.train_sentence_model(long, cues=POSTING_CUES)
     score = sentence_model.learned_scorer(model, cues=POSTING_CUES, keys=("uniq_id", "pos"))
     return score(long).select("uniq_id", F.col("pos").cast("bigint").alias("pos"), F.col("top_label").alias("label"))
