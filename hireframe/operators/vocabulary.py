@@ -15,7 +15,7 @@ from pyspark.sql.types import IntegralType
 
 from ..functions.ordering import rank_by_sort, top_k_is_small
 from ..functions.sizing import broadcast_if_small
-from ..functions.text import pad_ids, word_tokens
+from ..functions.text import first_tokens, pad_ids, word_tokens
 
 PAD, UNK = "<pad>", "<unk>"
 # Largest vocabulary that is held as a constant in each task.
@@ -114,9 +114,10 @@ def encode_tokens(df: DataFrame, key_col: str, text_col: str, vocabulary: DataFr
     exchange.  With a larger one tokens are exploded, joined to it and regrouped per row in position
     order.  A sequence length cuts the tokens before either.  Null and empty texts have no ids.
     """
-    words = word_tokens(F.col(text_col))
-    if sequence_length is not None:
-        words = F.slice(words, 1, sequence_length)   # truncate first: at most L tokens per text
+    if sequence_length is not None and sequence_length > 0:
+        words = first_tokens(text_col, sequence_length)   # truncate first: at most L tokens per text
+    else:
+        words = word_tokens(F.col(text_col)) if sequence_length is None else F.slice(word_tokens(F.col(text_col)), 1, sequence_length)
     table = in_row_table(vocabulary)
     if table is not None:
         coded, ids = df.select(key_col, token_ids(words, table).alias("_ids")), F.col("_ids")
