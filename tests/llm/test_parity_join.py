@@ -59,6 +59,41 @@ def test_odd_rows(spark, odd_docs):
     check(df, [(r["doc_id"], r["text"]) for r in df.select("doc_id", "text").collect()])
 
 
+def test_copies_in_a_run_give_no_keys(spark, docs_of):
+    """Rows exploded from a run's repeated keys: none for copies, in proportion to the group for near copies."""
+    base = [f"w{i}" for i in range(60)]
+
+    def near(i):
+        return " ".join([*base[:-1], f"x{i}"])
+
+    def repeated(rows):
+        got = P.sketch(docs_of(rows).coalesce(1), 4, 85, "doc_id", "text").collect()
+        return sum(len(r["ekeys"]) for r in got), sum(len(r["keys"]) for r in got), [r["same"] for r in got]
+
+    alone = repeated([(0, near(0))])[1]
+    for g in (20, 40):
+        rows = [(i, near(0).upper() if i % 2 else near(0)) for i in range(g)]
+        assert repeated(rows) == (0, alone, [None] + [0] * (g - 1))
+    few, many = (repeated([(i, near(i)) for i in range(g)])[0] for g in (20, 40))
+    assert few < many < 2.5 * few
+
+
+def test_copies_with_null_and_repeated_ids(spark, docs_of):
+    rng = np.random.default_rng(4)
+    base = [[f"g{g}w{i}" for i in range(50)] for g in range(3)]
+
+    def edited(g, p):
+        w = list(base[g])
+        w[p] = "edited"
+        return " ".join(w)
+
+    texts = [" ".join(b) for b in base] + [edited(g, p) for g in range(3) for p in (0, 25)] + ["", "one", "one two"]
+    rows = [(None if i % 11 == 0 else int(rng.integers(0, 60)) if i % 5 == 0 else 100 + i, texts[int(rng.integers(len(texts)))]) for i in range(90)]
+    rows += [(None, texts[0]), (7, texts[0]), (7, texts[1]), (8, texts[1]), (8, texts[2])]
+    for parts in (1, 5):
+        check(docs_of(rows).repartition(parts), rows)
+
+
 def test_no_rows(spark, docs_of):
     assert P.jaccard_components(docs_of([])).count() == 0
 
