@@ -94,6 +94,40 @@ def test_copies_with_null_and_repeated_ids(spark, docs_of):
         check(docs_of(rows).repartition(parts), rows)
 
 
+def _tables(monkeypatch):
+    """(tag, columns, rows) of each table that the join writes."""
+    written, saved = [], P.saved
+
+    def seen(df, tag):
+        out = saved(df, tag)
+        written.append((tag, out.columns, out.count()))
+        return out
+
+    monkeypatch.setattr(P, "saved", seen)
+    return written
+
+
+def test_keys_are_not_written(spark, docs_of, monkeypatch):
+    """Keys that one document holds take no row of any table, whatever the columns' names."""
+    written = _tables(monkeypatch)
+    rows = [(i, " ".join(f"d{i}w{j}" for j in range(200))) for i in range(30)]
+    n_keys = sum(len(r["keys"]) for r in P.sketch(docs_of(rows), 4, 85, "doc_id", "text").collect())
+    check(docs_of(rows), rows)
+    assert n_keys > 50 * len(rows)
+    assert not [t for t in written if "keys" in t[1] or t[2] > len(rows)]
+
+
+def test_linked_groups_are_not_held(spark, docs_of, monkeypatch):
+    """Near copies of one text share most keys; once they are linked, their members are not written again."""
+    written = _tables(monkeypatch)
+    base = [f"w{i}" for i in range(200)]
+    rows = [(i, " ".join([*base[:-1], f"x{i}"])) for i in range(40)]
+    check(docs_of(rows).repartition(4), rows)
+    members = next(n for tag, _, n in written if tag == "parity-members")
+    assert members > 20 * len(rows)
+    assert not [t for t in written if t[2] > 4 * len(rows) and t[0] != "parity-members"]
+
+
 def test_no_rows(spark, docs_of):
     assert P.jaccard_components(docs_of([])).count() == 0
 
