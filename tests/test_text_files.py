@@ -4,8 +4,11 @@ import os
 
 from pyspark.sql import functions as F
 
+from hireframe.plans import catalog
 from hireframe.sources import files
 
+from tests.conftest import SF_SMALL
+
 ODD = ["p1", "a/b c", "x=1:2", "50%", "a#b?c", "{x}[y]^", "tab\there", "quo'te\"d", "back\\slash", "é 🙂", "007", " ", "-", "~", "del\x7f"]
 
 
@@ -62,3 +65,10 @@ def test_folders_are_read_as_spark_reads_them(spark, tmp_path, monkeypatch):
     assert sorted((str(p), h) for p, h in got) == sorted((str(p), h) for p, h in want) and len(got) == 4 * len(ODD) + 5
     (tmp_path / "empty").mkdir()
     assert files.read_posting_folders(spark, str(tmp_path / "empty")).count() == 0
+
+
+def test_prediction_of_text_files_needs_no_file_index(spark):
+    df = catalog.QUERIES["predict_text_files"](spark, SF_SMALL)
+    assert not [f for f in df.inputFiles() if "posting_files" in f]
+    want = catalog.posting_files(spark, SF_SMALL).select("posting").collect()
+    assert sorted(r["posting"] for r in df.collect()) == sorted(r["posting"] for r in want) and want
