@@ -6,6 +6,7 @@ import pytest
 
 from hireframe.llm import hashing
 from hireframe.llm import parity_join as P
+from hireframe.llm import stages
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -128,6 +129,16 @@ def test_linked_groups_are_not_held(spark, docs_of, monkeypatch):
     assert not [t for t in written if t[2] > 4 * len(rows) and t[0] != "parity-members"]
 
 
+def test_texts_of_kept_documents_are_not_shuffled(spark, docs_of, monkeypatch):
+    rows = [(i, " ".join(f"d{i % 5}w{j}" for j in range(40))) for i in range(12)] + [(None, "no id"), (None, "no id"), (20, None)]
+    for most, join in ((P.MAX_BROADCAST_IDS, "BroadcastHashJoin"), (3, "SortMergeJoin")):      # beyond, a shuffle join
+        monkeypatch.setattr(P, "MAX_BROADCAST_IDS", most)
+        kept = stages.one_of_each_group(spark, docs_of(rows), "")
+        plan = kept._jdf.queryExecution().toString()
+        assert join in plan and ("Exchange hashpartitioning" in plan) == (join == "SortMergeJoin")
+        assert sorted((str(r["doc_id"]), r["text"]) for r in kept.collect()) == sorted((str(i), t) for i, t in rows if i is None or i < 5 or i == 20)
+
+
 def test_no_rows(spark, docs_of):
     assert P.jaccard_components(docs_of([])).count() == 0
 
